@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import extend, table
 
-#: States and memoised pieces held by a worker; beyond them the caches start anew.
-MAX_STATES = 200_000
-MAX_PIECES = 800_000
+#: States, pairs of tokens and pieces of text that a worker remembers.
+MAX_STATES = 80_000
+MAX_PAIRS = 200_000
+MAX_PIECES = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,7 +52,7 @@ class _State:
     def __init__(self, last: int, guesses: tuple[tuple[int, tuple[int, ...]], ...]):
         self.last, self.guesses = last, guesses
         self.moves: dict[int, tuple[_State, tuple[int, ...]]] = {}
-        self.rest = next((held for node, held in guesses if node == 0), None)
+        self.rest = guesses[-1][1]  # of the one guess that all bytes so far are whole tokens
 
 
 class Transducer:
@@ -76,13 +77,18 @@ class Transducer:
 
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
+        self.passing = 0
         self.start = self._state(-1, ((0, ()),))
 
     def _state(self, last: int, guesses: tuple) -> _State:
-        key = (last, guesses)
-        if key not in self.states:
-            self.states[key] = _State(last, guesses)
-        return self.states[key]
+        state = self.states.get(key := (last, guesses))
+        if state is None:
+            state = _State(last, guesses)
+            if len(self.states) < self.max_states:
+                self.states[key] = state
+            else:  # what is met first is met most often, so full tables stay, and start anew after a long while
+                self.passing += 1
+        return state
 
     def _edges(self, token: int) -> tuple[list, list] | None:
         """What stands at the left and at the right edge of a token while it is merged, as (bytes, from, to) in
@@ -113,9 +119,7 @@ class Transducer:
             return mine is not None
         found = self.pairs.get((last, token))
         if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[last, token] = not any(
+            found = not any(
                 (rank := self.ranks.get(a + b)) is not None
                 and max(a_from, b_from) < min(a_to, b_to)
                 and rank < a_to
@@ -123,37 +127,43 @@ class Transducer:
                 for a, a_from, a_to in self._edges(last)[1]
                 for b, b_from, b_to in mine[0]
             )
+            if len(self.pairs) < MAX_PAIRS:
+                self.pairs[last, token] = found
         return found
 
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        live = []
-        for node, held in state.guesses:
+        live, whole, last = [], None, state.last
+        for node, held in state.guesses:  # the longest open token first
             child = self.children[node].get(byte)
             if child is None:
                 continue
             if self.children[child]:
                 live.append((child, held))
             token = self.token_at[child]
-            if token >= 0 and self._follows(held[-1] if held else state.last, token):
-                live.append((0, (*held, token)))
+            if whole is None and token >= 0 and self._follows(held[-1] if held else last, token):
+                whole = (*held, token)  # a text has one encoding, so no other guess can end here
+        live.append((0, whole))
         agreed = 0
-        first = live[0][1]
-        while agreed < len(first) and all(len(h) > agreed and h[agreed] == first[agreed] for _, h in live):
+        for token in whole:
+            if any(len(h) <= agreed or h[agreed] != token for _, h in live):
+                break
             agreed += 1
-        out = first[:agreed]
-        last = out[-1] if out else state.last
-        return self._state(last, tuple(sorted((n, h[agreed:]) for n, h in live))), out
+        if agreed:
+            live = [(n, h[agreed:]) for n, h in live]
+        return self._state(whole[agreed - 1] if agreed else last, tuple(live)), whole[:agreed]
 
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.states) > self.max_states:
+        if self.passing > 50 * self.max_states:
             self._reset()
         state, out = self.start, []
         for byte in piece:
             move = state.moves.get(byte)
             if move is None:
-                move = state.moves[byte] = self._move(state, byte)
+                move = self._move(state, byte)
+                if (move[0].last, move[0].guesses) in self.states:
+                    state.moves[byte] = move
             state, emitted = move
             out += emitted
         out += state.rest
@@ -169,11 +179,42 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.transducer.encode(piece.encode("utf-8")), "<u4").tobytes()
-        if len(piece) <= 64:
+        if len(piece) <= 64 and len(self) < MAX_PIECES:
             self[piece] = ids
         return ids
 
 
+class _Chunks(dict):
+    """What stands between single spaces to the bytes of its ids, the space before it included."""
+
+    def __init__(self, pieces: _Pieces, pattern: str):
+        super().__init__()
+        self.pieces, self.split, self.missed = pieces, regex.compile(pattern).findall, 0
+        self.loose = regex.compile(r" (?:\s|\Z)").search
+        self.ends_at_space = pattern == public_pattern()
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = b"".join(map(self.pieces.__getitem__, self.split(f" {chunk}")))
+        self.missed += 1
+        if len(chunk) <= 64 and len(self) < MAX_PIECES:
+            self[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """A space before a character that is no white space always begins a match of the public pattern, so
+        texts are cut there; other spaces leave the whole text to the pattern."""
+        if not self.ends_at_space or self.loose(text):
+            return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        first, *rest = text.split(" ")
+        return b"".join([*map(self.pieces.__getitem__, self.split(first)), *map(self.__getitem__, rest)])
+
+
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 class Utf8Machine:
     """Incremental UTF-8: ``need`` continuation bytes are still due, the first within ``low``..``high``."""
 
@@ -225,25 +266,26 @@ def decode_stream(blocks, tokens: dict[int, bytes]):
     yield machine.close()
 
 
-_worker: dict[str, tuple] = {}
+_worker: dict[tuple[str, str], _Chunks] = {}
 
 
-def _loaded(path: str, pattern: str) -> tuple:
+def _loaded(path: str, pattern: str) -> _Chunks:
     if (path, pattern) not in _worker:
-        transducer = Transducer(read_ranks(path))
-        _worker[path, pattern] = (_Pieces(transducer), regex.compile(pattern).findall)
-    return _worker[path, pattern]
+        _worker[path, pattern] = _Chunks(_Pieces(Transducer(read_ranks(path))), pattern)
+    chunks = _worker[path, pattern]
+    if chunks.missed > 40 * MAX_PIECES:  # other texts by now
+        chunks.missed = 0
+        chunks.clear()
+        chunks.pieces.clear()
+    return chunks
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the ids of its whole text as little-endian unsigned 32-bit integers in a binary column."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        pieces, split = _loaded(path, pattern)
-        if len(pieces) > MAX_PIECES:
-            pieces.clear()
-        get = pieces.__getitem__
-        return {ids: [b"".join(map(get, split(x))) if x else b"" for x in batch.column(text).to_pylist()]}
+        one = _loaded(path, pattern).encode
+        return {ids: [one(x) if x else b"" for x in batch.column(text).to_pylist()]}
 
     return extend(df, f"`{ids}` binary", run)
 

@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows that Python takes at once, which bounds a worker's memory.
+ROWS = 256
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +47,7 @@ def map_batches(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(batches):
+        for columns in fn(b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             yield pa.RecordBatch.from_arrays(
                 [
                     columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)

@@ -10,7 +10,7 @@ from factloom.llm import bpe_transducer as B
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, ids string"
-ODD = ["", " ", "a" * 3000, " \n\t  x", "é日本語🤗 'll don't 123456 !!!??", "̀́ à", "the the the", None, "the the the"]
+ODD = ["", " ", "a" * 3000, " \n\t  x", "é日本語🤗 'll don't 123456 !!!??", "̀́ à", "the the the", "a  b \n c\x1cd \x1e e \u3000f\u00a0 g ", " lead", "a 's b", None, "the the the"]
 
 
 def _library():
