@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import extend, table
 
 #: States, pairs of tokens and pieces of text that a worker remembers.
-MAX_STATES = 80_000
-MAX_PAIRS = 200_000
-MAX_PIECES = 250_000
+MAX_STATES = 30_000
+MAX_PAIRS = 400_000
+MAX_PIECES = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,26 +71,22 @@ class Transducer:
                     self.children.append({})
                     self.token_at.append(-1)
             self.token_at[node] = rank
-        self.own: dict[int, tuple[list, list] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.own: dict[int, tuple[tuple, tuple] | None] = {}
+        self.pairs: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple, _State] = {}
-        self.passing = 0
+        self.without = 0
         self.start = self._state(-1, ((0, ()),))
 
     def _state(self, last: int, guesses: tuple) -> _State:
         state = self.states.get(key := (last, guesses))
         if state is None:
-            state = _State(last, guesses)
-            if len(self.states) < self.max_states:
-                self.states[key] = state
-            else:  # what is met first is met most often, so full tables stay, and start anew after a long while
-                self.passing += 1
+            state = self.states[key] = _State(last, guesses)
         return state
 
-    def _edges(self, token: int) -> tuple[list, list] | None:
+    def _edges(self, token: int) -> tuple[tuple, tuple] | None:
         """What stands at the left and at the right edge of a token while it is merged, as (bytes, from, to) in
         time; time is the highest rank merged so far. None if BPE doesn't make the token of its own bytes."""
         if token not in self.own:
@@ -108,29 +104,32 @@ class Transducer:
                     if changed:
                         edge[-1][2] = rank
                         edge.append([part, now, 1 << 60])
-            self.own[token] = (left, right) if len(parts) == 1 else None
+            self.own[token] = (tuple(map(tuple, left)), tuple(map(tuple, right))) if len(parts) == 1 else None
         return self.own[token]
 
     def _follows(self, last: int, token: int) -> bool:
-        """Whether BPE leaves the two tokens as they are, side by side: no merge of what stands at the left
-        one's right edge and the right one's left edge comes before both are merged inwards."""
-        mine = self._edges(token)
-        if last < 0 or mine is None:
-            return mine is not None
-        found = self.pairs.get((last, token))
+        """Whether BPE leaves the two tokens as they are, side by side; ``last`` is -1 before the first."""
+        found = self.pairs.get(last << 20 | token)
         if found is None:
-            found = not any(
-                (rank := self.ranks.get(a + b)) is not None
-                and max(a_from, b_from) < min(a_to, b_to)
-                and rank < a_to
-                and rank <= b_to
-                for a, a_from, a_to in self._edges(last)[1]
-                for b, b_from, b_to in mine[0]
-            )
+            found = self._compare(last, token)
             if len(self.pairs) < MAX_PAIRS:
-                self.pairs[last, token] = found
+                self.pairs[last << 20 | token] = found
         return found
 
+    def _compare(self, last: int, token: int) -> bool:
+        """No merge of what stands at the left one's right edge and the right one's left edge comes before both
+        are merged inwards."""
+        mine = self._edges(token)
+        if last < 0 or mine is None:
+            return mine is not None
+        rank_of = self.ranks.get
+        for a, a_from, a_to in self._edges(last)[1]:
+            for b, b_from, b_to in mine[0]:
+                rank = rank_of(a + b)
+                if rank is not None and rank < a_to and rank <= b_to and a_from < b_to and b_from < a_to:
+                    return False
+        return True
+
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
         live, whole, last = [], None, state.last
         for node, held in state.guesses:  # the longest open token first
@@ -155,20 +154,44 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if self.passing > 50 * self.max_states:
+        if self.without > 500 * self.max_states:
             self._reset()
         state, out = self.start, []
         for byte in piece:
             move = state.moves.get(byte)
             if move is None:
-                move = self._move(state, byte)
-                if (move[0].last, move[0].guesses) in self.states:
-                    state.moves[byte] = move
+                if len(self.states) >= self.max_states:
+                    self.without += 1
+                    return self.run_undetermined(piece)
+                move = state.moves[byte] = self._move(state, byte)
             state, emitted = move
             out += emitted
         out += state.rest
         return out
 
+    def run_undetermined(self, piece: bytes) -> list[int]:
+        """The nondeterministic transducer on a piece that needs a state which the full table doesn't hold. What
+        is met first is met most often, so a full table stays, and starts anew after a long while."""
+        children, token_at, known, follows = self.children, self.token_at, self.pairs.get, self._follows
+        n = len(piece)
+        last, begin = [-1] + [-2] * n, [0] * (n + 1)
+        for at in range(n):
+            node, before = 0, last[at]
+            for end in range(at, n):
+                node = children[node].get(piece[end])
+                if node is None:
+                    break
+                token = token_at[node]
+                if token >= 0 and last[end + 1] == -2:
+                    found = known(before << 20 | token)
+                    if follows(before, token) if found is None else found:
+                        last[end + 1], begin[end + 1] = token, at
+        out = []
+        while n:
+            out.append(last[n])
+            n = begin[n]
+        return out[::-1]
+
 
 class _Pieces(dict):
     """Piece of text to the bytes of its ids, made by the transducer when first asked for."""
@@ -282,12 +305,29 @@ def _loaded(path: str, pattern: str) -> _Chunks:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the ids of its whole text as little-endian unsigned 32-bit integers in a binary column."""
+    return extend(df, f"`{ids}` binary", lambda batch: {ids: _encoded(batch.column(text).to_pylist(), path, pattern)})
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """``df`` with the text that its ids stand for, decoded block by block."""
+    return extend(df, f"`{text}` string", lambda batch: {text: _decoded(batch.column(ids).to_pylist(), path)})
+
+
+def round_trip(
+    df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """encode() and decode() in one pass over the rows."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        one = _loaded(path, pattern).encode
-        return {ids: [one(x) if x else b"" for x in batch.column(text).to_pylist()]}
+        made = _encoded(batch.column(text).to_pylist(), path, pattern)
+        return {ids: made, decoded: _decoded(made, path)}
+
+    return extend(df, f"`{ids}` binary, `{decoded}` string", run)
+
 
-    return extend(df, f"`{ids}` binary", run)
+def _encoded(texts: list[str | None], path: str, pattern: str) -> list[bytes]:
+    one = _loaded(path, pattern).encode
+    return [one(x) if x else b"" for x in texts]
 
 
 _vocabularies: dict[str, dict[int, bytes]] = {}
@@ -295,24 +335,17 @@ _vocabularies: dict[str, dict[int, bytes]] = {}
 BLOCK = 65_536
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``df`` with the text that its ids stand for, decoded block by block."""
-
-    def run(batch: pa.RecordBatch) -> dict:
-        if path not in _vocabularies:
-            _vocabularies[path] = {rank: token for token, rank in read_ranks(path).items()}
-        get = _vocabularies[path].__getitem__
-        out = []
-        for held in batch.column(ids).to_pylist():
-            all_ids = np.frombuffer(held or b"", "<u4")
-            machine, parts = Utf8Machine(), []
-            for at in range(0, len(all_ids), BLOCK):
-                parts.append(machine.feed(b"".join(map(get, all_ids[at : at + BLOCK].tolist()))))
-            parts.append(machine.close())
-            out.append("".join(parts))
-        return {text: out}
-
-    return extend(df, f"`{text}` string", run)
+def _decoded(held: list[bytes | None], path: str) -> list[str]:
+    if path not in _vocabularies:
+        _vocabularies[path] = {rank: token for token, rank in read_ranks(path).items()}
+    get, out = _vocabularies[path].__getitem__, []
+    for ids in (np.frombuffer(x or b"", "<u4") for x in held):
+        machine, parts = Utf8Machine(), []
+        for at in range(0, len(ids), BLOCK):
+            parts.append(machine.feed(b"".join(map(get, ids[at : at + BLOCK].tolist()))))
+        parts.append(machine.close())
+        out.append("".join(parts))
+    return out
 
 
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,8 +353,7 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    return decode(ids, path).select(
+    return round_trip(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         F.expr("cast(length(ids) / 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
