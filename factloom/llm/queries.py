@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from factloom.llm.bpe_transducer import op6_bpe_transducer
+from factloom.llm.language_id import op4_language_id
+from factloom.llm.line_dedup import OP9_SQL, op9_line_dedup
+from factloom.llm.packing import op10_packing
 
-QUERIES = {f.__name__: f for f in (op6_bpe_transducer,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_language_id, op6_bpe_transducer, op9_line_dedup, op10_packing)}
+ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
