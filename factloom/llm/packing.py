@@ -21,6 +21,7 @@ not read.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +45,24 @@ _tokenizers: dict[str, tuple] = {}
 
 
 class _Words(dict):
+    """Words to ids. What comes first comes most often, so a full table stays, and starts anew after a long while;
+    words beyond it are kept for one batch."""
+
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.fresh, self.beyond = tokenizer, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        return self.fresh[word]
 
     def learn(self, words: list[str]) -> None:
-        for word, made in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[word] = np.array(made.ids, "<u4").tobytes()
+        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        ids = [array("I", x.ids).tobytes() for x in made]
+        self.fresh = dict(zip(words, ids, strict=True))
+        if len(self) < MAX_WORDS:
+            self.update(self.fresh)
+        else:
+            self.beyond += len(words)
 
 
 def _words(path: str) -> _Words:
@@ -70,7 +82,8 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids as little-endian unsigned 32-bit integers. White space parts what this kind of tokenizer merges, so
     each word is encoded once and remembered."""
     words = _words(path)
-    if len(words) > MAX_WORDS:
+    if words.beyond > 40 * MAX_WORDS:  # other texts by now
+        words.beyond = 0
         words.clear()
     odd = [i for i, x in enumerate(texts) if any(c in x for c in NO_SPACE)]
     split = [x.split() for x in texts]
