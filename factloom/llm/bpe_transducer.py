@@ -26,8 +26,8 @@ from factloom.llm.common import extend, table
 
 #: States, pairs of tokens and pieces of text that a worker remembers.
 MAX_STATES = 30_000
-MAX_PAIRS = 400_000
-MAX_PIECES = 150_000
+MAX_PAIRS = 800_000
+MAX_PIECES = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
