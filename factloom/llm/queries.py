@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from factloom.llm.bpe_transducer import op6_bpe_transducer
+from factloom.llm.imatch import op7_imatch
 from factloom.llm.language_id import op4_language_id
 from factloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from factloom.llm.packing import op10_packing
+from factloom.llm.pii import op3_pii
+from factloom.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op6_bpe_transducer, op9_line_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_language_id, op5_toxicity, op6_bpe_transducer, op7_imatch, op9_line_dedup, op10_packing)}
 ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
