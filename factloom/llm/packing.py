@@ -50,21 +50,64 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.fresh, self.beyond = tokenizer, {}, 0
+        self.tokenizer, self.fresh, self.beyond, self.letters = tokenizer, {}, 0, {}
+        # A word of Latin-1 small letters is one stretch for the splitter and is left alone by the normaliser, so
+        # the tokenizer's model gets it at once; held against the whole tokenizer here, and not used if that differs.
+        self.direct = True
+        tried = ["the", "thing", "qu", "zwischen", "\xe9t\xe9", "ni\xf1o", "stra\xdfe", "\xfc"]
+        self.direct = all(self._model(w) == self._whole([w])[0] for w in tried)
+        self.direct &= all(self._whole([f"{w},!!"])[0] == self._whole([w])[0] + self._whole([",!!"])[0] for w in tried)
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in made]
+
+    def _model(self, word: str) -> bytes:
+        if not word.isascii():
+            for c in set(word) - self.letters.keys():
+                pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)
+                self.letters[c] = "".join(p for p, _ in pieces)
+            word = "".join(map(self.letters.__getitem__, word))
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         return self.fresh[word]
 
     def learn(self, words: list[str]) -> None:
-        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [array("I", x.ids).tobytes() for x in made]
-        self.fresh = dict(zip(words, ids, strict=True))
+        fresh, others, ends = {}, [], set()
+        if self.direct:
+            for word in words:
+                if word.isalpha() and _plain(word):
+                    fresh[word] = self._model(word)
+                elif (core := word.rstrip(MARKS)) != word and core.isalpha() and _plain(core):
+                    ends.add((word, core, word[len(core) :]))
+                else:
+                    others.append(word)
+        else:
+            others = words
+        more = {x for _, _, x in ends if x not in self and x not in fresh}
+        others = list({*others, *more})
+        fresh.update(zip(others, self._whole(others), strict=True))
+        for word, core, mark in ends:
+            known = self.get(core) or fresh.get(core)
+            if known is None:
+                known = fresh[core] = self._model(core)
+            fresh[word] = known + (self.get(mark) or fresh[mark])
+        self.fresh = fresh
         if len(self) < MAX_WORDS:
-            self.update(self.fresh)
+            self.update(fresh)
         else:
             self.beyond += len(words)
 
 
+#: Marks that end words; the splitter parts them from letters. An apostrophe may begin a contraction.
+MARKS = ".,;:!?*%$#&)]}|"
+
+
+def _plain(word: str) -> bool:
+    return word == word.lower() and (word.isascii() or max(word) <= "\xff")
+
+
 def _words(path: str) -> _Words:
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,6 +121,14 @@ def _words(path: str) -> _Words:
 NO_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
     """Ids as little-endian unsigned 32-bit integers. White space parts what this kind of tokenizer merges, so
     each word is encoded once and remembered."""
@@ -86,10 +137,11 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         words.beyond = 0
         words.clear()
     odd = [i for i, x in enumerate(texts) if any(c in x for c in NO_SPACE)]
-    split = [x.split() for x in texts]
+    # the tokenizers lower-case too; where that may hang on a letter's surroundings, it is left to them
+    split = [(x.lower() if words.direct and (x.isascii() or _latin(x)) else x).split() for x in texts]
     for i in odd:
         split[i] = []
-    new = list(set().union(*split) - words.keys())
+    new = [w for w in set().union(*split) if w not in words]
     if new:
         words.learn(new)
     get = words.__getitem__

@@ -47,6 +47,14 @@ def test_query_packs_everything(spark):
     _hold(texts, P.op10_packing(spark, "/root/testdata/sf0.001").collect())
 
 
+def test_words_at_once_are_what_the_tokenizer_makes():
+    assert P._words(PATH).direct
+    t = Tokenizer.from_file(PATH)
+    texts = ["Été, NIÑO!! straße: µ ªº ÿ İstanbul ΣΑΣ é́ e\u0301, it's IT'S, x.y.,! a,b <|endoftext|>, ﬁ ǅ", "the, the THE The) |the the| 12th 1, ,", "don't. l'été,"]
+    for x, made in zip(texts, P.encode_texts(texts, PATH), strict=True):
+        assert np.frombuffer(made, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_odd_rows(spark):
     texts = [None, "", "a b\x1cc d", "Ünï ́x <|endoftext|> 'll I'm", "word " * 3000, "x", "é" * 700, " 　\x85 a"]
     rows = [(i, x, None if i % 3 == 0 else f"s{i % 2}", "clash") for i, x in enumerate(texts)]
