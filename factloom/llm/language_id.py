@@ -12,6 +12,7 @@ are never learned from; other columns pass through, but those with an output's n
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -120,6 +121,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Trains on the rows of ``docs`` that have id, text and language; a bounded, hash-ordered sample of them."""
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l"))
     rows = rows.filter("k IS NOT NULL AND length(t) > 0 AND l IS NOT NULL")
+    # by the hash first, so that each task sends the driver its share of the sample only
+    share = min(1.0, 1.5 * TRAIN_ROWS / max(1, rows.count()))
+    rows = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     stretch = F.expr(f"substr(t, 1 + cast(pmod(xxhash64(k, 1), greatest(1, length(t) - {STRETCH} + 1)) as int), {STRETCH})")
     sample = rows.select(F.xxhash64("k").alias("h"), stretch.alias("t"), "l").orderBy("h", "t", "l").limit(TRAIN_ROWS)
     found = sample.collect()

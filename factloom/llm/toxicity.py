@@ -18,6 +18,8 @@ other columns pass through, but those with an output's name give way; a document
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -259,7 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     sample = []
     for y in (0, 1):
         # ids first: the texts of the chosen alone are read
-        ids = known.filter(F.col("y") == y).join(rows.select("k"), "k").orderBy(F.xxhash64("k"), "k").limit(TRAIN_ROWS)
+        of_label = known.filter(F.col("y") == y)
+        share = min(1.0, 3 * TRAIN_ROWS / max(1, of_label.count()))  # each task sends its share of the sample only
+        of_label = of_label.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
+        ids = of_label.join(rows.select("k"), "k").orderBy(F.xxhash64("k"), "k").limit(TRAIN_ROWS)
         chosen = [r.k for r in ids.select("k").collect()]
         found = rows.filter(F.col("k").isin(chosen)).orderBy("k", "t").limit(2 * TRAIN_ROWS).collect() if chosen else []
         sample += [(r.t, y) for r in found]
