@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from factloom.llm.bpe_transducer import op6_bpe_transducer
+from factloom.llm.cap_filters import op8_cap_filters
 from factloom.llm.imatch import op7_imatch
 from factloom.llm.language_id import op4_language_id
 from factloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from factloom.llm.packing import op10_packing
 from factloom.llm.pii import op3_pii
+from factloom.llm.shingle_join import op1_shingle_join
+from factloom.llm.site_style import op2_site_style
 from factloom.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_language_id, op5_toxicity, op6_bpe_transducer, op7_imatch, op9_line_dedup, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_shingle_join, op2_site_style, op3_pii, op4_language_id, op5_toxicity, op6_bpe_transducer, op7_imatch, op8_cap_filters,
+        op9_line_dedup, op10_packing,
+    )
+}
+#: Models, tokenizers and similarity joins are beyond SQL; their tests hold them against brute force.
 ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
