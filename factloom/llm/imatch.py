@@ -39,7 +39,7 @@ SUBSETS, FEW = 32, 8
 #: Documents of a range of ids, and ranges at most; words that a worker remembers or counts at once.
 RANGE_ROWS, MAX_RANGES, MAX_WORDS = 2000, 10_000, 250_000
 ENDS = ".,;:!?\"'()[]{}<>|*#%$&-_/\\=+~`^"
-_SEEDS = np.random.default_rng(20).integers(1, 2**63, SUBSETS).astype(np.uint64)
+_FACTORS = np.random.default_rng(20).integers(1, 2**63, SUBSETS).astype(np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,14 +106,17 @@ class Fingerprinter:
             kept = found
         terms = np.sort(np.fromiter(kept, np.int64, len(kept))).view(np.uint64)
         level = max(0, len(terms).bit_length() - 1)
+        out = np.zeros((2, SUBSETS), np.uint32)
         with np.errstate(over="ignore"):
-            draw = _mix(terms[:, None] ^ _SEEDS)
-            value = (_mix(terms) | np.uint64(1))[:, None]
-            out = np.zeros((2, SUBSETS), np.uint32)
+            draw = terms[:, None] * _FACTORS  # terms are hashes, so high bits of products draw well
+            at, part = np.nonzero(draw <= np.uint64((1 << (64 - level)) - 1))
+            value = _mix(terms[at]) | np.uint64(1)
             for i in (0, 1):
-                held = draw <= np.uint64((1 << (64 - level - i)) - 1)
-                digest = _mix(np.where(held, value, np.uint64(0)).sum(0, dtype=np.uint64))
-                out[i] = np.where(held.any(0), np.maximum(digest >> np.uint64(32), np.uint64(1)), 0)
+                held = draw[at, part] <= np.uint64((1 << (64 - level - i)) - 1)
+                digest = np.zeros(SUBSETS, np.uint64)
+                np.add.at(digest, part[held], value[held])
+                filled = np.bincount(part[held], minlength=SUBSETS) > 0
+                out[i] = np.where(filled, np.maximum(_mix(digest) >> np.uint64(32), np.uint64(1)), 0)
         return level, out
 
 
