@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,14 +72,13 @@ def document_shares(docs: DataFrame, text: str) -> DataFrame:
     """(term hash, documents that hold it), added up in each task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        terms, count = _Terms(), {}
+        terms, count = _Terms(), Counter()
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                for t in set(map(terms.__getitem__, (x or "").split())):
-                    count[t] = count.get(t, 0) + 1
+                count.update(set(map(terms.__getitem__, (x or "").split())))
             if len(count) > 2 * MAX_WORDS:
                 yield {"term": list(count), "n": list(count.values())}
-                count = {}
+                count = Counter()
         yield {"term": list(count), "n": list(count.values())}
 
     schema = T._parse_datatype_string("term long, n long")
