@@ -45,22 +45,19 @@ _tokenizers: dict[str, tuple] = {}
 
 
 class _Words(dict):
-    """Words to ids. What comes first comes most often, so a full table stays, and starts anew after a long while;
-    words beyond it are kept for one batch."""
+    """Words to ids. What comes first comes most often, so a full table stays, and starts anew after a long while."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.fresh, self.beyond, self.letters = tokenizer, {}, 0, {}
+        self.tokenizer, self.beyond, self.letters = tokenizer, 0, {}
         # A word of Latin-1 small letters is one stretch for the splitter and is left alone by the normaliser, so
         # the tokenizer's model gets it at once; held against the whole tokenizer here, and not used if that differs.
-        self.direct = True
         tried = ["the", "thing", "qu", "zwischen", "\xe9t\xe9", "ni\xf1o", "stra\xdfe", "\xfc"]
-        self.direct = all(self._model(w) == self._whole([w])[0] for w in tried)
-        self.direct &= all(self._whole([f"{w},!!"])[0] == self._whole([w])[0] + self._whole([",!!"])[0] for w in tried)
+        self.direct = all(self._model(w) == self._whole(w) for w in tried)
+        self.direct &= all(self._whole(f"{w},!!") == self._whole(w) + self._whole(",!!") for w in tried)
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in made]
+    def _whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _model(self, word: str) -> bytes:
         if not word.isascii():
@@ -71,33 +68,17 @@ class _Words(dict):
         return array("I", [x.id for x in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        return self.fresh[word]
-
-    def learn(self, words: list[str]) -> None:
-        fresh, others, ends = {}, [], set()
-        if self.direct:
-            for word in words:
-                if word.isalpha() and _plain(word):
-                    fresh[word] = self._model(word)
-                elif (core := word.rstrip(MARKS)) != word and core.isalpha() and _plain(core):
-                    ends.add((word, core, word[len(core) :]))
-                else:
-                    others.append(word)
+        if self.direct and word.isalpha() and _plain(word):
+            ids = self._model(word)
+        elif self.direct and (core := word.rstrip(MARKS)) != word and core.isalpha() and _plain(core):
+            ids = self[core] + self[word[len(core) :]]
         else:
-            others = words
-        more = {x for _, _, x in ends if x not in self and x not in fresh}
-        others = list({*others, *more})
-        fresh.update(zip(others, self._whole(others), strict=True))
-        for word, core, mark in ends:
-            known = self.get(core) or fresh.get(core)
-            if known is None:
-                known = fresh[core] = self._model(core)
-            fresh[word] = known + (self.get(mark) or fresh[mark])
-        self.fresh = fresh
+            ids = self._whole(word)
         if len(self) < MAX_WORDS:
-            self.update(fresh)
+            self[word] = ids
         else:
-            self.beyond += len(words)
+            self.beyond += 1
+        return ids
 
 
 #: Marks that end words; the splitter parts them from letters. An apostrophe may begin a contraction.
@@ -141,9 +122,6 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
     split = [(x.lower() if words.direct and (x.isascii() or _latin(x)) else x).split() for x in texts]
     for i in odd:
         split[i] = []
-    new = [w for w in set().union(*split) if w not in words]
-    if new:
-        words.learn(new)
     get = words.__getitem__
     out = [b"".join(map(get, x)) for x in split]
     for i in odd:
