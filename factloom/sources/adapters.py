@@ -23,12 +23,8 @@ CLASSES = {
     "public_email": "company-email", "address": "company-address", "employee_count": "employee-count",
 }
 PRODUCT_CLASS = "company-product"
-NESTED_SCHEMA = (
-    "data struct<cin:string,company:string,masterData:struct<commonData:map<string,string>,companyData:struct<"
-    "cin:string,companyName:string,companyStatus:string,classOfCompany:string,companyCategory:string,dateOfIncorporation:string,"
-    "rocCode:string,rocName:string,authorisedCapital:string,authorizedCapital:string,paidupCapital:string,paidUpCapital:string,pan:string,"
-    "MCAMDSCompanyAddress:array<map<string,string>>>>>"
-)
+# Keys' spelling matters (two of them differ in a capital only), so the inner objects are maps.
+NESTED_SCHEMA = "data:struct<cin:string,company:string,masterData:struct<commonData:map<string,string>,companyData:map<string,string>>>"
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -60,10 +56,10 @@ def registry_records(rows: DataFrame) -> DataFrame:
 
 def nested_records(documents: DataFrame, content: str = "content") -> DataFrame:
     """SRC-06, SRC-07: one record of each nested document; company data before common data, top-level keys before both."""
-    d = F.from_json(F.col(content), f"struct<{NESTED_SCHEMA.replace('data struct', 'data:struct', 1)}>")["data"]
+    d = F.from_json(F.col(content), f"struct<{NESTED_SCHEMA}>")["data"]
     company, common = d["masterData"]["companyData"], d["masterData"]["commonData"]
     pick = lambda *names: F.coalesce(*(company[n] for n in names), *(common[n] for n in names))
-    addresses = company["MCAMDSCompanyAddress"]
+    addresses = F.from_json(company["MCAMDSCompanyAddress"], "array<map<string,string>>")
     registered = F.filter(addresses, lambda a: a["addressType"] == REGISTERED)
     address = F.coalesce(F.get(registered, F.lit(0)), F.get(addresses, F.lit(0)))
     spelled = lambda *names: F.coalesce(*(address[n] for n in names))
