@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
 from statistics import NormalDist
 
 import numpy as np
@@ -101,50 +100,47 @@ def _units(lists: list) -> np.ndarray:
 
 
 def _joined(links: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two lists of classes."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    out = []
-    label: dict[int, int] = {}
+    """A spanning forest of the links between two lists of classes, one of which may be the other."""
+    ids, place = np.unique(np.concatenate([mine, theirs]), return_inverse=True)
+    a, b = place[: len(mine)], place[len(mine) :]
+    group, out = np.arange(len(ids)), []
     for i in np.flatnonzero(links.any(1)):
         others = np.flatnonzero(links[i])
-        a = root(int(mine[i]))
-        for j in others:
-            b = int(theirs[j])
-            if label.get(b) != a and (r := root(b)) != a:
-                out.append((int(mine[i]), b))
-                parent[r] = a
-            label[b] = a
+        others = others[group[b[others]] != group[a[i]]]
+        while len(others):
+            out.append((int(mine[i]), int(theirs[others[0]])))
+            group[group == group[b[others[0]]]] = group[a[i]]
+            others = others[group[b[others]] != group[a[i]]]
     return out
 
 
-def _pairs(rows: list[tuple], same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a group between the chunks' members: the links that no earlier filter holds, and the members."""
-    left = [r for r in rows if r[1] == 0]
-    right = left if same else [r for r in rows if r[1] == 1]
-    if not left or not right:
-        return np.zeros((0, 0), bool), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    links = _units([r[4] for r in left]) @ _units([r[4] for r in right]).T >= cosine
-    if same:
-        np.fill_diagonal(links, False)
-    this = rows[0][0]
-    lower = sorted({f for r in rows for f in r[5] if f < this})
-    if lower and links.any():
-        at = {f: i for i, f in enumerate(lower)}
-
-        def held(part: list[tuple]) -> np.ndarray:
-            m = np.zeros((len(part), len(lower)), np.float32)
-            for i, r in enumerate(part):
-                m[i, [at[f] for f in r[5] if f < this]] = 1
-            return m
-
-        links &= held(left) @ held(right).T < 0.5
-    return links, np.array([r[2] for r in left]), np.array([r[2] for r in right]), np.array([r[3] for r in right])
+class _Members:
+    """A group's rows as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.filter = batch.column(1)[0].as_py()
+        self.same = batch.column(2)[0].as_py() == batch.column(3)[0].as_py()
+        self.side, self.id, self.copies = (batch.column(i).to_numpy() for i in (4, 5, 6))
+        vectors = batch.column(7).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(self.id), -1)
+        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        filters = batch.column(8)
+        offsets = filters.offsets.to_numpy()
+        values, owner = filters.flatten().to_numpy(), np.repeat(np.arange(len(self.id)), np.diff(offsets))
+        below = values < self.filter
+        self.lower, place = np.unique(values[below], return_inverse=True)
+        self.held = np.zeros((len(self.id), len(self.lower)), np.float32)
+        self.held[owner[below], place] = 1
+
+    def pairs(self, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links that no earlier filter holds between the chunks' members, and who these are."""
+        left = np.flatnonzero(self.side == 0)
+        right = left if self.same else np.flatnonzero(self.side == 1)
+        found = self.unit[left] @ self.unit[right].T >= cosine
+        if self.same:
+            np.fill_diagonal(found, False)
+        if found.any() and len(self.lower):
+            found &= self.held[left] @ self.held[right].T < 0.5
+        return found, left, right
 
 
 def links(classes: DataFrame, cosine: float) -> DataFrame:
@@ -175,23 +171,40 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
     rows = rows.select("length", "f", "g.a", "g.b", (F.col("own") != F.col("g.a")).cast("int").alias("side"), "id", "copies", "vector", "filters")
     rows = rows.repartition("length", "f", "a", "b").sortWithinPartitions("length", "f", "a", "b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        def stream() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of each group of a sorted partition."""
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            keys = [batch.column(i).to_numpy() for i in range(4)]
+            cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+                now = tuple(k[a] for k in keys)
+                if held and now != key:
+                    yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                    held = []
+                key = now
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
 
-        for (_, f, a, b), part in groupby(stream(), key=lambda r: r[:4]):
-            members = [(f, side, id_, copies, v, fs) for _, _, _, _, side, id_, copies, v, fs in part]
-            if len(members) < 2:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        out: list[tuple] = []
+        for part in groups(b for b in batches if b.num_rows):
+            if part.num_rows < 2:
                 continue
-            found, mine, theirs, copies = _pairs(members, a == b, cosine)
+            m = _Members(part)
+            found, left, right = m.pairs(cosine)
             if not found.any():
                 continue
-            out = [(int(u), None, int(n)) for u, n in zip(mine, found @ copies, strict=True) if n]
-            if a != b:
-                own = np.array([m[3] for m in members if m[1] == 0])
-                out += [(int(v), None, int(n)) for v, n in zip(theirs, own @ found, strict=True) if n]
-            out += [(u, v, 0) for u, v in _joined(found, mine, theirs)]
+            out += [(int(u), None, int(n)) for u, n in zip(m.id[left], found @ m.copies[right], strict=True) if n]
+            if not m.same:
+                out += [(int(v), None, int(n)) for v, n in zip(m.id[right], m.copies[left] @ found, strict=True) if n]
+            out += [(u, v, 0) for u, v in _joined(found, m.id[left], m.id[right])]
+            if len(out) > 20_000:
+                yield dict(zip(("u", "v", "n"), map(list, zip(*out, strict=True)), strict=True))
+                out = []
+        if out:
             yield dict(zip(("u", "v", "n"), map(list, zip(*out, strict=True)), strict=True))
 
     return written(map_batches(rows, T._parse_datatype_string("u long, v long, n long"), compare), "links")
