@@ -5,8 +5,8 @@ share lies within a band (neither rare nor everywhere) are the lexicon; shares a
 as a term of the band is in ``LOW`` of all documents at least, the lexicon has no more than (mean distinct terms
 of a document) / ``LOW`` entries, whatever the size of the corpus. A document's distinct lexicon terms, sorted,
 are hashed once for each of ``SUBSETS`` randomised parts of the lexicon. One rate for all parts would suit one length
-of text only, so parts come at rates 1/2, 1/4, ...; a document with m terms carries the hashes of the two rates
-nearest to one term a part, and documents are compared at the rates that both carry.
+of text only, so parts come at rates 1/2, 1/4, ...; a document carries the hashes of the two rates that leave a part
+half a term to one, and a quarter to a half, and documents are compared at the rates that both carry.
 
 The likeness of two fingerprints is the share of equal hashes among the parts in which either has a term.
 
@@ -105,7 +105,7 @@ class Fingerprinter:
         if len(kept) < FEW:
             kept = found
         terms = np.sort(np.fromiter(kept, np.int64, len(kept))).view(np.uint64)
-        level = max(0, len(terms).bit_length() - 1)
+        level = len(terms).bit_length()
         out = np.zeros((2, SUBSETS), np.uint32)
         with np.errstate(over="ignore"):
             draw = terms[:, None] * _FACTORS  # terms are hashes, so high bits of products draw well
@@ -134,7 +134,7 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     shift = a[0] - b[0]
     if abs(shift) > 1:
         return 0.0
-    x, y = (a[1][1:], b[1][1:]) if shift == 0 else (a[1][:1], b[1][1:]) if shift == 1 else (a[1][1:], b[1][:1])
+    x, y = (a[1], b[1]) if shift == 0 else (a[1][:1], b[1][1:]) if shift == 1 else (a[1][1:], b[1][:1])
     used = (x != 0) | (y != 0)
     if not used.any():
         return float(np.array_equal(a[1], b[1]))
