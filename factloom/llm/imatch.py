@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ from factloom.llm.common import map_batches, table
 LOW, HIGH = 0.0005, 0.15
 SUBSETS, FEW = 32, 8
 #: Documents of a range of ids, and ranges at most; words that a worker remembers or counts at once.
-RANGE_ROWS, MAX_RANGES, MAX_WORDS = 2000, 10_000, 250_000
+RANGE_ROWS, MAX_RANGES, MAX_WORDS = 2000, 10_000, 400_000
 ENDS = ".,;:!?\"'()[]{}<>|*#%$&-_/\\=+~`^"
 _FACTORS = np.random.default_rng(20).integers(1, 2**63, SUBSETS).astype(np.uint64) | np.uint64(1)
 
@@ -58,21 +59,32 @@ def hash_of(term: str) -> int:
 
 
 class _Terms(dict):
-    """Word as it stands to the hash of its term, 0 for none."""
+    """Word as it stands to the hash of its term; 0 for none, and for terms outside the band, if there is one."""
+
+    def __init__(self, band: frozenset[int] | None = None):
+        super().__init__()
+        self.band = band
 
     def __missing__(self, word: str) -> int:
         term = term_of(word)
         value = (hash_of(term) or 1) if term else 0
+        if self.band is not None and value not in self.band:
+            value = 0
         if len(self) < MAX_WORDS and len(word) < 64:
             self[word] = value
         return value
 
 
+#: A worker's tables, for all its tasks.
+_all_terms = _Terms()
+_makers: dict[int, Fingerprinter] = {}
+
+
 def document_shares(docs: DataFrame, text: str) -> DataFrame:
     """(term hash, documents that hold it), added up in each task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        terms, count = _Terms(), Counter()
+        terms, count = _all_terms, Counter()
         for batch in batches:
             for x in batch.column(0).to_pylist():
                 count.update(set(map(terms.__getitem__, (x or "").split())))
@@ -95,15 +107,16 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
 
 class Fingerprinter:
     def __init__(self, band: np.ndarray):
-        self.band, self.terms = set(band.tolist()), _Terms()
+        self.terms = _Terms(frozenset(band.tolist()))
 
     def hashes(self, text: str) -> tuple[int, np.ndarray]:
         """The denser rate's level, and (2, SUBSETS) hashes; 0 where the part has no term of the text."""
-        found = set(map(self.terms.__getitem__, text.split()))
-        found.discard(0)
-        kept = found & self.band
+        words = text.split()
+        kept = set(map(self.terms.__getitem__, words))
+        kept.discard(0)
         if len(kept) < FEW:
-            kept = found
+            kept = set(map(_all_terms.__getitem__, words))
+            kept.discard(0)
         terms = np.sort(np.fromiter(kept, np.int64, len(kept))).view(np.uint64)
         level = len(terms).bit_length()
         out = np.zeros((2, SUBSETS), np.uint32)
@@ -120,6 +133,15 @@ class Fingerprinter:
         return level, out
 
 
+def _maker(band: np.ndarray) -> Fingerprinter:
+    key = zlib.crc32(band.tobytes())
+    if key not in _makers:
+        _makers.clear()
+        _all_terms.clear()
+        _makers[key] = Fingerprinter(band)
+    return _makers[key]
+
+
 def shown(made: tuple[int, np.ndarray]) -> str:
     return f"{made[0]:02x}{made[1].astype('>u4').tobytes().hex()}"
 
@@ -146,12 +168,10 @@ def fingerprints(docs: DataFrame, band: np.ndarray, text: str = "text") -> DataF
     from factloom.llm.common import extend
 
     shared = docs.sparkSession.sparkContext.broadcast(band)
-    made: list[Fingerprinter] = []
 
     def run(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append(Fingerprinter(shared.value))
-        return {"fingerprint": [shown(made[0].hashes(x or "")) for x in batch.column(text).to_pylist()]}
+        maker = _maker(shared.value)
+        return {"fingerprint": [shown(maker.hashes(x or "")) for x in batch.column(text).to_pylist()]}
 
     return extend(docs, "fingerprint string", run)
 
@@ -227,7 +247,7 @@ def edited_fingerprints(docs: DataFrame, band: np.ndarray, key: str = "doc_id",
                 held = now
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        maker, last, out = Fingerprinter(shared.value), (None, None), []
+        maker, last, out = _maker(shared.value), (None, None), []
 
         def flush() -> dict:
             columns = dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True))
