@@ -122,7 +122,7 @@ class Fingerprinter:
         out = np.zeros((2, SUBSETS), np.uint32)
         with np.errstate(over="ignore"):
             draw = terms[:, None] * _FACTORS  # terms are hashes, so high bits of products draw well
-            at, part = np.nonzero(draw <= np.uint64((1 << (64 - level)) - 1))
+            at, part = np.divmod(np.flatnonzero(draw <= np.uint64((1 << (64 - level)) - 1)), SUBSETS)
             value = _mix(terms[at]) | np.uint64(1)
             for i in (0, 1):
                 held = draw[at, part] <= np.uint64((1 << (64 - level - i)) - 1)
