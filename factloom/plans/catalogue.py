@@ -277,9 +277,9 @@ _PARTS = {k: f"CAST({k2}(o_orderdate) AS VARCHAR(9))" for k, k2 in (("d", "day")
 _DAY = _DAY.format(iso="concat({y}, '-', {m}, '-', {d})".format(**_PARTS), **_PARTS)
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS parsed FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS parsed FROM orders")
 def norm_flexible_date(t: Tables) -> DataFrame:
-    return t.table("orders").select("o_orderkey", values.flexible_date(F.expr(_DAY)).alias("parsed"))
+    return t.table("orders").select("o_orderkey", values.flexible_date(F.expr(_DAY)).cast("string").alias("parsed"))
 
 
 @query(
@@ -398,15 +398,16 @@ def schema_discovery(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT dataset, list_sort(list_filter(cols, lambda x: NOT list_contains(['CIN', 'ROC', 'STATE'], x))) AS unknown, list_sort(list_filter(cols, lambda x: list_contains(['CIN', 'ROC', 'STATE'], x))) AS matched, "
-    "list_sort(list_filter(['CIN', 'ROC', 'STATE'], lambda x: NOT list_contains(cols, x))) AS missing FROM (SELECT company_id AS dataset, [CASE WHEN company_id % 2 = 0 THEN 'CIN' ELSE 'OTHER' END, "
+    "SELECT dataset, array_to_string(list_sort(list_filter(cols, lambda x: NOT list_contains(['CIN', 'ROC', 'STATE'], x))), ',') AS unknown, array_to_string(list_sort(list_filter(cols, lambda x: list_contains(['CIN', 'ROC', 'STATE'], x))), ',') AS matched, "
+    "array_to_string(list_sort(list_filter(['CIN', 'ROC', 'STATE'], lambda x: NOT list_contains(cols, x))), ',') AS missing FROM (SELECT company_id AS dataset, [CASE WHEN company_id % 2 = 0 THEN 'CIN' ELSE 'OTHER' END, "
     "CASE WHEN company_id % 3 = 0 THEN 'ROC' ELSE 'FUTURE' END] AS cols FROM companies)",
     "companies",
 )
 def mapping_compare(t: Tables) -> DataFrame:
     """AGG-14, SET-02."""
     cols = F.expr("array(CASE WHEN company_id % 2 = 0 THEN 'cin (x)' ELSE 'Other' END, CASE WHEN company_id % 3 = 0 THEN ' roc ' ELSE 'future' END)")
-    return mapping.compared(t.view("companies").select(F.col("company_id").alias("dataset"), cols.alias("columns")), ["CIN", "ROC", "STATE"])
+    found = mapping.compared(t.view("companies").select(F.col("company_id").alias("dataset"), cols.alias("columns")), ["CIN", "ROC", "STATE"])
+    return found.select("dataset", *(F.array_join(c, ",").alias(c) for c in ("unknown", "matched", "missing")))
 
 
 @query(
@@ -500,14 +501,14 @@ def cnf_rollup(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ROLLED} SELECT e.company_id, round(avg(round(raw, 3)), 3) AS confidence, max(CASE WHEN verification_type = 'verified' THEN newest END) AS last_verified_at,
+    f"""WITH {_ROLLED} SELECT e.company_id, round(avg(round(raw, 3)), 3) AS confidence, epoch_us(max(CASE WHEN verification_type = 'verified' THEN newest END)) AS last_verified_at,
     count(*) AS field_count, any_value(n.source_count) AS source_count FROM evidence e JOIN (SELECT company_id, count(DISTINCT source_id) AS source_count FROM scored GROUP BY 1) n
     ON e.company_id = n.company_id GROUP BY e.company_id""",
     "observations", "sources",
 )
 def cnf_company(t: Tables) -> DataFrame:
     scores = _scores(t)
-    return evidence.company_confidence(evidence.roll_up(scores), scores)
+    return evidence.company_confidence(evidence.roll_up(scores), scores).withColumn("last_verified_at", F.unix_micros("last_verified_at"))
 
 
 @query(
@@ -592,7 +593,7 @@ def er_exact_candidates(t: Tables) -> DataFrame:
 
 
 @query(
-    f"WITH {_EXACT} SELECT record_id, company_id, CASE WHEN by_cin THEN 1.0 WHEN by_gstin THEN 0.95 ELSE 0.75 END AS score, "
+    f"WITH {_EXACT} SELECT record_id, company_id, CAST(CASE WHEN by_cin THEN 1.0 WHEN by_gstin THEN 0.95 ELSE 0.75 END AS DOUBLE) AS score, "
     "CASE WHEN by_cin OR by_gstin THEN 'auto_match' ELSE 'review' END AS decision FROM found"
 )
 def er_score_rules(t: Tables) -> DataFrame:
@@ -645,12 +646,12 @@ def review_decisions(t: Tables) -> DataFrame:
 
 @query(
     """SELECT source_id, count(*) AS total_jobs, CAST(sum(records_updated) AS BIGINT) AS records_total, arg_max(status, (created_at, job_id)) AS last_status,
-    max(created_at) AS last_run_at, max(CASE WHEN status = 'success' THEN finished_at END) AS last_success_at,
+    epoch_us(max(created_at)) AS last_run_at, epoch_us(max(CASE WHEN status = 'success' THEN finished_at END)) AS last_success_at,
     arg_max(error_summary, (created_at, job_id)) FILTER (WHERE status = 'failed') AS last_error FROM jobs GROUP BY source_id""",
     "jobs",
 )
 def source_health(t: Tables) -> DataFrame:
-    return health.source_health(t.view("jobs"))
+    return health.source_health(t.view("jobs")).withColumns({c: F.unix_micros(c) for c in ("last_run_at", "last_success_at")})
 
 
 _SHOWN = "coalesce(nullif(s.display_name, ''), s.name)"
@@ -683,9 +684,9 @@ def source_list(t: Tables) -> DataFrame:
     return health.health_of_all(t.view("sources"), t.view("jobs")).select("source_id", "shown", "total_jobs")
 
 
-@query("SELECT job_id, created_at FROM jobs WHERE status = 'failed' ORDER BY created_at DESC, job_id LIMIT 50", "jobs")
+@query("SELECT job_id, epoch_us(created_at) AS created_at FROM jobs WHERE status = 'failed' ORDER BY jobs.created_at DESC, job_id LIMIT 50", "jobs")
 def job_list(t: Tables) -> DataFrame:
-    return health.job_list(t.view("jobs"), "failed").select("job_id", "created_at")
+    return health.job_list(t.view("jobs"), "failed").select("job_id", F.unix_micros("created_at").alias("created_at"))
 
 
 @query(
