@@ -16,7 +16,7 @@ from factloom.llm import language_id, line_dedup, packing, pii, shingle_join
 from factloom.llm.common import table, written
 
 #: A document whose likeliest language gets less than this is in none that was learned.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def _with(docs: DataFrame, made: tuple[str, ...], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
