@@ -501,7 +501,7 @@ def cnf_rollup(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {_ROLLED} SELECT e.company_id, round(avg(round(raw, 3)), 3) AS confidence, epoch_us(max(CASE WHEN verification_type = 'verified' THEN newest END)) AS last_verified_at,
+    f"""WITH {_ROLLED} SELECT e.company_id, CAST((2 * sum(CAST(round(raw * 1000) AS BIGINT)) + count(*)) // (2 * count(*)) AS DOUBLE) / 1000 AS confidence, epoch_us(max(CASE WHEN verification_type = 'verified' THEN newest END)) AS last_verified_at,
     count(*) AS field_count, any_value(n.source_count) AS source_count FROM evidence e JOIN (SELECT company_id, count(DISTINCT source_id) AS source_count FROM scored GROUP BY 1) n
     ON e.company_id = n.company_id GROUP BY e.company_id""",
     "observations", "sources",
