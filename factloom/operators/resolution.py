@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
+from factloom.operators.cut import cut
 
 # What matches score, the decision bands, and the search's bounds.
 CIN_SCORE, GSTIN_SCORE, DOMAIN_SCORE, EMAIL_SCORE = 1.0, 0.95, 0.75, 0.60
@@ -140,17 +139,7 @@ def first_come(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     more. A node is new unless an earlier neighbour is; the rest goes to review. Rounds to a fixpoint, each cut by a
     table in the shared folder: an open node with a new earlier neighbour is reviewed, one without open or new earlier
     neighbours is new."""
-    spark = nodes.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     state = nodes.select("id", F.lit("open").alias("state"))
-
-    def cut(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df.cache()
-        path = f"{folder.rstrip('/')}/first-come-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     while True:
         before = edges.join(state.select(F.col("id").alias("earlier"), F.col("state").alias("s")), "earlier")
         seen = before.groupBy("later").agg(F.max((F.col("s") == "new").cast("int")).alias("new"), F.max((F.col("s") == "open").cast("int")).alias("open"))
@@ -158,6 +147,6 @@ def first_come(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             "id",
             F.when(F.col("state") != "open", F.col("state")).when(F.col("new") == 1, "review").when(F.coalesce("open", F.lit(0)) == 0, "new").otherwise("open").alias("state"),
         )
-        state = cut(judged)
+        state = cut(judged, "first-come")
         if not state.filter("state = 'open'").limit(1).count():
             return state
