@@ -90,6 +90,16 @@ def import_quality(rows: DataFrame) -> DataFrame:
     return totals.crossJoin(again(cin, "duplicate_cin")).crossJoin(again(F.lower(text.strip_all(F.coalesce("name", F.lit("")))), "duplicate_name"))
 
 
+def custom_import_stats(rows: DataFrame, kinds: dict[str, str], name: str = "legal_name") -> DataFrame:
+    """AGG-11: of a mapped custom file: rows, rows with and without a name, and cells that aren't of their field's type."""
+    named = F.coalesce(text.strip_all(F.col(name)) != "", F.lit(False))
+    bad = [F.coalesce(~values.matches_type(F.col(c), k), F.lit(False)).cast("int") for c, k in kinds.items() if c in rows.columns and k != "string"]
+    cells = F.sum(sum(bad[1:], bad[0])) if bad else F.sum(F.lit(0))
+    return rows.agg(
+        F.count("*").alias("rows"), F.count_if(named).alias("valid"), F.count_if(~named).alias("invalid"), F.coalesce(cells, F.lit(0)).cast("bigint").alias("skipped_cells")
+    )
+
+
 def repeats_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
     """WIN-04: rows whose key stood in an earlier row."""
     seen = Window.partitionBy(key).orderBy(order)

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text, values
-from factloom.operators import evidence, filter_tree as tree, health, resolution, search
+from factloom.operators import evidence, filter_tree as tree, health, projections, resolution, search
 from factloom.plans import filter_sql
 from factloom.plans.bridge import Tables, duckdb
-from factloom.sources import adapters, mapping, sinks
+from factloom.sources import adapters, demo, mapping, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -466,6 +466,31 @@ def sink_rewrites(t: Tables) -> DataFrame:
     return sinks.upserted(kept, base.filter("company_id % 9 = 0").withColumn("industry", F.lit("replaced")), ["company_id"])
 
 
+@query(
+    f"SELECT count(*) AS rows, count(*) FILTER (WHERE job_id % 7 <> 0) AS valid, count(*) FILTER (WHERE job_id % 7 = 0) AS invalid, count(*) FILTER (WHERE job_id % 6 IN (1, 3, 4)) AS skipped_cells FROM jobs",
+    "jobs",
+)
+def custom_import_stats(t: Tables) -> DataFrame:
+    """AGG-11."""
+    rows = t.view("jobs").select(F.expr("CASE WHEN job_id % 7 = 0 THEN ' ' ELSE 'Name' END").alias("legal_name"), F.expr(_MONEY).alias("annual_revenue_inr"))
+    return health.custom_import_stats(rows, mapping.CUSTOM_TYPES)
+
+
+@query(
+    "SELECT company_id AS id, canonical_name, state, country_code, employee_count, annual_revenue_inr, confidence FROM companies", "companies",
+)
+def company_out(t: Tables) -> DataFrame:
+    """PRJ-01."""
+    out = projections.company_out(t.view("companies"))
+    return out.select("id", "canonical_name", "state", "country_code", "employee_count", "annual_revenue_inr", "confidence")
+
+
+@query()
+def demo_companies(t: Tables) -> DataFrame:
+    """SRC-17."""
+    return demo.companies(t.spark)
+
+
 # --- evidence -------------------------------------------------------------------------------------------------------
 
 _SCORED = """scored AS (SELECT o.company_id, o.source_id, o.field, o.value, o.verification_type, o.collected_at, o.obs_id, lower(trim(coalesce(o.value, ''))) AS value_key,

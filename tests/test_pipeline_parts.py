@@ -240,3 +240,26 @@ def test_stream_takes_each_observation_once(spark, tmp_path):
     q = file_drop.run_available(file_drop.counts(file_drop.observations(spark, str(tmp_path / "in"))), str(tmp_path / "cp2"), lambda df, _: counted.extend(df.collect()), "update")
     q.awaitTermination()
     assert {r.source_id: r.observations for r in counted} == {2: 1, 3: 1}
+
+
+def test_demo_companies_are_the_same_for_a_seed(spark):
+    from factloom.sources import demo
+
+    rows = demo.companies(spark, 500, 7).collect()
+    assert sorted(rows) == sorted(demo.companies(spark, 500, 7).repartition(5).collect()) and rows != demo.companies(spark, 500, 8).collect()
+    count = {name: sum(r.shape == name for r in rows) for name, _ in demo.SHAPES}
+    assert all(abs(count[name] / 5 - weight) < 8 for name, weight in demo.SHAPES)
+    assert all((r.employee_count is None) == (r.shape in ("revenue_only", "ranges", "unknown")) for r in rows)
+
+
+def test_listings(spark):
+    from factloom.operators import projections as P
+
+    years = spark.createDataFrame([(1, "2020-21"), (1, "2022-23"), (2, "2024-25")], "company_id long, financial_year string")
+    assert [r.financial_year for r in P.financial_history(years, 1).collect()] == ["2022-23", "2020-21"] and H.newest_financials(years).count() == 2
+    gst = spark.createDataFrame([(1, "g1", False, "A"), (1, "g2", True, "Z"), (1, "g3", False, None)], "company_id long, gstin string, is_primary boolean, state string")
+    assert [r.gstin for r in P.gst_registrations(gst, 1).collect()] == ["g2", "g1", "g3"]
+    shown = P.company_out(spark.createDataFrame([(1, "x")], "company_id long, canonical_name string").withColumn("annual_revenue_inr", F.lit("1.5").cast("decimal(20,2)")))
+    assert shown.columns == list(P.COMPANY) and dict(shown.dtypes)["annual_revenue_inr"] == "double"
+    rows = spark.createDataFrame([("A", "12x"), (None, "3")], "legal_name string, employee_count string")
+    assert tuple(H.custom_import_stats(rows, M.CUSTOM_TYPES).first()) == (2, 1, 1, 1)
