@@ -87,7 +87,9 @@ def import_quality(rows: DataFrame) -> DataFrame:
         F.count_if(bad_money).alias("malformed_money"),
     )
     again = lambda key, name: rows.filter(key != "").groupBy(key.alias("k")).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias(name))
-    return totals.crossJoin(again(cin, "duplicate_cin")).crossJoin(again(F.lower(text.strip_all(F.coalesce("name", F.lit("")))), "duplicate_name"))
+    name = F.lower(text.strip_all(F.coalesce("name", F.lit(""))))
+    each = totals.unionByName(again(cin, "duplicate_cin"), True).unionByName(again(name, "duplicate_name"), True)
+    return each.agg(*(F.max(c).alias(c) for c in each.columns))  # three rows, each with counters of its own
 
 
 def custom_import_stats(rows: DataFrame, kinds: dict[str, str], name: str = "legal_name") -> DataFrame:
@@ -145,8 +147,14 @@ def allowed_calls(calls: DataFrame) -> DataFrame:
                 held.append(at)
         return pdf.assign(allowed=out)[["source_id", "call_id", "allowed"]]
 
+    # a minute without calls forgets all before it, so a source's calls fold stretch by stretch
     kind = dict(calls.dtypes)
-    return calls.groupBy("source_id").applyInPandas(fold, f"source_id {kind['source_id']}, call_id {kind['call_id']}, allowed boolean")
+    order = Window.partitionBy("source_id").orderBy("at", "call_id")
+    apart = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(order).cast("timestamp")) >= RATE_WINDOW_SECONDS * 1_000_000
+    stretch = F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order)
+    return calls.withColumn("stretch", stretch).groupBy("source_id", "stretch").applyInPandas(
+        fold, f"source_id {kind['source_id']}, call_id {kind['call_id']}, allowed boolean"
+    )
 
 
 def broken_rules(companies: DataFrame, evidence: DataFrame, financials: DataFrame, jobs: DataFrame) -> DataFrame:
