@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -134,27 +136,27 @@ def queue_detail(queue: DataFrame, companies: DataFrame) -> DataFrame:
 
 def allowed_calls(calls: DataFrame) -> DataFrame:
     """WIN-08, STM-04: calls (source_id, at, limit_per_minute, call_id) with whether each is allowed: fewer than the limit
-    were allowed within the sixty seconds before. Turned-down calls don't count, so each source is a fold in order."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "call_id"], kind="stable")
-        held: list[float] = []
-        out = []
-        for at, limit in zip(pdf["at"].astype("int64") / 1e9 if pdf["at"].dtype.kind != "M" else pdf["at"].astype("datetime64[us]").astype("int64") / 1e6, pdf["limit_per_minute"], strict=True):
-            held = [t for t in held if t > at - RATE_WINDOW_SECONDS]
-            out.append(len(held) < limit)
-            if out[-1]:
-                held.append(at)
-        return pdf.assign(allowed=out)[["source_id", "call_id", "allowed"]]
-
-    # a minute without calls forgets all before it, so a source's calls fold stretch by stretch
+    were allowed within the sixty seconds before. Turned-down calls don't count, so each source is a fold in order: its
+    calls stream by, and only the last minute's allowed ones are held."""
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, held = None, deque()
+        for part in parts:
+            out = []
+            for s, at, limit in zip(part["source_id"], part["micros"], part["limit_per_minute"], strict=True):
+                if s != source:
+                    source, held = s, deque()
+                while held and held[0] <= at - RATE_WINDOW_SECONDS * 1_000_000:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(at)
+            yield pd.DataFrame({"source_id": part["source_id"], "call_id": part["call_id"], "allowed": out})
+
     kind = dict(calls.dtypes)
-    order = Window.partitionBy("source_id").orderBy("at", "call_id")
-    apart = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(order).cast("timestamp")) >= RATE_WINDOW_SECONDS * 1_000_000
-    stretch = F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order)
-    return calls.withColumn("stretch", stretch).groupBy("source_id", "stretch").applyInPandas(
-        fold, f"source_id {kind['source_id']}, call_id {kind['call_id']}, allowed boolean"
-    )
+    rows = calls.select("source_id", F.unix_micros(F.col("at").cast("timestamp")).alias("micros"), "limit_per_minute", "call_id")
+    rows = rows.repartition("source_id").sortWithinPartitions("source_id", "micros", "call_id")
+    return rows.mapInPandas(fold, f"source_id {kind['source_id']}, call_id {kind['call_id']}, allowed boolean")
 
 
 def broken_rules(companies: DataFrame, evidence: DataFrame, financials: DataFrame, jobs: DataFrame) -> DataFrame:
