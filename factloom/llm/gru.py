@@ -6,6 +6,8 @@ Inputs come already projected to the three gates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 Params = dict[str, np.ndarray]
@@ -65,16 +67,21 @@ class Adam:
             self.params[k] -= (self.rate * seen_m / (np.sqrt(seen_v) + 1e-8)).astype(self.params[k].dtype)
 
 
-def scan(tables: np.ndarray, codes: np.ndarray, u: np.ndarray, out: np.ndarray, live: np.ndarray | None = None):
-    """Yields (t, out @ state) over time for inputs given as columns of ``tables`` (3 hidden, inputs).
+def prepared(tables: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For scan(): inputs as columns of ``tables`` (3 hidden, inputs), feature-major, with the sigmoids' factor folded in."""
+    half = np.ones(u.shape[1], np.float32)
+    half[: 2 * u.shape[0]] = 0.5
+    return np.ascontiguousarray((tables * half[:, None]).astype(np.float32)), np.ascontiguousarray((u * half).T.astype(np.float32))
 
-    codes: (time, batch); out: (rows, hidden); live: where false, the state stays as it is. Feature-major, with
-    the sigmoids' factor folded into the tables, so each step is a product, a gather and two tanh calls."""
-    hidden = u.shape[0]
-    half = np.ones(3 * hidden, np.float32)
-    half[: 2 * hidden] = 0.5
-    tables = np.ascontiguousarray((tables * half[:, None]).astype(np.float32))
-    u_t = np.ascontiguousarray((u * half).T.astype(np.float32))
+
+def scan(
+    tables: np.ndarray, u_t: np.ndarray, codes: np.ndarray, out: np.ndarray, live: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Yields (t, out @ state) over time, for what prepared() made.
+
+    codes: (time, batch); out: (rows, hidden); live: where false, the state stays as it is. Each step is a product,
+    a gather and two tanh calls."""
+    hidden = u_t.shape[1]
     out = np.ascontiguousarray(out.astype(np.float32))
     h = np.zeros((hidden, codes.shape[1]), np.float32)
     a, x = np.empty((3 * hidden, codes.shape[1]), np.float32), np.empty((3 * hidden, codes.shape[1]), np.float32)

@@ -91,15 +91,16 @@ def probabilities(texts: list[bytes], model: dict) -> np.ndarray:
     at = begin[doc] + nth * CORE
     filled = np.minimum(CORE, sizes[doc] - nth * CORE)
     total = np.zeros((len(doc), out.shape[1]))
+    ahead, back = gru.prepared(model["xf"].T, model["uf"]), gru.prepared(model["xb"].T, model["ub"])
     for lo in range(0, len(doc), 4096):
         part = slice(lo, lo + 4096)
         codes = data[at[part][None, :] + np.arange(CORE + 2 * CONTEXT)[:, None]].astype(np.intp)
         logits = np.empty((CORE, out.shape[1], codes.shape[1]), np.float32)
         steps = len(codes)
-        for t, made in gru.scan(model["xf"].T, codes[: CONTEXT + CORE], model["uf"], model["w"][:HIDDEN].T):
+        for t, made in gru.scan(*ahead, codes[: CONTEXT + CORE], model["w"][:HIDDEN].T):
             if t >= CONTEXT:
                 logits[t - CONTEXT] = made
-        for t, made in gru.scan(model["xb"].T, codes[: CONTEXT - 1 : -1], model["ub"], model["w"][HIDDEN:].T):
+        for t, made in gru.scan(*back, codes[: CONTEXT - 1 : -1], model["w"][HIDDEN:].T):
             if CONTEXT <= t:
                 logits[steps - 1 - t - CONTEXT] += made
         logits += model["b"][:, None]

@@ -122,13 +122,13 @@ def score_windows(inputs: np.ndarray, codes: np.ndarray, p: gru.Params) -> np.nd
     """Probabilities of windows; the last row of ``inputs`` is the blank, at which states stay and nothing pools."""
     live = codes != len(inputs) - 1
     out, eye = np.empty(codes.shape[1]), np.eye(HIDDEN, dtype=np.float32)
-    table_f, table_b = (inputs @ p["xf"] + p["bf"]).T, (inputs @ p["xb"] + p["bb"]).T
+    ahead, back = gru.prepared((inputs @ p["xf"] + p["bf"]).T, p["uf"]), gru.prepared((inputs @ p["xb"] + p["bb"]).T, p["ub"])
     for lo in range(0, codes.shape[1], 4096):
         part, on = codes[:, lo : lo + 4096], live[:, lo : lo + 4096]
         states = np.empty((len(part), 2 * HIDDEN, part.shape[1]), np.float32)
-        for t, h in gru.scan(table_f, part, p["uf"], eye, on):
+        for t, h in gru.scan(*ahead, part, eye, on):
             states[t, :HIDDEN] = h
-        for t, h in gru.scan(table_b, part[::-1], p["ub"], eye, on[::-1]):
+        for t, h in gru.scan(*back, part[::-1], eye, on[::-1]):
             states[len(part) - 1 - t, HIDDEN:] = h
         weight = np.einsum("a,tab->tb", p["v"][:, 0], np.tanh(np.matmul(p["wa"].T, states)))
         weight = np.where(on, weight, -1e30)

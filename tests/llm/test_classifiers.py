@@ -27,7 +27,7 @@ def test_scan_matches_forward():
     table, u = pick.standard_normal((9, 5)).astype(np.float32), pick.standard_normal((3, 9)).astype(np.float32)
     codes = pick.integers(0, 5, (6, 4))
     states, _ = gru.forward(table.T[codes], u)
-    for t, made in gru.scan(table, codes, u, np.eye(3, dtype=np.float32)):
+    for t, made in gru.scan(*gru.prepared(table, u), codes, np.eye(3, dtype=np.float32)):
         assert np.allclose(made.T, states[t], atol=1e-5)
 
 
