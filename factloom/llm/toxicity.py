@@ -68,7 +68,7 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = pd.util.hash_array(np.array(words, object), categorize=False) % np.uint64(BUCKETS) if words else np.zeros(0)
     owner, bucket = np.concatenate(owners), np.concatenate(buckets)
     order = np.argsort(owner, kind="stable")
-    return owner[order], bucket[order].astype(np.int64), own.astype(np.int64)
+    return owner[order].astype(np.int32), bucket[order].astype(np.int32), own.astype(np.int64)
 
 
 class Likelihoods:
@@ -186,7 +186,9 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> dict | None:
     pick, p = np.random.default_rng(seed), _init(seed)
     docs = [x.lower().split() for x in texts]
     sizes = np.array([len(x) for x in docs])
+    count = len(docs)
     flat, words = pd.factorize(np.array([w for x in docs for w in x], object))
+    del docs, texts  # millions of strings
     grams = gram_buckets(list(words))
     owner, bucket, own = grams
     spans = np.searchsorted(owner, np.arange(len(own) + 1))
@@ -196,7 +198,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> dict | None:
         distinct = np.unique(flat[b : b + n])
         mine = [bucket[spans[w] : spans[w + 1]] for w in distinct]
         held.append((np.unique(own[distinct]), np.unique(np.concatenate(mine)) if mine else np.zeros(0, int)))
-    half = pick.integers(0, 2, len(docs))
+    half = pick.integers(0, 2, count)
     odds = [Likelihoods([held[i] for i in np.flatnonzero(half != k)], y[half != k]) for k in (0, 1)]
     doc, first = windows(sizes)
     codes = _codes(flat, begin[doc] + first, sizes[doc] - first, len(words))
