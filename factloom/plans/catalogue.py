@@ -45,9 +45,9 @@ def G(op: str, *conditions: tree.Node) -> tree.Group:
 
 FLAGSHIP = G("AND", C("industry", "=", "building"), C("employees", ">=", 8), C("revenue_inr", ">=", 2_500_000))
 TREES: dict[str, tree.Node] = {
-    "flt_string_ops": G("OR", C("industry", "=", "building"), C("state", "STARTS_WITH", "uni"), C("canonical_name", "CONTAINS", "00%1"), C("state", "CONTAINS", "RA")),
-    "flt_string_not_equal": C("city", "!=", "France"),
-    "flt_string_in": G("AND", C("state", "IN", ["france", "GERMANY", "China"]), C("city", "NOT_IN", ["China"])),
+    "flt_string_ops": G("OR", C("industry", "=", "building"), C("state", "STARTS_WITH", "nation_2"), C("canonical_name", "CONTAINS", "00%1"), C("state", "CONTAINS", "N_1")),
+    "flt_string_not_equal": C("city", "!=", "Nation_3"),
+    "flt_string_in": G("AND", C("state", "IN", ["nation_3", "NATION_4", "Nation_5"]), C("city", "NOT_IN", ["Nation_5"])),
     "flt_enum_ops": G("OR", C("company_category", "=", "trader"), C("company_category", "IN", ["Manufacturer", "service_provider"])),
     "flt_enum_not": G("AND", C("company_category", "!=", "trader"), C("company_category", "NOT_IN", ["manufacturer"])),
     "flt_boolean_ops": G("OR", C("export_status", "=", True), G("AND", C("export_status", "!=", True), C("industry", "=", "machinery"))),
@@ -69,8 +69,8 @@ TREES: dict[str, tree.Node] = {
     "flt_exists_range": C("employees", "EXISTS"),
     "flt_not_exists_range": C("revenue_inr", "NOT_EXISTS"),
     "flt_exists_plain": G("OR", C("company_category", "NOT_EXISTS"), C("city", "EXISTS")),
-    "flt_and_or_not_nested": G("AND", G("OR", C("employees", ">=", 10), C("revenue_inr", "<", 2_000_000)), G("NOT", G("AND", C("state", "=", "france"), C("employees", "<", 12)))),
-    "flt_not_guard_nulls": G("NOT", C("city", "!=", "FRANCE")),
+    "flt_and_or_not_nested": G("AND", G("OR", C("employees", ">=", 10), C("revenue_inr", "<", 2_000_000)), G("NOT", G("AND", C("state", "=", "nation_3"), C("employees", "<", 12)))),
+    "flt_not_guard_nulls": G("NOT", C("city", "!=", "nation_3")),
     "flt_not_range": G("NOT", C("employees", ">=", 10)),
     "flt_single_groups": G("AND", G("OR", C("employees", ">", 12))),
 }
