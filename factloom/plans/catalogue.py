@@ -207,8 +207,7 @@ def norm_domain(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '[\\s]+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\xFF]')")
 def norm_whitespace(t: Tables) -> DataFrame:
-    rows = t.table("documents").filter(~F.col("text").rlike(r"[^\x00-\xFF]"))
-    return rows.select("doc_id", F.md5(text.normalize_whitespace(F.col("text")).cast("binary")).alias("digest"))
+    return t.table("documents").select("doc_id", F.md5(text.normalize_whitespace(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 import datetime
 import decimal
+import hashlib
+import re
 
 import duckdb
 import pytest
@@ -47,3 +49,11 @@ def test_every_query_is_registered(spark):
 
     assert set(catalogue.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_white_space_of_every_document(spark, tmp_path):
+    texts = ["a \t b", None, "", "5 €  “x” – y ", "日本　 語", "😀\n\n😀", "é  é", "   "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.digest for r in catalogue.queries()["norm_whitespace"](spark, str(tmp_path)).collect()}
+    want = [re.sub(r"\s+", " ", x or "").strip() for x in texts]
+    assert got == {i: hashlib.md5(x.encode()).hexdigest() for i, x in enumerate(want)}
