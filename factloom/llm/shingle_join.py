@@ -14,7 +14,8 @@ with 96-bit sketches (the parity of each bin's minimum); sets whose sketches dif
 sets' can, but for a chance below 1e-9, are not compared. x is where enumerating costs least against scanning.
 
 A list first names leaders: members that are near no earlier leader; others point to theirs, and to one member of
-each other leader's following that is near them. These pairs are verified on whole sets. Sets that such pairs join,
+each other leader's following that is near them. A long list goes by in blocks of ascending sizes: leaders are carried
+on, and members of a block without a pair are held against earlier blocks' followers. These pairs are verified on whole sets. Sets that such pairs join,
 right or wrong, are a family, and every pair that a list holds and sketches allow lies within one. Only families
 whose sets then are of several components are gone through again, for pairs of different components: by sketches of
 1024 bits, then by whole sets, chunk against chunk where a family is large, and only links leave the task. So a
@@ -29,7 +30,7 @@ columns than key and text are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations, groupby
 
@@ -312,6 +313,16 @@ def _forest(n: np.ndarray, s: np.ndarray, s2: np.ndarray, rule: Rule) -> tuple[l
     return pairs, leaders
 
 
+def _near_behind(behind: Sequence[np.ndarray], members: Sequence[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """Pairs of each of the members that is near any of ``behind`` with the first of these; both are c, n, s, s2."""
+    out = []
+    for i in range(len(members[0])):
+        near = _near(*(np.append(x, y[i]) for x, y in zip(behind[1:], members[1:], strict=True)), -1, rule)[:-1]
+        if near.any():
+            out.append((int(members[0][i]), int(behind[0][near.argmax()])))
+    return out
+
+
 def _lead(entries: DataFrame, rule: Rule) -> DataFrame:
     """Written rows (u, v, kind): 0 links that subsets prove, 1 pairs to verify, 2 pairs that are of one family only."""
 
@@ -330,9 +341,10 @@ def _lead(entries: DataFrame, rule: Rule) -> DataFrame:
             c, first = np.unique(c, return_index=True)
             n, s, s2 = n[first].astype(np.int64), s[first], s2[first]
             followed: list[int] = []
+            led, behind = np.zeros(0, np.int64), (c[:0], n[:0], s[:0], s2[:0])
             if carried is not None and carried[0] == e[0]:
-                followed = carried[1]
-                c, n, s, s2 = (np.concatenate(x) for x in zip(carried[2:], (c, n, s, s2), strict=True))
+                followed, (led, *_), behind = carried[1:]
+                c, n, s, s2 = (np.concatenate(x) for x in zip(carried[2], (c, n, s, s2), strict=True))
                 c, first = np.unique(c, return_index=True)
                 n, s, s2 = n[first], s[first], s2[first]
             elif not more:
@@ -346,14 +358,24 @@ def _lead(entries: DataFrame, rule: Rule) -> DataFrame:
             if pairs:
                 u, v = np.array(pairs).T
                 yield {"u": c[u].tolist(), "v": c[v].tolist(), "kind": [1] * len(u)}
+            if len(behind[0]):  # new members without a pair may be near a follower of an earlier block
+                lone = np.setdiff1d(leaders, np.array(pairs, np.int64).ravel())
+                lone = lone[~np.isin(c[lone], np.concatenate([led, behind[0]]))]
+                found = _near_behind(behind, (c[lone], n[lone], s[lone], s2[lone]), rule)
+                if found:
+                    yield {"u": [x for x, _ in found], "v": [x for _, x in found], "kind": [1] * len(found)}
             if more or followed:
                 # followers of a list's blocks don't meet, so their leaders are of one family
                 now = sorted({*followed, *c[[i for i, _ in pairs]].tolist()})
                 fresh = [x for x in now if x not in set(followed)]
-                if fresh and now[0] != fresh[-1]:
-                    yield {"u": fresh, "v": [followed[0] if followed else now[0]] * len(fresh), "kind": [2] * len(fresh)}
+                one = followed[0] if followed else now[0] if now else None
+                if fresh and fresh != [one]:
+                    yield {"u": fresh, "v": [one] * len(fresh), "kind": [2] * len(fresh)}
                 if more:
-                    carried = (e[0], now, c[leaders], n[leaders], s[leaders], s2[leaders])
+                    rest = np.setdiff1d(np.arange(len(c)), leaders)
+                    behind = [np.concatenate([x, y[rest]]) for x, y in zip(behind, (c, n, s, s2), strict=True)]
+                    fits = behind[1] >= rule.least(int(n.max()))  # sizes ascend, so that smaller ones link to none to come
+                    carried = (e[0], now, (c[leaders], n[leaders], s[leaders], s2[leaders]), [x[fits] for x in behind])
 
     dealt = entries.repartition("e").sortWithinPartitions("e", "o", "n", "c").select("e", "o", "n", "c", "s", "s2")
     return written(map_batches(dealt, T._parse_datatype_string("u long, v long, kind int"), run), "lists")

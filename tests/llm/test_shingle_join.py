@@ -1,7 +1,9 @@
 import random
 import re
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from factloom.llm import shingle_join as J
@@ -83,6 +85,48 @@ def test_frequent_grams_and_long_lists(spark, monkeypatch):
     assert _run(spark, rows, 3, 85, 100) == _brute(rows, 3, 85, 100)
 
 
+def _families(monkeypatch, sets, keys, rule, block=16):
+    """(first of family, members' arrays): what ``_lead`` says of one list of these sets, in blocks."""
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "map_batches", lambda df, schema, fn: fn)
+    monkeypatch.setattr(J, "written", lambda fn, label: fn)
+    rows = sorted((len(x), k, *J.sketch(x)) for x, k in zip(sets, keys, strict=True))
+    n, c, s, s2 = (np.array(x) for x in zip(*rows, strict=True))
+    columns = {"e": np.ones(len(n), np.int64), "o": np.zeros(len(n), np.int32), "n": n.astype(np.int32), "c": c, "s": s, "s2": s2.astype(np.int32)}
+    table = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+    label = {k: k for k in keys}
+    for out in J._lead(MagicMock(), rule)(table.slice(i, 4) for i in range(0, len(n), 4)):
+        for u, v in zip(out["u"], out["v"], strict=True):
+            old, new = label[u], label[v]
+            label = {k: new if x == old else x for k, x in label.items()}
+    return label, (c, n, s, s2)
+
+
+def _hashes(pick, count):
+    return pick.integers(1, 2**63, count).astype(np.uint64)
+
+
+def test_a_chain_by_size_is_one_family_across_blocks(spark, monkeypatch):
+    pick = np.random.default_rng(3)
+    y = _hashes(pick, 110)
+    sets = [np.sort(y[:90]), np.sort(y[:100]), *(np.unique(_hashes(pick, 100 + i // 10)) for i in range(95)), np.sort(y)]
+    label, _ = _families(monkeypatch, sets, [1, 2, *range(10, 105), 3], J.Rule(85, 100))
+    assert label[1] == label[2] == label[3] and len(set(label.values())) == 96
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_what_is_near_in_a_list_is_one_family(spark, monkeypatch, seed):
+    pick, rule, sets = np.random.default_rng(seed), J.Rule(85, 100), []
+    for _ in range(12):  # chains that grow, among sets of their own
+        whole = _hashes(pick, 140)
+        sets += [np.sort(whole[:m]) for m in pick.choice(np.arange(70, 140), pick.integers(2, 6), replace=False)]
+    sets += [np.sort(_hashes(pick, m)) for m in pick.integers(70, 140, 60)]
+    keys = pick.permutation(len(sets)).tolist()
+    label, (c, n, s, s2) = _families(monkeypatch, sets, keys, rule)
+    for i in range(len(c)):
+        assert {label[k] for k in c[J._near(n.astype(np.int64), s, s2, i, rule)].tolist()} == {label[int(c[i])]}
+
+
 def test_query_matches_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     out = J.op1_shingle_join(spark, "/root/testdata/sf0.01").collect()
