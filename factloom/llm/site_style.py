@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import html as markup
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,6 +85,7 @@ class Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.key, self.named, self.noise = ["#"], [0], [0], [False], [False]
         self.parts: list[tuple[int, str | None]] = []  # (element, text; None at a block's edge)
+        self.open: Counter[str] = Counter()  # elements on the stack, by tag
         stack, at, n = [0], 0, len(html)
         while at < n:
             m = TAG.search(html, at)
@@ -105,7 +107,7 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
                 at = end.start() if end else n
             if name in VOID or (m[3] or m[6] or "").endswith("/") and name in ("svg", "path"):
-                stack.pop()
+                self._end(stack, len(stack) - 1)
 
     def _text(self, element: int, text: str) -> None:
         self.parts.append((element, text))
@@ -127,18 +129,26 @@ class Page:
         self.named.append(bool(names.strip()))
         self.noise.append(name in CUT or role in ROLES or bool(words) and not NAMES.isdisjoint(words) and name not in ("html", "body", "main"))
         stack.append(len(self.tag) - 1)
+        self.open[self.tag[-1]] += 1
         if name in BLOCK:
             self.parts.append((stack[-1], None))
         elif name == "br":
             self.parts.append((stack[-1], " "))
 
     def _close(self, stack: list[int], name: str) -> None:
-        for depth in range(len(stack) - 1, max(0, len(stack) - 400), -1):
-            if self.tag[stack[depth]] == name:
-                if name in BLOCK or any(self.tag[i] in BLOCK for i in stack[depth:]):
-                    self.parts.append((stack[depth], None))
-                del stack[depth:]
-                return
+        if not self.open[name]:
+            return
+        depth = len(stack) - 1
+        while self.tag[stack[depth]] != name:  # what is passed here ends with it
+            depth -= 1
+        if name in BLOCK or any(self.tag[i] in BLOCK for i in stack[depth:]):
+            self.parts.append((stack[depth], None))
+        self._end(stack, depth)
+
+    def _end(self, stack: list[int], depth: int) -> None:
+        for i in stack[depth:]:
+            self.open[self.tag[i]] -= 1
+        del stack[depth:]
 
     def _imply(self, stack: list[int], name: str) -> None:
         """Ends what the start of ``name`` ends: an open paragraph, an item before its next."""
@@ -147,7 +157,7 @@ class Page:
                 tag = self.tag[stack[depth]]
                 if tag == "p":
                     self.parts.append((stack[depth], None))
-                    del stack[depth:]
+                    self._end(stack, depth)
                     break
                 if tag in BLOCK:
                     break
@@ -158,7 +168,7 @@ class Page:
                     break
                 if tag in CLOSES[name]:
                     self.parts.append((stack[depth], None))
-                    del stack[depth:]
+                    self._end(stack, depth)
                     break
 
     def nodes(self) -> Iterator[tuple[int, int, int]]:

@@ -65,3 +65,12 @@ def test_odd_rows(spark):
     want = ["", "", "plain", "a\n\nb", "a < b > c", "x", "", "", "z", "x", "&lt; A", "q\n\nr"]
     assert len(out) == len(rows) and got == dict(enumerate(want))
     assert S.extract_main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_an_end_tag_finds_its_element_at_any_depth():
+    for count in (10, 399, 400, 5000):
+        menu = "<a href='x'>m" * count
+        assert S.Page(f"<body><div class='menu'>{menu}</div><p>Text.</p></body>").main_text() == "Text."
+        assert S.Page(f"<body><article><p>Text.</p><i>{'<b>' * count}</article><p>nice</p></body>").main_text() == "Text."
+    page = S.Page("<ul>" + "<li><b>x" * 3000 + "<br></q></ul>" + "</b>" * 3000 + "<p>end")
+    assert dict(+page.open) == {"p": 1}
