@@ -5,7 +5,8 @@ a product code, so that a few codewords a block give very many filters. A vector
 it exceeds the threshold with; list decoding finds them from the blocks' sorted products without trying each. Vectors
 that pass a common filter are compared in double precision. Threshold and number of filters follow from the
 number of vectors (a filter passes about ``BUCKET`` of them) and from measuring how often a random pair at the
-least cosine passes a random filter together: ``SHARED`` filters are expected to hold such a pair.
+least cosine passes a random filter together: ``SHARED`` filters are expected to hold such a pair, and more if fewer
+than ``RECALL`` of such pairs then share one.
 
 Equal vectors are one class. A pair that shares several filters counts at the first. A filter that passes more than
 ``CHUNK`` classes is cut into chunks, and each pair of chunks is a group of its own, so no group is larger.
@@ -33,6 +34,18 @@ from factloom.llm.components import components
 
 COSINE = 0.9
 BUCKET, SHARED, CODES, CHUNK, SEED = 150, 22.0, 8, 1024, 17
+#: More words are drawn until so many of ``PAIRS`` random pairs at the least cosine share a filter.
+RECALL, PAIRS = 0.97, 1000
+
+
+def _pairs(pick: np.random.Generator, count: int, length: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors and others at that cosine to them."""
+    x, y = pick.standard_normal((2, count, length))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if length > 1:
+        y -= (x * y).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * y * (length > 1)
 
 
 class Filters:
@@ -43,12 +56,7 @@ class Filters:
         self.blocks = 3 if length >= 12 else 1
         self.cuts = np.linspace(0, length, self.blocks + 1).astype(int)
         tried = np.hstack([self._words(pick, 4000, b - a) for a, b in zip(self.cuts, self.cuts[1:], strict=False)])
-        x, y = pick.standard_normal((2, 300, length))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        if length > 1:
-            y -= (x * y).sum(1, keepdims=True) * x
-            y /= np.linalg.norm(y, axis=1, keepdims=True)
-        y = cosine * x + math.sqrt(1 - cosine**2) * y * (length > 1)
+        x, y = _pairs(pick, 300, length, cosine)
         one, two = x @ tried.T, y @ tried.T
         wanted = min(0.05, BUCKET / max(1, vectors))
         measured = max(wanted, 2e-3)
@@ -58,18 +66,42 @@ class Filters:
             if together >= 0.25 * measured or measured >= 0.5:
                 break
             measured = min(0.5, 1.5 * measured)
-        if wanted < measured and length >= 12:  # too rare to be measured: carried on along the normal tail
-            normal = NormalDist()
-            t = normal.inv_cdf(1 - wanted)
-            self.threshold *= t / normal.inv_cdf(1 - measured)
-            grid = np.linspace(t, t + 6, 4000)
-            rest = np.array([normal.cdf((cosine * g - t) / math.sqrt(1 - cosine**2)) for g in grid])
-            together = 0.7 * float((rest * np.exp(-(grid**2) / 2)).sum() * (grid[1] - grid[0])) / math.sqrt(2 * math.pi)
+        if wanted < measured and length >= 12:  # too rare for single words: measured on whole product codes
+            together = self._rare(pick, x, y, wanted, measured)
         self.words = max(2, math.ceil((SHARED / CODES / max(together, 1e-12)) ** (1 / self.blocks)))
-        self.codes = []
+        self.codes = self._drawn(pick, length)
+        if self.blocks > 1:  # pairs share words, so the expected number of filters doesn't tell recall
+            x, y = _pairs(pick, PAIRS, length, cosine)
+            while np.mean(self._shared(x, y) > 0) < RECALL:
+                self.words = math.ceil(1.06 * self.words)
+                self.codes = self._drawn(pick, length)
+
+    def _rare(self, pick: np.random.Generator, x: np.ndarray, y: np.ndarray, wanted: float, measured: float) -> float:
+        """Sets the threshold that ``wanted`` of random vectors exceed; how often a pair does so together."""
+        length = x.shape[1]
+        self.words = math.ceil((60 / CODES / wanted) ** (1 / self.blocks))  # about 60 filters a vector
+        self.codes = self._drawn(pick, length)
+        number, normal = CODES * self.words**self.blocks, NormalDist()
+        low = self.threshold
+        high = 1.1 * low * normal.inv_cdf(1 - wanted) / normal.inv_cdf(1 - measured)  # above it, as blocks have lighter tails
+        for _ in range(12):
+            self.threshold = (low + high) / 2
+            if sum(len(self.passed(v)) for v in x) > wanted * number * len(x):
+                low = self.threshold
+            else:
+                high = self.threshold
+        return float(self._shared(x, y).mean()) / number
+
+    def _shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The number of filters that each pair passes together."""
+        return np.array([len(np.intersect1d(self.passed(a), self.passed(b), assume_unique=True)) for a, b in zip(x, y, strict=True)])
+
+    def _drawn(self, pick: np.random.Generator, length: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        codes = []
         for _ in range(CODES):
             rotation = np.linalg.qr(pick.standard_normal((length, length)))[0]
-            self.codes.append((rotation, [self._words(pick, self.words, b - a) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]))
+            codes.append((rotation, [self._words(pick, self.words, b - a) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]))
+        return codes
 
     def _words(self, pick: np.random.Generator, count: int, length: int) -> np.ndarray:
         words = pick.standard_normal((count, length))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from factloom.llm import cap_filters as C
 from factloom.llm.components import components
@@ -44,6 +45,18 @@ def test_recall_at_the_least_cosine():
         assert shared >= 190, (length, count, shared)
 
 
+@pytest.mark.parametrize("count", [3_000_000, 20_000_000])
+def test_recall_of_tables_too_large_to_be_tried(count):
+    code, pick = C.Filters(64, count, 0.9), np.random.default_rng(9)
+    x, y = pick.standard_normal((2, 300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    passed = [(code.passed(a), code.passed(b)) for a, b in zip(x, y, strict=True)]
+    assert sum(np.intersect1d(a, b).size > 0 for a, b in passed) >= 285
+    assert 100 < np.mean([len(a) for a, _ in passed]) / (C.CODES * code.words**3) * count < 200  # vectors of a filter
+
+
 def test_list_decoding_finds_all_filters():
     code = C.Filters(24, 3000, 0.9)
     x = np.random.default_rng(1).standard_normal(24)
