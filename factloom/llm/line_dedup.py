@@ -2,14 +2,15 @@
 
 A document is the sequence of its lines that aren't blank. Prefix doubling names, at every line, the 1, 2, 4, ...
 lines that begin there: a name of level k + 1 is made of two names of level k, ``2**k`` lines apart, so equal
-names are equal runs, and sorting suffixes by name (the suffix array) puts each longest-common-prefix interval
-together. A run of any length r is named by the two level-``floor(log2(r))`` names that cover it.
+names are equal runs. Names are 64-bit hashes, not ranks: no suffix array and no longest-common-prefix intervals are
+built; grouping windows by hashed name finds what is repeated instead. A run of any length r is named by the two
+level-``floor(log2(r))`` names that cover it.
 
 A run repeats if it has ``min_words`` words and begins earlier too, by (key, line). All lines of such runs go.
 They are found from the shortest runs of ``min_words`` words that begin or that end at a line: every line of a
 maximal repeated run lies in one of these that is itself repeated, and each of these is a repeated run. As a
-line that isn't blank has a word, they have ``min_words`` lines at most, which bounds the levels. An interval is
-reduced to its first place by a partial aggregate, so one that holds a third of all lines is no large group.
+line that isn't blank has a word, they have ``min_words`` lines at most, which bounds the levels. A group of equal
+names is reduced to its first place by a partial aggregate, so one that holds a third of all lines is no large group.
 
 Defined results: null text stays null and has no lines; blank lines stay unless they lie inside a deleted run;
 a text whose every line goes is empty; rows that agree in key and text are one document, so none is the other's
