@@ -9,8 +9,8 @@ trained here, by the gradient of the segmentations' likelihood, on stretches tha
 
 Defined results: null text is empty and has no spans; spans are in code points, end exclusive; spans of different kinds
 may overlap only among base ones; repeated rows get the same spans; other columns pass through, but those with an
-output's name give way. All work is linear in a text's length but for the candidates, of which a token starts a
-bounded number.
+output's name give way. All work is linear in a text's length: a token starts a bounded number of candidates, none
+longer than ``MAX_SPAN`` (base spans have no such bound), and of these only scores are held while a stretch is gone through.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import random
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-MAX_TOKENS = 24
+#: Tokens and code points of a candidate at most; no mailbox's name is longer.
+MAX_TOKENS, MAX_SPAN = 24, 320
+#: Tokens whose candidates are looked at together.
+BLOCK = 1 << 14
 EPOCHS, EXAMPLES, RATE = 20, 700, 0.3
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]")
 MARK = re.compile(r"[0-9@]")
@@ -69,7 +73,7 @@ def base_spans(text: str) -> dict[str, list[Span]]:
         at = text.find("@", done)
     if not MARK.search(text):
         return {k: [] for k in KINDS}
-    ips = [m.span() for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m[0].split("."))]
+    ips = [m.span() for m in IP.finditer(text) if all(len(d := x.lstrip("0")) < 4 and int(d or "0") < 256 for x in m[0].split("."))]
     cards = [m.span() for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     phones = [m.span() for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15] if "+" in text else []
     return {"email": emails, "ip": ips, "card": cards, "phone": phones}
@@ -94,26 +98,10 @@ def stretches(text: str) -> list[Span]:
     return out
 
 
-NUMBERED = re.compile(r"\+?[0-9(][0-9 ().-]*[0-9]")
-ADDRESS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 FEATURES = 23
 
 
-def kinds_of(part: str) -> list[int]:
-    """Kinds that a candidate can be of at all."""
-    if "@" in part:
-        return [0] if MAIL.fullmatch(part) else []
-    found = [1] if ADDRESS.fullmatch(part) else []
-    if NUMBERED.fullmatch(part):
-        n = len(digits_of(part))
-        if 13 <= n <= 19 and part[0] not in "+(" and not set(part) & set("()."):
-            found.append(2)
-        if 7 <= n <= 15:
-            found.append(3)
-    return found
-
-
 def span_features(part: str, before: str, after: str) -> np.ndarray:
     """Of the whole candidate, and of the characters around it."""
     digits = digits_of(part)
@@ -151,59 +139,166 @@ def span_features(part: str, before: str, after: str) -> np.ndarray:
     )
 
 
-class Candidates:
-    """Tokens of a stretch, and its candidates as (first token, end token, kind, features)."""
-
-    def __init__(self, text: str, start: int, end: int, taken: list[Span] = ()):
-        self.ends = [start]
-        inside = text[start:end]
-        self.ends += [start + m.end() for m in TOKEN.finditer(inside)]
-        self.found: list[tuple[int, int, int, np.ndarray]] = []
-        marks = [bool(MARK.search(text[a:b])) for a, b in zip(self.ends, self.ends[1:], strict=False)]
-        n = len(marks)
-        for i in range(n):
-            first = text[self.ends[i]]
-            if not (first.isascii() and first.isalnum() or first in "+(._%-"):
+def merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that sorted spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(x)])
+
+
+def _told(codes: np.ndarray, what: Callable[[str], bool]) -> np.ndarray:
+    """``what`` of each character; none at code 0."""
+    distinct, place = np.unique(codes, return_inverse=True)
+    return np.array([c != 0 and what(chr(c)) for c in distinct.tolist()], bool)[place]
+
+
+class Stretch:
+    """A stretch's tokens, as sums over those before each, so that runs of tokens are judged by differences."""
+
+    def __init__(self, text: str, start: int, end: int, taken: list[Span]):
+        self.text, self.ends = text, np.array([start, *(m.end() for m in TOKEN.finditer(text, start, end))])
+        around = text[max(0, start - 1) : end + 2].encode("utf-32-le", "surrogatepass")
+        self.codes = np.concatenate([np.zeros(int(start == 0), "<u4"), np.frombuffer(around, "<u4"), np.zeros(2, "<u4")])  # from start - 1
+        at, size = self.ends[:-1] - start + 1, np.diff(self.ends)
+        self.first = first = self.codes[at]
+        self.digit = digit = (first >= 48) & (first <= 57)
+        self.n = len(size)
+        self.digits, self.groups = _before(size * digit), _before(digit)
+        self.of = {c: _before(first == ord(c)) for c in "@+().- "}
+        self.odd = _before(~digit & ~np.isin(first, [ord(c) for c in "+().- "]))
+        self.ones, self.wide = _before(digit & (size == 1)), _before(digit & (size > 3))
+        self.sizes = size[digit]
+        d = self.codes[1 : end - start + 1].astype(np.int64) - 48
+        d = d[(d >= 0) & (d <= 9)]
+        even = np.arange(len(d)) % 2 == 0
+        twice = 2 * d - 9 * (d > 4)
+        self.luhn = [[_before(x * p) for x in (d, twice)] for p in (even, ~even)]
+        starts, stops = merged(taken)
+        free = np.searchsorted(np.array(stops, np.int64), self.ends[:-1], side="right")
+        self.stop = np.minimum(self.ends[:-1] + MAX_SPAN, np.array([*starts, 2**62], np.int64)[free])
+        small = np.flatnonzero(digit)
+        value = np.array([int(text[a:b]) if b - a < 4 or text[a] == "0" and b - a < 20 else 256 for a, b in zip(self.ends[small].tolist(), self.ends[small + 1].tolist(), strict=True)], object)
+        self.large = _before(value > 255) if len(small) else np.zeros(1, int)
+
+    def numbers(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates without an @ that begin at tokens lo to hi: (first token, end token, (3, count) whether each can be
+        an ip, a card, a phone, features), by first token."""
+        i = lo + np.flatnonzero(self.digit[lo:hi] | np.isin(self.first[lo:hi], (ord("+"), ord("("))))
+        i, j = (x.ravel() for x in np.broadcast_arrays(i[:, None], i[:, None] + np.arange(1, MAX_TOKENS + 1)))
+        fits = j <= self.n
+        i, j = i[fits], j[fits]
+        count = self.digits[j] - self.digits[i]
+        fits = (self.ends[j] <= self.stop[i]) & (self.odd[j] == self.odd[i]) & (count >= 4) & (count <= 19) & self.digit[j - 1]
+        i, j, count = i[fits], j[fits], count[fits]
+        has = {c: x[j] - x[i] for c, x in self.of.items()}
+        plus, opened = self.first[i] == ord("+"), self.first[i] == ord("(")
+        second = np.minimum(i + 1, self.n - 1)
+        numbered = (has["+"] == plus) & (~plus | self.digit[second] | (self.first[second] == ord("(")))
+        groups = self.groups[j] - self.groups[i]
+        address = (j - i == 7) & (groups == 4) & (has["."] == 3) & self.digit[i] & (self.wide[j] == self.wide[i])
+        card = numbered & (count >= 13) & ~plus & ~opened & (has["("] + has[")"] + has["."] == 0)
+        can = np.array([address, card, numbered & (count >= 7) & (count <= 15)])
+        kept = can.any(0)
+        i, j, count, groups, plus, can = i[kept], j[kept], count[kept], groups[kept], plus[kept], can[:, kept]
+        has = {c: x[kept] for c, x in has.items()}
+        x, y, g = self.digits[i], self.digits[j], self.groups[j]
+        held = lambda p, k: self.luhn[p][k][y] - self.luhn[p][k][x]
+        luhn_ok = np.where((y - 1) % 2 == 0, held(0, 0) + held(1, 1), held(1, 0) + held(0, 1)) % 10 == 0
+        last = [np.where(groups > k, self.sizes[np.maximum(g - 1 - k, 0)], 0) for k in range(4)] if len(self.sizes) else [g] * 4
+        shape = lambda *sizes: (groups == len(sizes)) & np.all([last[len(sizes) - 1 - k] == s for k, s in enumerate(sizes)], 0)
+        a, b = self.ends[i] - self.ends[0], self.ends[j] - self.ends[0] + 1  # of the character before, and after
+        before, after, beyond = self.codes[a], self.codes[b], self.codes[b + 1]
+        wordy = lambda c: c.isalnum() or c in "_@"
+        among = lambda codes, marks: np.isin(codes, [ord(m) for m in marks])
+        features = [
+            np.ones(len(i)), luhn_ok, (count == 15) | (count == 16), (count >= 9) & (count <= 12), count > 12, plus,
+            (has["("] > 0) & (has[")"] > 0), has["("] != has[")"], (has[" "] > 0) * 1 + (has["."] > 0) + (has["-"] > 0) <= 1, groups == 1,
+            (self.ones[j] > self.ones[i]) & (groups > 3), shape(4, 4, 4, 4) | shape(4, 6, 5) | shape(16) | shape(15),
+            (last[0] == 4) & (last[1] == 3) & (last[2] == 3), (last[0] == 4) & (last[1] == 3), (groups == 4) & (self.large[g] == self.large[self.groups[i]]),
+            _told(before, wordy), _told(after, wordy), among(before, "+-.,"), among(after, "-/:%"),
+            among(after, ".-@") & _told(beyond, str.isalnum), groups > 5, shape(4, 2, 2), np.zeros(len(i)),
+        ]
+        return i, j, can, np.array(features, float).T
+
+    def mails(self, lo: int, hi: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Candidates with one @ that begin at tokens lo to hi: (first token, end token, features)."""
+        text, ats = self.text, self.of["@"]
+        near = np.flatnonzero(ats[np.minimum(np.arange(lo, hi) + MAX_TOKENS, self.n)] > ats[lo:hi]) + lo
+        for i in near.tolist():
+            a = int(self.ends[i])
+            if not (text[a].isascii() and text[a].isalnum() or text[a] in "._%+-"):
                 continue
-            for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-                a, b = self.ends[i], self.ends[j]
-                if any(x < b and a < y for x, y in taken) or text[b - 1] == "\n":
+            for j in range(i + 1, min(self.n, i + MAX_TOKENS) + 1):
+                b = int(self.ends[j])
+                if b > self.stop[i] or ats[j] - ats[i] > 1 or text[b - 1].isspace():
                     break
-                if not (marks[j - 1] or text[b - 1].isalpha() or text[b - 1] == "-"):
-                    continue
-                if b - a < 5 or not any(marks[i:j]):
-                    continue
-                part = text[a:b]
-                if kinds := kinds_of(part):
-                    f = span_features(part, text[a - 1 : a], text[b : b + 2])
-                    self.found += [(i, j, k, f) for k in kinds]
+                if ats[j] > ats[i] and MAIL.fullmatch(part := text[a:b]):
+                    yield i, j, span_features(part, text[a - 1 : a] if a else "", text[b : b + 2])
+
+    def candidates(self, lo: int, hi: int) -> list[tuple[int, int, int, np.ndarray]]:
+        """(first token, end token, kind, features) by first token."""
+        i, j, can, f = self.numbers(lo, hi)
+        out = [(int(i[c]), int(j[c]), k + 1, f[c]) for k in range(3) for c in np.flatnonzero(can[k])]
+        return sorted([*out, *((i, j, 0, f) for i, j, f in self.mails(lo, hi))], key=lambda x: x[:3])
+
+    def weighed(self, lo: int, hi: int, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(first token, end token, kind, score) by first token."""
+        i, j, can, f = self.numbers(lo, hi)
+        scores = f @ weights[1:].T
+        kind, c = np.nonzero(can)
+        out = list(zip(i[c].tolist(), j[c].tolist(), (kind + 1).tolist(), scores[c, kind].tolist(), strict=True))
+        return sorted([*out, *((i, j, 0, float(weights[0] @ f)) for i, j, f in self.mails(lo, hi))])
+
+
+def best_spans(text: str, start: int, end: int, taken: list[Span], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities, (kind, start, end); what is in none costs nothing."""
+    s = Stretch(text, start, end, taken)
+    value, back = [0.0] * (s.n + 1), [None] * (s.n + 1)
+    done = 0
+
+    def settle(upto: int) -> None:  # nothing that comes later ends here
+        for x in range(done + 1, upto + 1):
+            if value[x - 1] > value[x]:
+                value[x], back[x] = value[x - 1], None
+
+    for lo in range(0, s.n, BLOCK):
+        for i, j, k, score in s.weighed(lo, min(s.n, lo + BLOCK), weights):
+            settle(i)
+            done = max(done, i)
+            if (v := value[i] + score) > value[j]:
+                value[j], back[j] = v, (i, k)
+    settle(s.n)
+    out, j = [], s.n
+    while j > 0:
+        if back[j] is None:
+            j -= 1
+        else:
+            i, k = back[j]
+            out.append((k, int(s.ends[i]), int(s.ends[j])))
+            j = i
+    return out[::-1]
+
+
+class Candidates:
+    """A stretch's tokens and candidates, as training needs them."""
+
+    def __init__(self, text: str):
+        s = Stretch(text, 0, len(text), [])
+        self.ends, self.found = s.ends.tolist(), s.candidates(0, s.n)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
         return np.array([weights[k] @ f for _, _, k, f in self.found])
 
-    def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities, (kind, start, end); what is in none costs nothing."""
-        n = len(self.ends) - 1
-        value, back = np.zeros(n + 1), [None] * (n + 1)
-        by_end: dict[int, list[int]] = {}
-        for c, (_, j, _, _) in enumerate(self.found):
-            by_end.setdefault(j, []).append(c)
-        scores = self.scores(weights)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for c in by_end.get(j, ()):
-                if (v := value[self.found[c][0]] + scores[c]) > value[j]:
-                    value[j], back[j] = v, c
-        out, j = [], n
-        while j > 0:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, e, k, _ = self.found[back[j]]
-                out.append((k, self.ends[i], self.ends[e]))
-                j = i
-        return out[::-1]
-
     def gradient(self, weights: np.ndarray, truth: set[tuple[int, int, int]]) -> tuple[np.ndarray, float]:
         """Observed less expected features, and the log-likelihood of the truth, by forward and backward sums."""
         n, s = len(self.ends) - 1, self.scores(weights)
@@ -286,7 +381,7 @@ def examples(count: int, seed: int) -> list[tuple[str, set[tuple[int, int, int]]
 @functools.lru_cache(maxsize=4)
 def train(seed: int = 5) -> np.ndarray:
     """(kinds, features) weights that make the examples' segmentations likeliest."""
-    made = [(Candidates(t, 0, len(t)), truth) for t, truth in examples(EXAMPLES, seed)]
+    made = [(Candidates(t), truth) for t, truth in examples(EXAMPLES, seed)]
     made = [x for x in made if x[0].found]
     w = np.zeros((len(KINDS), FEATURES))
     w[:, 0] = -1
@@ -313,13 +408,16 @@ def find(text: str, weights: np.ndarray) -> tuple[dict[str, list[Span]], dict[st
     for start, end in places:
         while at < len(taken) and taken[at][1] <= start:
             at += 1
-        mine = [x for x in taken[at : at + len(taken)] if x[0] < end] if at < len(taken) and taken[at][0] < end else []
-        left = sum(c.isdigit() for c in text[start:end])
-        if left < 4 and "@" not in text[start:end]:  # no candidate has fewer digits
+        upto = at
+        while upto < len(taken) and taken[upto][0] < end:
+            upto += 1
+        mine = taken[at:upto]
+        inside = text[start:end]
+        if "@" not in inside and sum(map(inside.count, "0123456789")) < 4:  # no candidate has fewer digits
             continue
         if len(mine) == 1 and mine[0][0] <= start and end - mine[0][1] <= 2:
             continue
-        for k, a, b in Candidates(text, start, end, mine).best(weights):
+        for k, a, b in best_spans(text, start, end, mine, weights):
             every[KINDS[k]].append((a, b))
     return base, {k: sorted(v) for k, v in every.items()}
 
@@ -338,9 +436,9 @@ def masked(text: str, spans: dict[str, list[Span]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find_pii(docs: DataFrame, text: str = "text", masked_to: str | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, text: str = "text", masked_to: str | None = None, keep_text: bool = True) -> DataFrame:
     """``docs`` with ``base`` and ``spans`` as text and the numbers of base spans; ``masked_to``: a further
-    column, the text with all spans replaced (null stays null)."""
+    column, the text with all spans replaced (null stays null). The text itself is left out on demand."""
     weights = train()
     schema = "base string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS)
 
@@ -353,9 +451,9 @@ def find_pii(docs: DataFrame, text: str = "text", masked_to: str | None = None)
             out[masked_to] = [masked(x, s) if x else x for x, (_, s) in zip(texts, found, strict=True)]
         return out
 
-    return extend(docs, f"{schema}, `{masked_to}` string" if masked_to else schema, run)
+    return extend(docs, f"{schema}, `{masked_to}` string" if masked_to else schema, run, () if keep_text else (text,))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")

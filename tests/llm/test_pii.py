@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from factloom.llm import pii as P
 
@@ -33,18 +34,35 @@ def test_base_spans_are_those_of_the_patterns(spark):
         assert P.base_spans(text) == _plain(text), text
 
 
+def test_very_long_runs_of_digits():
+    for zeros, ends in (("0" * 5_000, [(0, 5_006)]), ("7" * 5_000, [])):
+        base, every = P.find(f"{zeros}.1.1.1", P.train())
+        assert base["ip"] == ends and every["ip"][: len(ends)] == ends
+
+
+def test_a_megabyte_takes_seconds():
+    weights = P.train()
+    mails = "some.one@mail.example.org " * 40_000
+    texts = [mails, mails.replace(" ", " 12 "), mails.replace(" ", " x "), "7" * 1_000_000, "a1." * 333_000, "x@" * 500_000, "10.20.30.40:80 " * 70_000]
+    for text in texts:
+        began = time.process_time()
+        base, _ = P.find(text, weights)
+        assert time.process_time() - began < 20
+    assert len(P.find(mails, weights)[0]["email"]) == 40_000
+
+
 def test_held_out_stretches():
     weights, right = P.train(), 0
     made = P.examples(400, 77)
     for text, truth in made:
-        right += set(P.Candidates(text, 0, len(text)).best(weights)) == truth
+        right += set(P.best_spans(text, 0, len(text), [], weights)) == truth
     assert right / len(made) > 0.9
 
 
 def test_best_segmentation_is_the_best_of_all():
     weights = P.train()
     for text, _ in P.examples(60, 13):
-        c = P.Candidates(text, 0, len(text))
+        c = P.Candidates(text)
         scores = c.scores(weights)
 
         def every(at, c=c):
@@ -57,7 +75,7 @@ def test_best_segmentation_is_the_best_of_all():
         if len(c.found) > 40:
             continue
         index = {(k, c.ends[i], c.ends[j]): s for (i, j, k, _), s in zip(c.found, scores, strict=True)}
-        assert abs(max(every(0)) - sum(index[x] for x in c.best(weights))) < 1e-9
+        assert abs(max(every(0)) - sum(index[x] for x in P.best_spans(text, 0, len(text), [], weights))) < 1e-9
 
 
 def test_adds_what_runs_together_and_leaves_numbers_alone():
