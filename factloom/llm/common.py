@@ -6,15 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-#: Rows that Python takes at once, which bounds a worker's memory.
-ROWS = 256
+#: Rows, and bytes of long values, that Python takes at once, which bounds a worker's memory; a longer value comes alone.
+ROWS, BYTES = 256, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,29 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in stretches of at most ``ROWS`` rows and about ``BYTES`` bytes."""
+    if not batch.num_rows:
+        return
+    if batch.nbytes <= BYTES:
+        cuts = list(range(0, batch.num_rows, ROWS))
+    else:
+        size = np.full(batch.num_rows, 8, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            elif column.nbytes:
+                size += column.nbytes // batch.num_rows
+        cuts, held = [], BYTES
+        for i, n in enumerate(size.tolist()):
+            if held + n > BYTES or i - cuts[-1] >= ROWS:
+                cuts.append(i)
+                held = 0
+            held += n
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def map_batches(
     df: DataFrame, schema: T.StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]
 ) -> DataFrame:
@@ -47,7 +72,7 @@ def map_batches(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for columns in fn(part for b in batches for part in portions(b)):
             yield pa.RecordBatch.from_arrays(
                 [
                     columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
@@ -59,24 +84,27 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def extend(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def extend(
+    df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], dict], used_up: tuple[str, ...] = ()
+) -> DataFrame:
     """``df`` with the columns of ``schema`` behind its own; ``fn`` makes them for each batch.
 
-    A column of ``df`` with one of the new names gives way to the new one.
-    """
+    A column of ``df`` with one of the new names gives way to the new one; so do those ``used_up``, which only ``fn``
+    sees, so that long texts needn't come back from Python."""
     new = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    old = [c for c in df.columns if c not in set(new.names)]
+    gone = set(new.names) | set(used_up)
+    old = [c for c in df.columns if c not in gone]
     kept = df.select(*(F.col(f"`{c}`") for c in old))
     out = T.StructType([*kept.schema.fields, *new.fields])
 
-    clashing = [c for c in df.columns if c not in old]
+    seen_only = [c for c in df.columns if c not in old]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:  # fn also sees the columns that give way
+        for batch in batches:
             made = fn(batch)
             yield {n: batch.column(i) for i, n in enumerate(old)} | {n: made[n] for n in new.names}
 
-    return map_batches(df.select(*(F.col(f"`{c}`") for c in [*old, *clashing])), out, run)
+    return map_batches(df.select(*(F.col(f"`{c}`") for c in [*old, *seen_only])), out, run)
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:

@@ -11,7 +11,9 @@ the queues, less than a slot each, come last; the stream is then cut every ``win
 last sequence can need padding.
 
 Ids are made once and written to the shared folder with each document's place in its queue within its part;
-the place of the parts follows from their sums. More sources than ``MAX_QUEUES`` share queues by hash.
+the place of the parts follows from their sums. With more sources than ``MAX_QUEUES`` no task can hold all totals; then
+the slots themselves are sorted by their times, over all tasks, and pieces are joined with their slots' places. Proportions and
+weights hold by source either way.
 
 Defined results: null or empty text gives the end id alone; a null source is a queue of its own; rows with
 the same key are packed each; an empty table gives no pieces; other columns than key, text and source are
@@ -21,6 +23,7 @@ not read.
 from __future__ import annotations
 
 import os
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -39,7 +42,7 @@ SLOT = 256
 #: Queues whose totals the driver holds.
 MAX_QUEUES = 4096
 #: Words that a worker remembers.
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -226,59 +229,137 @@ class Schedule:
         return row[heads], token[heads], np.add.reduceat(length, heads) if len(heads) else length, place[heads]
 
 
+def before(rows: DataFrame, order: list[str], amount: str, label: str) -> DataFrame:
+    """``rows`` with the sum of ``amount`` over all rows that come earlier in ``order``, as ``before``: sorted in ranges, each task
+    adds up its own, and the ranges' sums, a row for each, are added up at last."""
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("before", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = np.cumsum(batch.column(amount).to_numpy())
+            columns = {n: batch.column(n) for n in names}
+            yield columns | {"__part": [part] * len(own), "before": pa.array(total + own - batch.column(amount).to_numpy())}
+            total += int(own[-1]) if len(own) else 0
+
+    held = written(map_batches(rows.repartitionByRange(*order).sortWithinPartitions(*order), schema, run), label)
+    sums = held.groupBy("__part").agg(F.sum(amount).alias("n")).withColumn("one", F.lit(1))  # a row for each range
+    earlier = Window.partitionBy("one").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__base"))
+    return held.join(F.broadcast(base), "__part").withColumn("before", F.col("before") + F.col("__base")).drop("__part", "__base")
+
+
+def _output(key: T.StructField, ids: str) -> T.StructType:
+    fields = [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "queue", "sequence_id", "offset")]
+    return T.StructType([key, *fields, T.StructField(ids, T.BinaryType() if ids == "ids" else T.LongType())])
+
+
+def _cut(ids: np.ndarray, lo: np.ndarray, length: np.ndarray, as_crc: bool) -> pa.Array:
+    """The stretches of ``ids``, or their crc32."""
+    if as_crc:
+        return pa.array([zlib.crc32(ids[a : a + n]) for a, n in zip(lo.tolist(), length.tolist(), strict=True)], pa.int64())
+    ends = np.concatenate([[0], np.cumsum(length * 4)])
+    take = np.repeat(lo - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    buffers = [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(ids[take].tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(lo), buffers)
+
+
 def pack(
     docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 1,
-    window: int = WINDOW, slot: int = SLOT, weights: dict[str | None, int] | None = None,
+    window: int = WINDOW, slot: int = SLOT, weights: dict[str | None, int] | None = None, as_crc: bool = False,
 ) -> DataFrame:
-    """Pieces (key, start, length, doc_tokens, source queue, sequence_id, offset, ids) of all documents.
+    """Pieces (key, start, length, doc_tokens, source queue, sequence_id, offset, ids) of all documents; on demand
+    ``ids_crc32`` in place of the ids.
 
     ``weights``: target proportions by source, whole numbers; by default the sources' shares of all tokens."""
     tokens = tokenize(docs, path, key, text, source, end_id)
-    sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    if (found := sums.select("queue").distinct().limit(MAX_QUEUES + 1).count()) > MAX_QUEUES:
-        sums = sums.withColumn("q", F.expr(f"pmod(xxhash64(queue), {MAX_QUEUES})"))
-    else:
-        named = [r.queue for r in sums.select("queue").distinct().limit(max(1, found)).collect()]
-        number = {q: i for i, q in enumerate(sorted(named))}
-        pairs = [F.lit(x) for q in number.items() for x in q]
-        sums = sums.withColumn("q", F.element_at(F.create_map(*pairs), F.col("queue")).cast("long") if pairs else F.lit(0))
-        weights = {number[k]: w for s, w in (weights or {}).items() if (k := "n" if s is None else f"s{s}") in number}
-    sums = written(sums, "sums")
-    totals = {r.q: r.n for r in sums.groupBy("q").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES at most
-    schedule = Schedule(totals, slot, window, weights)
-    before = Window.partitionBy("q").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", "queue", "q", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = tokens.join(bases, ["part", "queue"]).select("key", "q", (F.col("base") + F.col("queue_start")).alias("at"), "n", "ids")
-    schema = T.StructType(
-        [T.StructField(key, docs.schema[key].dataType)]
-        + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens", "queue", "sequence_id", "offset")]
-        + [T.StructField("ids", T.BinaryType())]
+    sums = written(tokens.groupBy("part", "queue").agg(F.sum("n").alias("n")), "sums")
+    named = [r.queue for r in sums.select("queue").distinct().limit(MAX_QUEUES + 1).collect()]
+    weights = {"n" if s is None else f"s{s}": w for s, w in (weights or {}).items()}
+    earlier = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("part", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    placed = tokens.join(bases, ["part", "queue"]).select("key", "queue", (F.col("base") + F.col("queue_start")).alias("at"), "n", "ids")
+    totals = sums.groupBy("queue").agg(F.sum("n").alias("total"))
+    made = _output(T.StructField(key, docs.schema[key].dataType), "ids_crc32" if as_crc else "ids")
+    if len(named) > MAX_QUEUES:
+        return _many(placed, totals, weights, made, slot, window)
+    number = {q: i for i, q in enumerate(sorted(named))}
+    schedule = Schedule(
+        {number[r.queue]: r.total for r in totals.collect()}, slot, window, {number[q]: w for q, w in weights.items() if q in number}
     )
+    pairs = [F.lit(x) for q in number.items() for x in q]
+    q = F.element_at(F.create_map(*pairs), F.col("queue")).cast("long") if pairs else F.lit(0).cast("long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        _tokenizers.clear()  # a worker that has made ids needs its words no more
         for batch in batches:
             if not batch.num_rows:
                 continue
             q, at, n = (batch.column(i).to_numpy() for i in (1, 2, 3))
             row, start, length, place = schedule.pieces(q, at, n)
             ids = np.concatenate([_widen(x) for x in batch.column(4).to_pylist()])
-            lo = (np.cumsum(n) - n)[row] + start
-            ends = np.concatenate([[0], np.cumsum(length * 4)])
-            take = np.repeat(lo - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-            held = pa.Array.from_buffers(
-                pa.binary(), len(row), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(ids[take].tobytes())]
-            )
+            held = _cut(ids, (np.cumsum(n) - n)[row] + start, length, as_crc)
             yield {key: batch.column(0).take(pa.array(row)), "start": pa.array(start), "length": pa.array(length),
                    "doc_tokens": pa.array(n[row]), "queue": pa.array(q[row]), "sequence_id": pa.array(place // window),
-                   "offset": pa.array(place % window), "ids": held}
+                   "offset": pa.array(place % window), made.names[-1]: held}
+
+    return map_batches(placed.select("key", q.alias("q"), "at", "n", "ids"), made, run)
+
+
+def _many(placed: DataFrame, totals: DataFrame, weights: dict[str, int], made: T.StructType, slot: int, window: int) -> DataFrame:
+    """Pieces where sources are too many for one task: a slot's place is its rank by (time, queue)."""
+    spark = placed.sparkSession
+    given = spark.createDataFrame([(q, int(w)) for q, w in weights.items()], "queue string, weight long")
+    queues = totals.join(given, "queue", "left").withColumn("slots", F.floor(F.col("total") / slot)).withColumn("rest", F.col("total") % slot)
+    queues = queues.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.greatest(F.lit(1), F.col("slots"))))
+    queues = before(queues.select("queue", "total", "slots", "rest", "weight"), ["queue"], "rest", "queues")
+    queues = queues.withColumnRenamed("before", "rests").withColumn("number", F.xxhash64("queue"))
+    full = F.col("slots") * slot
+    rows = placed.join(queues, "queue").withColumn("doc", F.struct("key", "at"))
+    first, last = F.ceil(F.col("at") / slot), F.floor((F.col("at") + F.col("n") - 1) / slot)
+    begun = rows.withColumn("last", F.least(last, F.col("slots") - 1)).filter(first <= F.col("last"))
+    slots = begun.select("queue", "weight", F.explode(F.sequence(first, F.col("last"))).alias("k"))
+    times = slots.select("queue", "k", ((F.col("k") + 1) / F.col("weight")).alias("time"), F.lit(1).cast("long").alias("one"))
+    places = before(times, ["time", "queue", "k"], "one", "slots").select("queue", "k", (F.col("before") * slot).alias("place"))
+    count = totals.agg(F.sum(F.floor(F.col("total") / slot)).alias("n")).first().n or 0
+    at, end = F.col("at"), F.col("at") + F.col("n")
+    pieces = rows.select(
+        "queue", "number", "key", "at", "n", "ids", "slots", "rests",
+        F.explode(F.sequence(F.floor(at / slot), F.floor((end - 1) / slot))).alias("k"),
+    )
+    lo, hi = F.greatest(at, F.col("k") * slot), F.least(end, (F.col("k") + 1) * slot)
+    pieces = pieces.select("queue", "number", "key", "n", "k", "slots", "rests", (lo - at).alias("start"), (hi - lo).alias("length"), (lo - F.col("k") * slot).alias("inside"),
+                           F.substring("ids", 1, 1).alias("kind"), "ids")
+    width = F.when(F.col("kind") == F.lit(b"\x02"), 2).otherwise(4)
+    pieces = pieces.withColumn("ids", F.concat("kind", F.substring("ids", (2 + F.col("start") * width).cast("int"), (F.col("length") * width).cast("int"))))
+    whole = pieces.filter("k < slots").join(places, ["queue", "k"]).withColumn("place", F.col("place") + F.col("inside"))
+    rest = pieces.filter("k >= slots").withColumn("place", F.lit(count * slot).cast("long") + F.col("rests") + (F.col("k") - F.col("slots")) * slot + F.col("inside"))
+    found = whole.select("key", "number", "n", "start", "length", "place", "ids").unionByName(rest.select("key", "number", "n", "start", "length", "place", "ids"))
+    names, as_crc = made.names, made.names[-1] == "ids_crc32"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number, n, start, length, place = (batch.column(i).to_numpy() for i in range(1, 6))
+            ids = np.concatenate([_widen(x) for x in batch.column(6).to_pylist()])
+            fit = np.minimum(length, window - place % window)  # the rests may straddle a window
+            over = np.flatnonzero(fit < length)
+            row = np.concatenate([np.arange(len(n)), over])
+            skip = np.concatenate([np.zeros(len(n), np.int64), fit[over]])
+            size, at = np.concatenate([fit, (length - fit)[over]]), place[row] + skip
+            held = _cut(ids, (np.cumsum(length) - length)[row] + skip, size, as_crc)
+            yield {names[0]: batch.column(0).take(pa.array(row)), "start": pa.array(start[row] + skip), "length": pa.array(size), "doc_tokens": pa.array(n[row]),
+                   "queue": pa.array(number[row]), "sequence_id": pa.array(at // window), "offset": pa.array(at % window), names[-1]: held}
 
-    return map_batches(placed, schema, run)
+    return map_batches(found, made, run)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(
-        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "queue"
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), as_crc=True).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"
     )

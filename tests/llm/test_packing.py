@@ -94,3 +94,39 @@ def test_given_weights_hold_until_a_queue_is_empty():
 def test_large_totals_do_not_overflow():
     s = P.Schedule({0: 256 * 10**11, 1: 256 * 3 * 10**11}, 256, 2048)
     assert s.slot_places(1, np.array([3 * 10**11 - 1])).tolist() == [4 * 10**11 - 1]
+
+
+def test_more_sources_than_one_task_holds(spark, monkeypatch):
+    rows = [(i, "word " * (37 * (i % 5) + (3000 if i == 4 else 0)), f"s{i % 7}" if i % 8 else None, "") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    texts = {i: _ids(x) for i, x, *_ in rows}
+    monkeypatch.setattr(P, "MAX_QUEUES", 2)
+    many = P.pack(df, PATH, as_crc=True, slot=64, weights={"s1": 5, None: 9}).collect()
+    _hold(texts, many)
+    monkeypatch.undo()
+    few = P.pack(df, PATH, as_crc=True, slot=64, weights={"s1": 5, None: 9}).collect()
+    _hold(texts, few)
+    # both ways a queue is as far in any window, but for the slot that ties may give another queue
+    source = {i: s for i, _, s, _ in rows}
+    def shares(rows):
+        out = defaultdict(int)
+        for r in rows:
+            out[r.sequence_id, source[r.doc_id]] += r.length
+        return out
+    a, b = shares(many), shares(few)
+    assert all(abs(a[k] - b[k]) <= 64 for k in {*a, *b} if k[0] < max(r.sequence_id for r in few) - 1)
+
+
+def test_long_texts_and_batches_by_bytes(spark):
+    from factloom.llm import common
+
+    rows = [(i, "lorem ipsum dolor " * (200_000 if i == 3 else 10), "a", "") for i in range(12)]
+    out = P.pack(spark.createDataFrame(rows, SCHEMA), PATH, as_crc=True).collect()
+    _hold({i: _ids(x) for i, x, *_ in rows}, out)
+    import pyarrow as pa
+
+    batch = pa.record_batch({"a": ["x" * n for n in (1, 3_000_000, 5, 1_500_000, 1_000_000, 2)], "b": [None, "q", "", "r", "s", "t"]})
+    parts = list(common.portions(batch))
+    assert [p.num_rows for p in parts] == [1, 1, 2, 2] and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+    assert [p.num_rows for p in common.portions(pa.record_batch({"a": list(range(600))}))] == [256, 256, 88]
+    assert list(common.portions(pa.record_batch({"a": pa.array([], pa.string())}))) == []
