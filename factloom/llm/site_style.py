@@ -7,17 +7,19 @@ it, as the entropy of its spread nears that of all pages. A node is low where bo
 and it stands on half of the host's pages, which are ``MIN_PAGES`` at least; a branch of a page goes if its node and
 all element nodes below are low.
 
-Entropy alone can't tell a menu whose links differ from page to page from an article, so branches that HTML or their
-own names say are no article (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-go first; where a page marks its article, only that is read, and prose elements without a name in it are
-never judged by the host's other pages, on which a copy of the article may stand.
+Entropy can't tell a menu whose links differ from page to page from an article, so what HTML itself says is no article
+goes first (nav, footer, aside, form, dialog, scripts, styles, a header outside of an article), and elements that
+their own names call a menu, an advert, a notice or comments: a class or id whose last telling word is such a name
+("main-ad", "social-links", but not "social-history"). Where a page marks its article, only that is read, and low
+branches go from it too, but for headings without a name. If that took more than half of the article's text, copies of it
+fill the host, and nothing goes from it.
 
-Only the low nodes of a host are joined to its pages; each stands on half of them, so they are no more than twice
-the mean number of nodes of a page, however large the host is.
+Only the low nodes of a host meet its pages; each stands on half of them, so they are no more than twice the mean
+number of nodes of a page, however large the host is. Where all hosts have at most ``MOST_LOW`` together they are
+broadcast and html isn't shuffled; else pages are joined with them by host, the pages of large hosts in parts.
 
 Defined results: null or empty html gives empty text; unclosed and badly nested elements end where HTML ends them;
-unfinished tags at the end are dropped; pages without a host are one host; repeated rows count as pages each;
-other columns pass through, but those with an output's name give way.
+unfinished tags at the end are dropped; pages without a host are one host; repeated rows count as pages each; other columns pass through, but those with an output's name give way.
 """
 
 from __future__ import annotations
@@ -28,16 +30,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import extend, map_batches, table
+from factloom.llm.common import extend, map_batches, table, written
 
-LOW, MIN_PAGES, MAX_COUNTS = 0.2, 4, 100_000
-#: Parts that a host's pages are dealt in, as one host may have a third of all.
-SALTS = 16
+LOW, MIN_PAGES = 0.2, 4
+#: Low nodes, and hosts that have any, that are broadcast at most.
+MOST_LOW, MOST_HOSTS = 500_000, 100_000
+#: Pages of one part of a large host; hosts that are dealt in parts, at most.
+PART_PAGES, MOST_LARGE = 2000, 10_000
+#: Rows of the tree that a worker gathers, and labels that it remembers, at most.
+MAX_ROWS, MAX_KEYS = 50_000, 50_000
 
 # Groups of HTML elements, and names of branches that are no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,7 +55,7 @@ BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tr td th figure figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs byline comment comments "
     "commentlist consent cookie cookies disclaimer discussion disqus footer form gdpr header hidden login masthead menu menubar modal nav "
@@ -56,6 +63,8 @@ NAMES = frozenset(
     "replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toc toolbar "
     "topbar trending widget widgets".split()
 )
+#: Words that say only what form the thing before them has.
+FORMS = frozenset("area bar block body bottom box btn button buttons center col column container content group holder inner item items left link links list nav outer panel posts right row section text top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TAG = re.compile(
@@ -71,12 +80,29 @@ _keys: dict[tuple[int, str], int] = {}
 
 
 def _key(parent: int, label: str) -> int:
-    if len(_keys) > 200_000:
-        _keys.clear()
-    if (parent, label) not in _keys:
-        digest = hashlib.blake2b(f"{parent} {label}".encode(), digest_size=8).digest()
-        _keys[parent, label] = int.from_bytes(digest, "little", signed=True)
-    return _keys[parent, label]
+    found = _keys.get((parent, label))
+    if found is None:
+        found = _hash(f"{parent} {label}")
+        if len(label) < 64:
+            if len(_keys) >= MAX_KEYS:
+                _keys.clear()
+            _keys[parent, label] = found
+    return found
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _telling(names: str) -> bool:
+    """Whether the last telling word of any of the names is that of a branch that is no article."""
+    for name in names.split():
+        words = [w.lower() for w in NAME_PART.findall(name)]
+        while len(words) > 1 and (words[-1] in FORMS or words[-1].isdigit() or len(words[-1]) == 1):
+            words.pop()
+        if words and words[-1] in NAMES:
+            return True
+    return False
 
 
 class Page:
@@ -121,13 +147,14 @@ class Page:
                     role = value.lower()
                 else:
                     names += f" {value}"
-        words = {w.lower() for w in NAME_PART.findall(names)} if names else ()
         label = f"{name} {' '.join(names.split())}" if names else name
         self.tag.append("main" if role == "main" else name)
         self.parent.append(stack[-1])
         self.key.append(_key(self.key[stack[-1]], label))
         self.named.append(bool(names.strip()))
-        self.noise.append(name in CUT or role in ROLES or bool(words) and not NAMES.isdisjoint(words) and name not in ("html", "body", "main"))
+        titled = (name == "header" or role == "banner") and (self.open["article"] or self.open["main"])  # an article's own
+        noise = (name in CUT or role in ROLES) and not titled
+        self.noise.append(bool(noise or names and name not in ("html", "body", "main", "article") and _telling(names)))
         stack.append(len(self.tag) - 1)
         self.open[self.tag[-1]] += 1
         if name in BLOCK:
@@ -187,8 +214,7 @@ class Page:
                 yield self.key[i], 1, _key(1, " ".join(styles.get(i, ())))
         for i, text in self.parts:
             if text and not cut[i] and i and not text.isspace():
-                digest = hashlib.blake2b(" ".join(text.split()).encode("utf-8", "replace"), digest_size=8).digest()
-                yield self.key[i], 2, int.from_bytes(digest, "little", signed=True)
+                yield self.key[i], 2, _hash(" ".join(text.split()))
 
     def main_text(self, low: frozenset[int] | set[int] = frozenset()) -> str:
         n = len(self.tag)
@@ -200,21 +226,30 @@ class Page:
         for i in range(n - 1, 0, -1):
             if not branch[i]:
                 branch[self.parent[i]] = False
-        cut = [False] * n
-        for i in range(1, n):
-            safe = not whole and marked[i] and not self.named[i] and (self.tag[i] in PROSE or self.tag[i] in ("article", "main"))
-            inline = self.tag[i] not in BLOCK
-            cut[i] = cut[self.parent[i]] or self.noise[i] or branch[i] and not safe and not inline
+        plain = self._kept([False] * n)
+        if any(branch):
+            heading = lambda i: not whole and marked[i] and self.tag[i] in HEADINGS and not self.named[i]
+            judged = self._kept([b and self.tag[i] in BLOCK and not heading(i) for i, b in enumerate(branch)])
+            size = lambda kept: sum(len(t) for i, t in self.parts if t and kept[i] and (whole or marked[i]) and not t.isspace())
+            if whole or 2 * size(judged) >= size(plain):
+                plain = judged
         blocks, held = [], []
         for i, text in [*self.parts, (0, None)]:
             if text is None:
                 if held and (block := " ".join(markup.unescape("".join(held)).split())):
                     blocks.append(block)
                 held = []
-            elif not cut[i] and (whole or marked[i]):
+            elif plain[i] and (whole or marked[i]):
                 held.append(text)
         return "\n\n".join(blocks)
 
+    def _kept(self, low: list[bool]) -> list[bool]:
+        """Elements that are neither noise or low nor inside such a one."""
+        kept = [True] * len(self.tag)
+        for i in range(1, len(kept)):
+            kept[i] = kept[self.parent[i]] and not self.noise[i] and not low[i]
+        return kept
+
     def _inside_noise(self, i: int) -> bool:
         while i:
             if self.noise[i]:
@@ -229,7 +264,8 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The merged trees: (host, node, kind, feature, pages), added up in each task before they are shuffled."""
+    """The merged trees: (host, node, kind, feature, pages), hosts by their hash; added up in each task before they are
+    shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         count: dict[tuple, int] = {}
@@ -242,13 +278,13 @@ def style_tree(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
             for host, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for node in {(0, 0, 0), *Page(x or "").nodes()}:
                     count[(host, *node)] = count.get((host, *node), 0) + 1
-            if len(count) > MAX_COUNTS:
-                yield out()
-                count = {}
+                if len(count) > MAX_ROWS:
+                    yield out()
+                    count = {}
         yield out()
 
-    schema = T._parse_datatype_string("host string, node long, kind int, feature long, pages long")
-    made = map_batches(pages.select(host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")), schema, run)
+    schema = T._parse_datatype_string("host long, node long, kind int, feature long, pages long")
+    made = map_batches(pages.select(F.xxhash64(host_of(F.col(f"`{url}`"))).alias("host"), F.col(f"`{html}`").alias("html")), schema, run)
     return made.groupBy("host", "node", "kind", "feature").agg(F.sum("pages").alias("pages"))
 
 
@@ -273,20 +309,53 @@ def low_nodes(tree: DataFrame) -> DataFrame:
     return low.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low"))
 
 
-def extract_main_text(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
-    """``pages`` with the main text of their whole html."""
-    low = low_nodes(style_tree(pages, html, url)).select(F.col("host").alias("__host"), F.col("low").alias("__low"))
-    low = low.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64(f"`{url}`", f"`{html}`"), F.lit(SALTS))
-    judged = pages.join(low, (host_of(F.col(f"`{url}`")) == F.col("__host")) & (salt == F.col("__salt")), "left").drop("__host", "__salt")
+def _in_parts(pages: DataFrame, host: Column, low: DataFrame) -> DataFrame:
+    """``pages`` with their hosts' low nodes as ``__low``. Hosts with a ten-thousandth of all pages or more, which are
+    ``MOST_LARGE`` at most, are dealt in parts."""
+    count = pages.groupBy(host.alias("__host")).agg(F.count("*").alias("n"))
+    large = written(count.filter(f"n > {PART_PAGES}").select("__host", "n"), "large")
+    least = F.lit(pages.count() / MOST_LARGE)
+    large = F.broadcast(large.filter(F.col("n") >= least).select("__host", F.ceil(F.col("n") / PART_PAGES).cast("int").alias("__parts")))
+    parts = low.select(F.col("host").alias("__host"), F.col("low").alias("__low")).join(large, "__host", "left")
+    parts = parts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    dealt = pages.withColumn("__host", host).join(large, "__host", "left")
+    dealt = dealt.withColumn("__part", F.pmod(F.monotonically_increasing_id(), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    return dealt.join(parts, ["__host", "__part"], "left").drop("__part")
+
+
+def extract_main_text(
+    pages: DataFrame, html: str = "html", url: str = "url", text: str = "text", most_low: int = MOST_LOW, keep_html: bool = True
+) -> DataFrame:
+    """``pages`` with the main text of their whole html, which is left out on demand. Up to ``most_low`` low nodes of all
+    hosts are broadcast."""
+    low = written(low_nodes(style_tree(pages, html, url)), "low-nodes")
+    size = low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("nodes"), F.count("*").alias("hosts")).first()
+    host = F.xxhash64(host_of(F.col(f"`{url}`")))
+    if size.nodes <= most_low and size.hosts <= MOST_HOSTS:
+        found = {r.host: np.array(r.low, np.int64) for r in low.collect()}  # within the bounds just checked
+        shared = pages.sparkSession.sparkContext.broadcast(found)
+
+        def low_of(batch: pa.RecordBatch, i: int, h: int) -> list[int]:
+            return shared.value.get(h, np.zeros(0, np.int64)).tolist()
+
+        judged = pages.withColumn("__host", host)
+    else:
+        judged = _in_parts(pages, host, low)
+
+        def low_of(batch: pa.RecordBatch, i: int, h: int) -> list[int]:
+            return batch.column("__low")[i].as_py() or []
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = zip(batch.column(html).to_pylist(), batch.column("__low").to_pylist(), strict=True)
-        return {text: [Page(x).main_text(set(low or ())) if x else "" for x, low in rows]}
+        made, last, held = [], None, frozenset()
+        for i, (h, x) in enumerate(zip(batch.column("__host").to_pylist(), batch.column(html).to_pylist(), strict=True)):
+            if h != last:
+                last, held = h, frozenset(low_of(batch, i, h))
+            made.append(Page(x).main_text(held) if x else "")
+        return {text: made}
 
-    return extend(judged, f"`{text}` string", run).drop("__low")
+    return extend(judged, f"`{text}` string", run, ("__low", "__host", *(() if keep_html else (html,))))
 
 
 def op2_site_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return extract_main_text(pages, keep_html=False).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

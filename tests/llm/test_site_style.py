@@ -74,3 +74,48 @@ def test_an_end_tag_finds_its_element_at_any_depth():
         assert S.Page(f"<body><article><p>Text.</p><i>{'<b>' * count}</article><p>nice</p></body>").main_text() == "Text."
     page = S.Page("<ul>" + "<li><b>x" * 3000 + "<br></q></ul>" + "</b>" * 3000 + "<p>end")
     assert dict(+page.open) == {"p": 1}
+
+
+ANONYMOUS = """<html><body><div><div><div><a href="/">Home</a> <a href="/x">All stories</a></div><div><p>{article}</p><p>{more}</p></div>
+<div><div>Read this every day</div></div></div><table><tr><td>Imprint and terms</td></tr></table></div></body></html>"""
+
+
+def test_the_tree_decides_where_nothing_else_tells(spark):
+    rows = [(i, f"http://a.example/{i}", ANONYMOUS.format(article=f"Story {i}", more=f"End of {i * 7}"), "") for i in range(12)]
+    with_tree = S.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()
+    for r in with_tree:
+        assert r.text == f"Story {r.page_id}\n\nEnd of {r.page_id * 7}"
+        alone = S.Page(r.html).main_text()
+        assert alone == f"Home All stories\n\nStory {r.page_id}\n\nEnd of {r.page_id * 7}\n\nRead this every day\n\nImprint and terms"
+    joined = S.extract_main_text(spark.createDataFrame(rows, SCHEMA), most_low=0).collect()
+    assert sorted(joined) == sorted(with_tree)
+
+
+def test_the_tree_cuts_inside_a_marked_article_too(spark):
+    page = "<body><article><h1>T</h1><p>Long story {i} of many words.</p><div><div>Rate it</div></div></article></body>"
+    rows = [(i, f"http://a.example/{i}", page.format(i=i), "") for i in range(6)]
+    assert {r.text for r in S.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()} == {f"T\n\nLong story {i} of many words." for i in range(6)}
+
+
+def test_names_that_only_contain_a_telling_word():
+    for name in ("post search-results-story", "social-history", "share-price-report", "navigation-history-essay"):
+        assert S.Page(f"<body><div class='{name}'><p>Body text</p></div></body>").main_text() == "Body text"
+    assert S.Page("<article><header><h1>Title</h1></header><p>a</p><section id='social-history'><p>b</p></section></article>").main_text() == "Title\n\na\n\nb"
+    for name in ("main-ad", "social-links", "cookie-notice", "comment-list", "sidebar-left", "ad-300x250", "newsletterSignup"):
+        assert S.Page(f"<body><div class='{name}'><p>Noise</p></div><p>Text</p></body>").main_text() == "Text"
+    deep = "<div>" * 600 + "<article><p>Deep</p></article><div class='comments'>no</div>" + "</div>" * 600
+    assert S.Page(f"<body>{deep}</body>").main_text() == "Deep"
+
+
+def test_large_hosts_are_dealt_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "PART_PAGES", 3)
+    rows = [(i, f"http://{'a' if i % 3 else 'b' * (i % 7)}.example/", ANONYMOUS.format(article=f"Story {i}", more="x"), "") for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(S.extract_main_text(df, most_low=0).collect()) == sorted(S.extract_main_text(df).collect())
+
+
+def test_a_very_long_page_and_ties(spark):
+    long = "<p>" + "word " * 400_000 + "</p>" + "<p>a" * 20_000
+    rows = [(1, "http://a/", f"<body>{long}</body>", ""), (2, "http://a/", None, ""), (2, "http://a/", None, "")]
+    out = {r.page_id: r.text for r in S.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[2] == "" and len(out[1]) == len("word " * 400_000) - 1 + 3 * 20_000
