@@ -13,6 +13,7 @@ are never learned from; other columns pass through, but those with an output's n
 from __future__ import annotations
 
 import math
+import operator
 import re
 
 import numpy as np
@@ -27,7 +28,14 @@ from factloom.llm.common import extend, table
 TRAIN_ROWS, STRETCH = 4000, 400
 HIDDEN, STEPS, BATCH, LENGTH = 10, 700, 128, 48
 CORE, CONTEXT = 240, 16
-LETTER = re.compile(r"[^\W\d_]")
+#: Marks and digits of other scripts stand among word characters; ``has_letter`` looks at these more closely.
+WORDY = re.compile(r"[^\W\d_]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of any script's letters (Unicode's L categories) is in ``text``; superscripts, fractions and numerals
+    that are word characters are none."""
+    return any(run.isascii() or any(map(str.isalpha, run)) for run in map(operator.itemgetter(0), WORDY.finditer(text)))
 
 
 def train(texts: list[str], labels: list[str], seed: int = 7, steps: int = STEPS) -> dict | None:
@@ -131,12 +139,12 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     return train([r.t for r in found], [r.l for r in found])
 
 
-def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+def predict(docs: DataFrame, model: dict | None, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; the text is left out on demand."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column(text).to_pylist()
-        known = [x if model and x and LETTER.search(x) else "" for x in texts]
+        known = [x if model and x and has_letter(x) else "" for x in texts]
         if not model:
             return {"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)}
         found = probabilities([x.encode() for x in known], model)
@@ -146,11 +154,11 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
             "score": np.clip(found[np.arange(len(best)), best], 0, 1),
         }
 
-    return extend(docs, "lang_pred string, score double", run)
+    return extend(docs, "lang_pred string, score double", run, () if keep_text else (text,))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = learned_rows(F.col("doc_id"), 4, 2)
     model = fit(docs.filter(~held_out))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -273,19 +273,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train([t for t, _ in sample], [y for _, y in sample])
 
 
-def score(docs: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``. The model goes to the executors as a broadcast of a fixed size."""
+def score(docs: DataFrame, model: dict | None, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``score`` and ``predicted``; the text is left out on demand. The model goes to the executors as a broadcast of a fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> dict:
         made = scores([x or "" for x in batch.column(text).to_pylist()], shared.value)
         return {"score": made, "predicted": (made >= THRESHOLD).astype(np.int32)}
 
-    return extend(docs, "score double, predicted int", run)
+    return extend(docs, "score double, predicted int", run, () if keep_text else (text,))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = learned_rows(F.col("doc_id"), 3, 1)
     model = fit(docs.filter(~held_out), table(spark, sf_dir, "labels").filter(~held_out))
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score(docs, model, keep_text=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
