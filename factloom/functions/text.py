@@ -18,6 +18,8 @@ SUFFIX = rf"(?iU)[\s,.]*\b({_LONGEST_FIRST})\.?\s*$"
 CIN = "^[A-Za-z][0-9]{5}[A-Za-z]{2}[0-9]{4}[A-Za-z]{3}[0-9]{6}$"
 SECRET = r"""(?i)((?:x-)?(?:api[-_]?key|token|secret))['"]?\s*[:=]\s*['"]?[^&\s'"]+"""
 SAFE_SCHEMES = ("http", "https")
+#: Public addresses of version 6, and what of them isn't.
+GLOBAL_V6, PRIVATE_V6 = r"^[23][0-9a-f]{3}:", r"^(?:2001:(?:0{0,3}:|0?[01]?[0-9a-f]{1,2}:|:|0?db8:)|2002:|3fff:)"
 PRIVATE_HOST = (
     r"^(?:0\.|10\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|"
     r"22[4-9]\.|2[3-5][0-9]\.|localhost$)"
@@ -100,7 +102,13 @@ def safe_url(x: Column) -> Column:
     scheme = F.lower(F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     authority = F.regexp_extract(x, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     host = F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1))
-    plain = ~F.contains(authority, F.lit("@")) & (host != "") & ~host.rlike(PRIVATE_HOST) & ~host.startswith("[")
+    # a host that is one number is an address of version 4
+    number = F.when(host.rlike("^0x[0-9a-f]{1,8}$"), F.conv(F.substring(host, 3, 8), 16, 10)).when(host.rlike("^[0-9]{1,10}$"), host).try_cast("bigint")
+    dotted = F.concat_ws(".", *(F.shiftright(number, n).bitwiseAND(F.lit(255)).cast("string") for n in (24, 16, 8, 0)))
+    host = F.when(number.between(0, 2**32 - 1), dotted).otherwise(host)
+    inside = F.regexp_extract(host, r"^\[(.*)\]$", 1)
+    public = F.when(host.startswith("["), inside.rlike(GLOBAL_V6) & ~inside.rlike(PRIVATE_V6)).otherwise(~host.rlike(PRIVATE_HOST))
+    plain = ~F.contains(authority, F.lit("@")) & (host != "") & public
     return F.coalesce(scheme.isin(*SAFE_SCHEMES) & plain, F.lit(False))
 
 

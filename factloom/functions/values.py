@@ -67,10 +67,9 @@ def inr_revenue(x: Column) -> Column:
 
 
 def _multiplier(unit: Column) -> Column:
-    out = F.lit(1)
-    for name, value in UNITS.items():
-        out = F.when(unit == name, value).otherwise(out)
-    return out
+    """One look-up in a constant map."""
+    known = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
+    return F.coalesce(F.element_at(known, F.coalesce(unit, F.lit(""))), F.lit(1))
 
 
 def flexible_date(x: Column) -> Column:

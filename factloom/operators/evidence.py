@@ -78,6 +78,31 @@ def roll_up(scores: DataFrame) -> DataFrame:
     )
 
 
+def explanations(scores: DataFrame, rolled: DataFrame) -> DataFrame:
+    """CNF-12: what each confidence rests on: its parts, and how many observations of which weight and label agree. Weights are
+    whole numbers up to 100 and labels few, so a group's list is short however many observations agree."""
+    voices = scores.groupBy("company_id", "field", "value_key", "reliability_weight", "verification_type").agg(F.count("*").alias("n"))
+    winners = rolled.select("company_id", "field", F.lower(text.strip_all(F.coalesce("value", F.lit("")))).alias("value_key"))
+    each = F.struct("reliability_weight", "verification_type", "n")
+    lists = voices.join(winners, ["company_id", "field", "value_key"]).groupBy("company_id", "field").agg(F.sort_array(F.collect_list(each)).alias("voices"))
+    parts = F.struct(
+        F.col("base").alias("base_score"), F.col("bonus").alias("independent_source_bonus"), F.col("penalty").alias("conflict_penalty"),
+        F.col("agreement").alias("agreement_ratio"), F.col("agreeing").alias("agreeing_observation_count"), F.col("total").alias("total_observation_count"),
+        "voices",
+    )
+    return rolled.join(lists, ["company_id", "field"]).select("company_id", "field", parts.alias("explanation"))
+
+
+def confidence_of(wanted: DataFrame, rolled: DataFrame) -> DataFrame:
+    """CNF-13: the evidence for each wanted (company_id, field); 0.0 and "unknown" where no observation speaks."""
+    found = wanted.join(rolled.select("company_id", "field", "value", "confidence", "verification_type"), ["company_id", "field"], "left")
+    silent = F.col("confidence").isNull()
+    return found.select(
+        "company_id", "field", "value", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("verification_type", F.lit("unknown")).alias("verification_type"),
+        F.when(silent, "no_observations").alias("reason"),
+    )
+
+
 def company_confidence(evidence: DataFrame, scores: DataFrame) -> DataFrame:
     """AGG-02..05, CNF-14: per company. Confidences are thousandths, whose sum doesn't hang on its order."""
     thousandths = F.sum(F.round(F.col("confidence") * 1000).cast("bigint"))

@@ -111,7 +111,8 @@ def repeats_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def confidence_histogram(companies: DataFrame) -> DataFrame:
-    """AGG-10: five buckets of a fifth; 1.0 is alone in a sixth."""
+    """AGG-10: five buckets of a fifth; 1.0 is alone in a sixth. Companies without a confidence are in none."""
+    companies = companies.filter(F.col("confidence").isNotNull())
     bucket = F.floor(F.col("confidence") * 5).cast("int")
     label = F.concat((bucket * 20).cast("string"), F.lit("-"), (bucket * 20 + 20).cast("string"), F.lit("%"))
     return companies.groupBy(bucket.alias("bucket"), label.alias("label")).agg(F.count("*").alias("companies"))

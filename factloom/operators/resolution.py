@@ -14,6 +14,8 @@ SAME_NAME_PLACED, SAME_NAME, LIKE_NAME_PLACED, LIKE_NAME = 0.75, 0.55, 0.65, 0.3
 SAME, LIKE = 0.98, 0.85
 AUTO, REVIEW = 0.90, 0.50
 CANDIDATES, LEAST_SIMILARITY = 10, 0.3
+#: Similarities above which names are looked for first.
+STEPS = (0.8, 0.55)
 SIGNALS = ("cin", "gstin", "domain", "name", "state", "postal", "email_domain")
 
 
@@ -29,42 +31,81 @@ def folded(signals: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _first(rows: DataFrame, by: str, order: list[Column], count: int) -> DataFrame:
+    """The first rows of each group; Spark cuts the groups in every task before it shuffles them."""
+    place = Window.partitionBy(by).orderBy(*order)
+    return rows.withColumn("__n", F.row_number().over(place)).filter(F.col("__n") <= count).drop("__n")
+
+
 def exact_candidates(records: DataFrame, companies: DataFrame, cap: int | None = CANDIDATES) -> DataFrame:
-    """JN-06: (record_id, company_id) that share a CIN, GSTIN or domain: three equi-joins, so no nested loop."""
-    joins = [records.select("record_id", n).join(companies.select("company_id", n), n).select("record_id", "company_id") for n in ("cin", "gstin", "domain")]
-    found = joins[0].union(joins[1]).union(joins[2]).distinct()
-    if cap is None:
-        return found
-    first = Window.partitionBy("record_id").orderBy("company_id")
-    return found.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= cap).drop("n")
+    """JN-06: (record_id, company_id) that share a CIN, GSTIN or domain: three equi-joins, so no nested loop. As the first ``cap``
+    count, a domain that very many companies share takes part with its first ``cap`` only."""
+
+    def shared(name: str) -> DataFrame:
+        side = companies.select("company_id", name).filter(F.col(name).isNotNull())
+        side = side if cap is None else _first(side, name, [F.asc("company_id")], cap)
+        return records.select("record_id", name).join(side, name).select("record_id", "company_id")
+
+    found = shared("cin").union(shared("gstin")).union(shared("domain")).distinct()
+    return found if cap is None else _first(found, "record_id", [F.asc("company_id")], cap)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select("name").filter(F.col("name").isNotNull()).distinct()
+
+
+def ranked_trigrams(names: DataFrame) -> DataFrame:
+    """(name, t): distinct names with their trigrams, the rarest first."""
+    named = _named(names)
+    pieces = named.select("name", F.explode(text.trigrams(F.col("name"))).alias("piece"))
+    often = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    each = F.sort_array(F.collect_list(F.struct("n", "piece")))  # of one name, so as long as it
+    return pieces.join(often, "piece").groupBy("name").agg(F.transform(each, lambda x: x.piece).alias("t"))
+
+
+def _pairs_above(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Of ranked trigrams: pairs of names more similar than ``least``.
+
+    Names that are share one of the rarest ``n - floor(least * n)`` trigrams of both, so common trigrams join nothing; a pair counts
+    at its first one, so none is counted twice and nothing is added up."""
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        prefix = F.col("t_size") - F.floor(least * F.col("t_size") - 1e-9)
+        rows = df.select(F.col("name").alias(f"{s}_name"), F.col("t").alias(f"{s}_t"), F.size("t").alias("t_size"))
+        rows = rows.withColumn(f"{s}_head", F.slice(f"{s}_t", F.lit(1), prefix.cast("int"))).drop("t_size")
+        return rows.withColumn("piece", F.explode(f"{s}_head"))
+
+    n, m = F.size("left_t"), F.size("right_t")
+    pairs = side(left, "left").join(side(right, "right"), "piece").filter(F.least(n, m) > least * F.greatest(n, m))
+    pairs = pairs.filter(F.get(F.array_intersect("left_head", "right_head"), F.lit(0)) == F.col("piece"))
+    common = F.size(F.array_intersect("left_t", "right_t"))
+    return pairs.select("left_name", "right_name", (common / (n + m - common)).alias("similarity")).filter(F.col("similarity") > least)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """JN-07, STR-14: (left_name, right_name, similarity) over distinct names, by shared trigrams.
-
-    No similarity without a shared trigram, so the equi-join on trigrams loses nothing; sizes that can't reach
-    the threshold are left out before the counts are added up."""
-    pieces = lambda df, side: (
-        df.select(F.col("name").alias(f"{side}_name")).filter(F.col(f"{side}_name").isNotNull()).distinct()
-        .withColumn("t", text.trigrams(F.col(f"{side}_name")))
-        .select(f"{side}_name", F.size("t").alias(f"{side}_size"), F.explode("t").alias("piece"))
-    )
-    a, b = pieces(left, "left"), pieces(right, "right")
-    fits = F.least("left_size", "right_size") > least * F.greatest("left_size", "right_size")
-    shared = a.join(b, "piece").filter(fits).groupBy("left_name", "right_name", "left_size", "right_size").agg(F.count("*").alias("common"))
-    similarity = F.col("common") / (F.col("left_size") + F.col("right_size") - F.col("common"))
-    return shared.select("left_name", "right_name", similarity.alias("similarity")).filter(F.col("similarity") > least)
+    """JN-07, STR-14: (left_name, right_name, similarity) over distinct names, by shared trigrams."""
+    ranked = ranked_trigrams(left.select("name").union(right.select("name")))
+    return _pairs_above(ranked.join(_named(left), "name", "left_semi"), ranked.join(_named(right), "name", "left_semi"), least)
 
 
 def fuzzy_candidates(records: DataFrame, companies: DataFrame, top: int = CANDIDATES, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """JN-07, WIN-06: the ``top`` companies of most similar names, for each record."""
-    pairs = similar_pairs(records, companies, least)
-    found = (
-        records.select("record_id", F.col("name").alias("left_name")).join(pairs, "left_name")
-        .join(companies.select("company_id", F.col("name").alias("right_name")), "right_name")
-    )
-    best = Window.partitionBy("record_id").orderBy(F.desc("similarity"), F.asc("company_id"))
-    return found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= top).select("record_id", "company_id", "similarity")
+    """JN-07, WIN-06: the ``top`` companies of most similar names, for each record.
+
+    Thresholds go down in ``STEPS``: a name that has found ``top`` companies above one has found its best, and looks no
+    further, so that all but the odd names never meet the many that are hardly alike. Of companies with one name the first
+    ``top`` can count."""
+    ranked = cut(ranked_trigrams(records.select("name").union(companies.select("name"))), "trigrams")
+    owners = _first(companies.select("company_id", F.col("name").alias("right_name")).filter("right_name IS NOT NULL"), "right_name", [F.asc("company_id")], top)
+    right, left = ranked.join(_named(companies), "name", "left_semi"), ranked.join(_named(records), "name", "left_semi")
+    best, found = [F.desc("similarity"), F.asc("company_id")], None
+    for step in [x for x in STEPS if x > least] + [least]:
+        pairs = _pairs_above(left, right, step).join(owners, "right_name").select("left_name", "company_id", "similarity")
+        now = cut(_first(pairs, "left_name", best, top), "similar")
+        full = now.groupBy(F.col("left_name").alias("name")).count().filter(F.col("count") >= top)
+        done = now if step == least else now.join(full, now.left_name == full.name, "left_semi")
+        found = done if found is None else found.union(done)
+        left = left.join(full, "name", "left_anti")
+    return records.select("record_id", F.col("name").alias("left_name")).join(found, "left_name").select("record_id", "company_id", "similarity")
 
 
 def candidates(records: DataFrame, companies: DataFrame) -> DataFrame:
@@ -77,7 +118,8 @@ def candidates(records: DataFrame, companies: DataFrame) -> DataFrame:
 def rules(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
     """ER-04, ER-06: what two sides' signals say; null where a side lacks the signal."""
     equal = {n: a[n] == b[n] for n in ("cin", "gstin", "domain", "email_domain", "state", "postal")}
-    return {**equal, "name_similarity": text.token_sort_similarity(a["name"], b["name"])}
+    both = a["name"].isNotNull() & b["name"].isNotNull()
+    return {**equal, "name_similarity": F.when(both, text.token_sort_similarity(a["name"], b["name"]))}
 
 
 def match_score(found: dict[str, Column]) -> Column:
@@ -136,17 +178,34 @@ def review(queue: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def first_come(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """§ order-dependent creation: nodes (id, in order of arrival) and edges (earlier, later) that score for review or
-    more. A node is new unless an earlier neighbour is; the rest goes to review. Rounds to a fixpoint, each cut by a
-    table in the shared folder: an open node with a new earlier neighbour is reviewed, one without open or new earlier
-    neighbours is new."""
-    state = nodes.select("id", F.lit("open").alias("state"))
+    more. A node is new unless an earlier neighbour is; the rest goes to review. In rounds: open nodes without an open earlier
+    neighbour are new, their later neighbours go to review, and both leave with their edges, so a round only touches what is
+    still open."""
+    touched = edges.select(F.col("earlier").alias("id")).union(edges.select("later")).distinct()
+    out = nodes.select("id").join(touched, "id", "left_anti").select("id", F.lit("new").alias("state"))  # no neighbour at all
+    still, left = cut(nodes.select("id").join(touched, "id", "left_semi"), "open"), cut(edges.select("earlier", "later").distinct(), "edges")
     while True:
-        before = edges.join(state.select(F.col("id").alias("earlier"), F.col("state").alias("s")), "earlier")
-        seen = before.groupBy("later").agg(F.max((F.col("s") == "new").cast("int")).alias("new"), F.max((F.col("s") == "open").cast("int")).alias("open"))
-        judged = state.join(seen.withColumnRenamed("later", "id"), "id", "left").select(
-            "id",
-            F.when(F.col("state") != "open", F.col("state")).when(F.col("new") == 1, "review").when(F.coalesce("open", F.lit(0)) == 0, "new").otherwise("open").alias("state"),
-        )
-        state = cut(judged, "first-come")
-        if not state.filter("state = 'open'").limit(1).count():
-            return state
+        behind = left.select(F.col("later").alias("id")).distinct()
+        new = still.join(behind, "id", "left_anti").select("id", F.lit("new").alias("state"))
+        reviewed = left.join(new.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"), F.lit("review").alias("state")).distinct()
+        now = cut(new.union(reviewed), "first-come")
+        out = out.union(now)
+        done = now.select("id")
+        still = cut(still.join(done, "id", "left_anti"), "open")
+        if not still.limit(1).count():
+            return out
+        left = left.join(done.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(done.withColumnRenamed("id", "later"), "later", "left_anti")
+        left = cut(left.select("earlier", "later"), "edges")
+
+
+def decision_counts(resolved: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """AGG-09: what an import's records came to, as counters; ``failures``: rows that could not be read."""
+    counts = outcomes(resolved).agg(
+        F.count_if(F.col("outcome") == "create").alias("new_companies"),
+        F.count_if(F.col("outcome") == "attach").alias("existing_companies"),
+        F.count_if(F.col("outcome") == "queue").alias("ambiguous_matches"),
+        F.count_if(F.col("outcome") == "drop").alias("no_match"),
+    )
+    if failures is None:
+        return counts.withColumn("parsing_failures", F.lit(0).cast("long"))
+    return counts.join(F.broadcast(failures.agg(F.count("*").alias("parsing_failures"))))  # a row each

@@ -42,13 +42,15 @@ def advanced(
 
 
 def unknown_bucket(
-    companies: DataFrame, node: tree.Node, key: str = "company_id", sort: list[tuple[str, str]] | None = None, offset: int = 0, limit: int | None = PAGE
-) -> DataFrame:
-    """FLT-31: rows that fail only for what is unknown: each condition holds or its field is null, and one is null.
+    companies: DataFrame, node: tree.Node, key: str = "company_id", sort: list[tuple[str, str]] | None = None, offset: int = 0, limit: int | None = PAGE,
+    countries: list[str] | None = None, observations: DataFrame | None = None, sources: list | None = None,
+) -> DataFrame:
+    """FLT-31, within scopes: rows that fail only for what is unknown: each condition holds or its field is null, and one is null.
     For single conditions and flat ANDs; other trees have none."""
     parts = [node] if isinstance(node, tree.Condition) else node.conditions if node.op == "AND" else []
     if not parts or any(isinstance(x, tree.Group) for x in parts):
         return companies.filter(F.lit(False))
+    companies = in_scope(companies, key, countries, observations, sources)
     some, every = F.lit(False), F.lit(True)
     for part in parts:
         unknown = tree.is_unknown(tree.spec_of(part, tree.FIELDS))
@@ -163,8 +165,25 @@ def selected(found: DataFrame, names: list[str]) -> DataFrame:
     return found.select(*names)
 
 
-def run_saved(companies: DataFrame, saved: dict, key: str = "company_id") -> DataFrame:
-    """A saved search: its filter as JSON, scopes, sort and handling."""
-    scoped = in_scope(companies, key, saved.get("country_scope"))
+#: What a saved search may hold.
+SAVED_KEYS = frozenset({"name", "filter_json", "country_scope", "source_scope", "sort", "handling", "offset", "limit", "selected_fields"})
+
+
+def run_saved(companies: DataFrame, saved: dict, observations: DataFrame | None = None, key: str = "company_id") -> DataFrame:
+    """A saved search: its filter as JSON, scopes, sort and handling. A scope of sources needs the observations."""
+    if unknown := sorted(set(saved) - SAVED_KEYS):
+        raise tree.InvalidFilterConditionError(f"unknown keys: {', '.join(unknown)}")
+    if saved.get("source_scope") and observations is None:
+        raise tree.InvalidFilterConditionError("a scope of sources needs observations")
+    scoped = in_scope(companies, key, saved.get("country_scope"), observations, saved.get("source_scope"))
     sort = [tuple(x) for x in saved.get("sort", [])] or None
     return advanced(scoped, tree.loads(saved["filter_json"]), key, sort, saved.get("handling", DEFINITE_AND_POSSIBLE), saved.get("offset", 0), saved.get("limit", PAGE))
+
+
+def with_unknown(
+    companies: DataFrame, node: tree.Node, names: DataFrame, key: str = "company_id", limit: int | None = PAGE
+) -> DataFrame:
+    """PRJ-03: matches with their strength, and the unknown ones, each row in its ``bucket``, with source names."""
+    found = advanced(companies, node, key, limit=limit).withColumn("bucket", F.lit("results"))
+    unknown = unknown_bucket(companies, node, key, limit=limit).withColumns({"match_strength": F.lit("unknown"), "bucket": F.lit("unknown")})
+    return with_sources(found.unionByName(unknown), names, key)

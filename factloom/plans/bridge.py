@@ -74,4 +74,10 @@ def duckdb(body: str, *views: str) -> str:
     """A query of the other engine over views."""
     names = {t: t for t in TABLES}
     found = ", ".join(f"{v} AS ({VIEWS[v].format(**names)})" for v in views)
-    return f"WITH {found} {body}" if found and not body.lstrip().upper().startswith("WITH") else f"WITH {found}, {body.lstrip()[5:]}" if found else body
+    rest = body.lstrip()
+    if not found:
+        return body
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if rest.upper().startswith(start):
+            return f"{start}{found}, {rest[len(start):]}"
+    return f"WITH {found} {body}"

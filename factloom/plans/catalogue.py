@@ -12,7 +12,7 @@ from factloom.functions import text, values
 from factloom.operators import evidence, filter_tree as tree, health, projections, resolution, search
 from factloom.plans import filter_sql
 from factloom.plans.bridge import Tables, duckdb
-from factloom.sources import adapters, demo, mapping, sinks
+from factloom.sources import adapters, mapping, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,10 +322,12 @@ def safe_casts(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN true ELSE false END AS valid FROM pages"
+    "SELECT page_id, regexp_matches(CASE WHEN page_id % 2 = 0 THEN concat('U12345mh2001PTC', lpad(CAST(page_id AS VARCHAR), 6, '0')) WHEN page_id % 3 = 0 THEN concat('12345U', lpad(CAST(page_id AS VARCHAR), 15, '0')) "
+    "ELSE 'U12345MH2001PTC12345' END, '^[A-Za-z][0-9]{5}[A-Za-z]{2}[0-9]{4}[A-Za-z]{3}[0-9]{6}$') AS valid FROM pages"
 )
 def str_cin(t: Tables) -> DataFrame:
-    cin = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("U12345mh2001PTC"), F.lpad(F.col("page_id").cast("string"), 6, "0"))).otherwise("U12345MH2001PTC12345")
+    cin = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("U12345mh2001PTC"), F.lpad(F.col("page_id").cast("string"), 6, "0")))
+    cin = cin.when(F.col("page_id") % 3 == 0, F.concat(F.lit("12345U"), F.lpad(F.col("page_id").cast("string"), 15, "0"))).otherwise("U12345MH2001PTC12345")
     return t.table("pages").select("page_id", text.valid_cin(cin).alias("valid"))
 
 
@@ -339,7 +341,7 @@ def _registry(t: Tables) -> DataFrame:
         F.col("canonical_name").alias("company_name "),
         F.lit("Active").alias("COMPANY_STATUS(for efiling)"),
         F.col("industry").alias("COMPANY_CLASS"),
-        F.expr("date_format(incorporation_date, 'dd-MM-yyyy')").alias("DATE_OF_INCORPORATION"),
+        F.expr("CASE WHEN company_id % 19 <> 0 THEN date_format(incorporation_date, 'dd-MM-yyyy') END").alias("DATE_OF_INCORPORATION"),
         F.expr("CASE WHEN company_id % 5 <> 4 THEN concat(state, ' ') END").alias("REGISTERED_STATE"),
         F.expr("CASE WHEN company_id % 10 = 0 THEN 'N.A.' ELSE CAST(company_id AS STRING) END").alias("AUTHORIZED_CAP"),
         F.lit("?").alias("SOME_FUTURE_FIELD"),
@@ -348,7 +350,7 @@ def _registry(t: Tables) -> DataFrame:
 
 
 _REGISTRY_SQL = """SELECT company_id, CASE WHEN company_id % 13 = 0 THEN '' WHEN company_id % 17 = 0 THEN 'SHORT' ELSE concat('U12345MH2001PTC', lpad(CAST(company_id % 700 AS VARCHAR), 6, '0')) END AS cin,
-  canonical_name AS name, CASE WHEN company_id % 5 <> 4 THEN state ELSE '' END AS state, CASE WHEN company_id % 10 = 0 THEN 'N.A.' ELSE CAST(company_id AS VARCHAR) END AS capital, industry, incorporation_date FROM companies"""
+  canonical_name AS name, CASE WHEN company_id % 5 <> 4 THEN state ELSE '' END AS state, CASE WHEN company_id % 10 = 0 THEN 'N.A.' ELSE CAST(company_id AS VARCHAR) END AS capital, industry, CASE WHEN company_id % 19 <> 0 THEN incorporation_date END AS incorporation_date FROM companies"""
 
 
 @query(f"WITH r AS ({_REGISTRY_SQL}) SELECT cin, name AS company_name, state AS registered_state, length(cin) = 21 AS valid FROM r WHERE cin <> ''", "companies")
@@ -360,29 +362,27 @@ def map_external_columns(t: Tables) -> DataFrame:
 @query(
     f"""WITH r AS ({_REGISTRY_SQL}), f AS (SELECT cin, unnest([
     {{'field': 'cin', 'value': cin}}, {{'field': 'country_code', 'value': 'IN'}}, {{'field': 'legal_name', 'value': name}}, {{'field': 'company_status', 'value': 'active'}},
+    {{'field': 'canonical_name', 'value': trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g'))}},
     {{'field': 'company_type', 'value': lower(industry)}}, {{'field': 'incorporation_date', 'value': CAST(incorporation_date AS VARCHAR)}},
     {{'field': 'state', 'value': nullif(lower(state), '')}}, {{'field': 'authorized_capital_inr', 'value': CASE WHEN capital = 'N.A.' THEN NULL ELSE capital END}}]) AS x, state FROM r WHERE length(cin) = 21)
-    SELECT x.field AS field, x.value AS value, count(*) AS n FROM f WHERE NOT (x.field = 'state' AND state = '') GROUP BY 1, 2""",
+    SELECT x.field AS field, x.value AS value, count(*) AS n FROM f WHERE NOT (x.field = 'state' AND state = '') AND NOT (x.field = 'incorporation_date' AND x.value IS NULL) GROUP BY 1, 2""",
     "companies",
 )
 def obs_unpivot(t: Tables) -> DataFrame:
     """OBS-01, OBS-05: a value may be null, as of a malformed capital."""
     records = adapters.registry_records(_registry(t).drop("company_id")).filter("valid")
-    rows = adapters.registry_observations(records).filter("field <> 'canonical_name'")
-    return rows.groupBy("field", "value").agg(F.count("*").alias("n"))
+    return adapters.registry_observations(records).groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
 @query(
-    "SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, md5(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS heading, "
-    "len(regexp_extract_all(html, '<li>')) AS items FROM pages"
+    "SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, md5(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), "
+    "'&amp;', '&')) AS heading, len(regexp_extract_all(html, '<li>')) AS items FROM pages"
 )
 def html_extract(t: Tables) -> DataFrame:
-    """SRC-08, SRC-10: fixed selectors."""
-    return t.table("pages").select(
-        "page_id",
-        F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"),
-        F.md5(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).cast("binary")).alias("heading"),
-        F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).cast("bigint").alias("items"),
+    """SRC-08, SRC-10: selectors over real pages."""
+    found = adapters.extracted(t.table("pages").select("page_id", "html"), {"lang": "html::attr(lang)", "heading": "h1::text", "items": "nav li"})
+    return found.select(
+        "page_id", F.get("lang", F.lit(0)).alias("lang"), F.md5(F.array_join("heading", "").cast("binary")).alias("heading"), F.size("items").cast("bigint").alias("items")
     )
 
 
@@ -411,7 +411,7 @@ def mapping_compare(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH r AS ({_REGISTRY_SQL}) SELECT count(*) AS rows, count(*) FILTER (WHERE cin = '') AS missing_cin, count(*) FILTER (WHERE cin <> '' AND length(cin) <> 21) AS malformed_cin,
-    CAST(0 AS BIGINT) AS missing_date, count(*) FILTER (WHERE state = '') AS missing_state, count(*) FILTER (WHERE capital = 'N.A.') AS malformed_money,
+    count(*) FILTER (WHERE incorporation_date IS NULL) AS missing_date, count(*) FILTER (WHERE state = '') AS missing_state, count(*) FILTER (WHERE capital = 'N.A.') AS malformed_money,
     (SELECT count(*) - count(DISTINCT cin) FROM r WHERE cin <> '') AS duplicate_cin, (SELECT count(*) - count(DISTINCT lower(name)) FROM r) AS duplicate_name FROM r""",
     "companies",
 )
@@ -475,19 +475,16 @@ def custom_import_stats(t: Tables) -> DataFrame:
     return health.custom_import_stats(rows, mapping.CUSTOM_TYPES)
 
 
-@query(
-    "SELECT company_id AS id, canonical_name, state, country_code, employee_count, annual_revenue_inr, confidence FROM companies", "companies",
-)
-def company_out(t: Tables) -> DataFrame:
-    """PRJ-01."""
-    out = projections.company_out(t.view("companies"))
-    return out.select("id", "canonical_name", "state", "country_code", "employee_count", "annual_revenue_inr", "confidence")
+_HAS = {"canonical_name", "incorporation_date", "city", "state", "country", "country_code", "industry", "company_category", "export_status", "employee_count", "employee_range_min", "employee_range_max",
+        "annual_revenue_inr", "revenue_range_min_inr", "revenue_range_max_inr", "confidence"}
+_SHOWN_AS = {"id": "company_id", "last_verified_at": "epoch_us(last_verified_at)", "products": "CASE WHEN company_id % 2 = 0 THEN 'Pumps|Bolts' END", "incorporation_date": "CAST(incorporation_date AS VARCHAR)"}
 
 
-@query()
-def demo_companies(t: Tables) -> DataFrame:
-    """SRC-17."""
-    return demo.companies(t.spark)
+@query("SELECT " + ", ".join(f"{_SHOWN_AS.get(c, c if c in _HAS else 'CAST(NULL AS VARCHAR)')} AS {c}" for c in projections.COMPANY) + " FROM companies", "companies")
+def company_out(t: Tables) -> DataFrame:
+    """PRJ-01: every column."""
+    out = projections.company_out(t.view("companies").withColumn("products", F.expr("CASE WHEN company_id % 2 = 0 THEN array('Pumps', 'Bolts') END")))
+    return out.withColumns({"last_verified_at": F.unix_micros("last_verified_at"), "incorporation_date": F.col("incorporation_date").cast("string"), **{c: F.array_join(c, "|") for c in ("products", "services")}})
 
 
 # --- evidence -------------------------------------------------------------------------------------------------------
@@ -535,14 +532,13 @@ def cnf_company(t: Tables) -> DataFrame:
     return evidence.company_confidence(evidence.roll_up(scores), scores).withColumn("last_verified_at", F.unix_micros("last_verified_at"))
 
 
-@query(
-    f"WITH {_ROLLED} SELECT company_id, max(CASE WHEN field = 'f1' THEN value END) AS f1, max(CASE WHEN field = 'f2' THEN value END) AS f2, max(CASE WHEN field = 'f3' THEN value END) AS f3 FROM evidence GROUP BY 1",
-    "observations", "sources",
-)
+_EACH = [f"f{i}" for i in range(1, 8)]
+
+
+@query(f"WITH {_ROLLED} SELECT company_id, {', '.join(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}" for f in _EACH)} FROM evidence GROUP BY 1", "observations", "sources")
 def canonical_pivot(t: Tables) -> DataFrame:
-    """SNK-04 over the fields that these observations have."""
-    rolled = evidence.roll_up(_scores(t))
-    return rolled.groupBy("company_id").pivot("field", ["f1", "f2", "f3"]).agg(F.first("value"))
+    """SNK-04 over all fields that these observations have; ``canonical_companies`` has the typed ones."""
+    return evidence.roll_up(_scores(t)).groupBy("company_id").pivot("field", _EACH).agg(F.first("value"))
 
 
 @query("SELECT DISTINCT o.company_id, o.field, o.obs_id, o.source_id FROM observations o JOIN sources s ON o.source_id = s.source_id", "observations", "sources")
@@ -576,14 +572,6 @@ def er_trigram_pairs(t: Tables) -> DataFrame:
     return resolution.similar_pairs(names, names).select("left_name", "right_name", F.round("similarity", 4).alias("similarity"))
 
 
-@query()
-def er_token_sort(t: Tables) -> DataFrame:
-    """STR-13 over the pairs that trigrams find; nested folds, tested against brute force."""
-    names = t.table("part").select(F.col("p_name").alias("name"))
-    pairs = resolution.similar_pairs(names, names)
-    return pairs.select("left_name", "right_name", F.round(text.token_sort_similarity(F.col("left_name"), F.col("right_name")), 4).alias("similarity"))
-
-
 def _signals(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Suppliers as incoming records, customers as companies."""
     record = t.table("supplier").select(
@@ -627,20 +615,6 @@ def er_score_rules(t: Tables) -> DataFrame:
     return resolution.scored(pairs, named(records), named(companies)).select("record_id", "company_id", "score", "decision")
 
 
-@query()
-def er_best_candidate(t: Tables) -> DataFrame:
-    """ER-03..07 with names; the fuzzy part is tested against brute force."""
-    records, companies = _signals(t)
-    return resolution.resolve(records, companies).select("record_id", "company_id", F.round("score", 4).alias("score"), "decision")
-
-
-@query()
-def er_decisions(t: Tables) -> DataFrame:
-    """ER-08, ER-09."""
-    records, companies = _signals(t)
-    return resolution.outcomes(resolution.resolve(records, companies)).groupBy("decision", "outcome").agg(F.count("*").alias("n"))
-
-
 @query(
     "SELECT job_id AS candidate_id, company_id, company_name FROM (SELECT job_id, source_id FROM jobs WHERE job_id % 3 = 0) q LEFT JOIN (SELECT company_id, canonical_name AS company_name FROM companies "
     "WHERE company_id % 2 = 0) c ON q.source_id = c.company_id",
@@ -739,7 +713,7 @@ def idempotent_dispatch(t: Tables) -> DataFrame:
     "companies",
 )
 def confidence_histogram(t: Tables) -> DataFrame:
-    return health.confidence_histogram(t.view("companies").filter("confidence IS NOT NULL"))
+    return health.confidence_histogram(t.view("companies"))
 
 
 @query("SELECT DISTINCT country_code AS country FROM companies", "companies")
@@ -756,22 +730,24 @@ def financial_latest_year(t: Tables) -> DataFrame:
     return health.newest_financials(years)
 
 
-@query(
-    "SELECT 'company cin' AS rule, CAST(0 AS BIGINT) AS broken UNION ALL SELECT 'evidence company, field', CAST(0 AS BIGINT) UNION ALL SELECT 'financials company, year', CAST(0 AS BIGINT) UNION ALL "
-    "SELECT 'job source, key', (SELECT count(*) FROM (SELECT 1 FROM jobs GROUP BY source_id, idempotency_key HAVING count(*) > 1))",
-    "jobs",
-)
-def quality_rules(t: Tables) -> DataFrame:
-    companies = t.view("companies").select("company_id", F.concat(F.lit("c"), F.col("company_id").cast("string")).alias("cin"))
-    years = t.table("orders").select(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("financial_year")).distinct()
-    return health.broken_rules(companies, t.view("observations").select("company_id", "field").distinct(), years, t.view("jobs"))
+_BROKEN = "SELECT '{rule}' AS rule, (SELECT count(*) FROM (SELECT 1 FROM {table} GROUP BY {key} HAVING count(*) > 1)) AS broken"
 
 
-@query()
-def rate_limited_calls(t: Tables) -> DataFrame:
-    """WIN-08: a fold that depends on its own output; tested against the plain loop."""
-    calls = t.view("jobs").select("source_id", F.col("created_at").alias("at"), F.lit(1).alias("limit_per_minute"), F.col("job_id").alias("call_id"))
-    return health.allowed_calls(calls)
+@query(
+    " UNION ALL ".join(
+        _BROKEN.format(rule=r, table=t, key=k)
+        for r, t, k in (
+            ("company cin", "(SELECT company_id % 1000 AS cin FROM companies)", "cin"), ("evidence company, field", "observations", "company_id, field"),
+            ("financials company, year", "(SELECT o_custkey, year(o_orderdate) AS y FROM orders)", "o_custkey, y"), ("job source, key", "jobs", "source_id, idempotency_key"),
+        )
+    ),
+    "companies", "observations", "jobs",
+)
+def quality_rules(t: Tables) -> DataFrame:
+    """Tables that break each rule."""
+    companies = t.view("companies").select("company_id", F.concat(F.lit("c"), (F.col("company_id") % 1000).cast("string")).alias("cin"))
+    years = t.table("orders").select(F.col("o_custkey").alias("company_id"), F.year("o_orderdate").alias("financial_year"))
+    return health.broken_rules(companies, t.view("observations").select("company_id", "field"), years, t.view("jobs"))
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
@@ -779,8 +755,12 @@ def entry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from factloom.plans import catalogue_more  # noqa: F401  registers its own
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from factloom.plans import catalogue_more  # noqa: F401  registers its own
+
     return ORACLES

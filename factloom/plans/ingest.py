@@ -23,7 +23,8 @@ SIGNAL_FIELDS = {"cin": "cin", "gstin": "gstin", "website": "domain", "canonical
 
 @dataclass(frozen=True)
 class Batch:
-    """links: (record_id, company_id); queue: (record_id, company_id, score, signals); dropped: (record_id)."""
+    """links: (record_id, company_id); queue: (record_id, company_id, score, signals); dropped: (record_id); stubs and aliases: of
+    companies that the batch creates."""
 
     links: DataFrame
     queue: DataFrame
@@ -31,6 +32,8 @@ class Batch:
     observations: DataFrame
     evidence: DataFrame
     companies: DataFrame
+    stubs: DataFrame
+    aliases: DataFrame
 
 
 def signals(observations: DataFrame, key: str = "record_id") -> DataFrame:
@@ -82,10 +85,35 @@ def ingest(observations: DataFrame, stored_signals: DataFrame, stored_observatio
     scores = cut(evidence.scored(attached.unionByName(before), sources, now), "scores")
     rolled = evidence.roll_up(scores)
     rows = evidence.canonical(rolled).join(evidence.company_confidence(rolled, scores), "company_id")
-    return Batch(links, queue, decided.filter("outcome = 'drop'").select("record_id"), attached, rolled, rows)
+    created = fresh.join(own.filter("into = record_id").select("record_id"), "record_id", "left_semi")
+    return Batch(links, queue, decided.filter("outcome = 'drop'").select("record_id"), attached, rolled, rows, stubs(created), aliases(created))
+
+
+def stubs(records: DataFrame) -> DataFrame:
+    """SNK-03: the first rows of new companies, from their record's signals."""
+    c = F.col
+    return records.select(
+        company_id_of("record_id").alias("company_id"), c("name").alias("canonical_name"), c("name").alias("normalized_name"), "cin", "gstin",
+        c("domain").alias("website_domain"), text.title_case(c("state")).alias("state"), c("postal").alias("postal_code"),
+        F.lit(0.0).alias("confidence"), F.lit(0).alias("source_count"),
+    )
+
+
+def aliases(records: DataFrame) -> DataFrame:
+    """SNK-03: the name under which each new company came."""
+    named = records.filter("name IS NOT NULL")
+    return named.select(company_id_of("record_id").alias("company_id"), F.col("name").alias("alias"), F.col("name").alias("normalized_alias"))
 
 
 def confirmed(queue: DataFrame, verdicts: DataFrame, observations: DataFrame) -> DataFrame:
     """ER-10, ER-13: the observations that confirmed reviews attach, by record; evidence is then rolled up again."""
     chosen = queue.join(verdicts.filter("verdict = 'confirm'").select("record_id"), "record_id", "left_semi").select("record_id", "company_id")
     return observations.join(chosen, "record_id")
+
+
+def siblings(confirmed_candidates: DataFrame, observations: DataFrame) -> DataFrame:
+    """JN-10, ER-10: unattached observations with the source and time of a confirmed candidate's own (obs_id, company_id), attached
+    to its company. Of candidates that share source and time the first holds."""
+    seeds = observations.select("obs_id", "source_id", "collected_at").join(confirmed_candidates.select("obs_id", "company_id"), "obs_id")
+    batches = seeds.groupBy("source_id", "collected_at").agg(F.min_by("company_id", "obs_id").alias("company_id"))
+    return observations.filter("company_id IS NULL").drop("company_id").join(batches, ["source_id", "collected_at"])

@@ -7,22 +7,26 @@ fits goes through a parser, in batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from factloom.functions import text, values
+from factloom.functions import markup, text, values
 from factloom.sources import mapping
 
 # What each kind of source's word is worth, its label, and what an address list calls the one to take.
 REGISTRY, NESTED, WEBSITE, CUSTOM = ("verified", 0.95), ("verified", 0.85), ("observed", 0.55), ("observed", 0.4)
 REGISTERED = "Registered Address"
-CLASSES = {
-    "canonical_name": "company-name", "industry": "company-industry", "website": "company-website", "public_phone": "company-phone",
-    "public_email": "company-email", "address": "company-address", "employee_count": "employee-count",
+SELECTORS = {
+    "canonical_name": "h1.company-name::text", "industry": ".company-industry::text", "website": ".company-website::text",
+    "public_phone": ".company-phone::text", "public_email": ".company-email::text", "address": "address.company-address::text",
+    "employee_count": ".employee-count::text",
 }
-PRODUCT_CLASS = "company-product"
+PRODUCTS = ".company-product::text"
+LARGEST_ANSWER, ATTEMPTS = 10 * 1024 * 1024, 3
 # Keys' spelling matters (two of them differ in a capital only), so the inner objects are maps.
 NESTED_SCHEMA = "data:struct<cin:string,company:string,masterData:struct<commonData:map<string,string>,companyData:map<string,string>>>"
 
@@ -59,46 +63,64 @@ def nested_records(documents: DataFrame, content: str = "content") -> DataFrame:
     d = F.from_json(F.col(content), f"struct<{NESTED_SCHEMA}>")["data"]
     company, common = d["masterData"]["companyData"], d["masterData"]["commonData"]
     pick = lambda *names: F.coalesce(*(company[n] for n in names), *(common[n] for n in names))
-    addresses = F.from_json(company["MCAMDSCompanyAddress"], "array<map<string,string>>")
+    listed = lambda x: F.from_json(x, "array<map<string,string>>")
+    own = listed(company["MCAMDSCompanyAddress"])
+    addresses = F.when(F.size(own) > 0, own).otherwise(listed(common["companyAddress"]))
     registered = F.filter(addresses, lambda a: a["addressType"] == REGISTERED)
     address = F.coalesce(F.get(registered, F.lit(0)), F.get(addresses, F.lit(0)))
-    spelled = lambda *names: F.coalesce(*(address[n] for n in names))
-    line = F.concat_ws(
-        ", ", *(F.nullif(text.strip_all(x), F.lit("")) for x in (
-            spelled("streetAddress1", "addressLine1", "line1"), spelled("streetAddress2", "addressLine2", "line2"), address["city"], address["state"],
-            spelled("postalCode", "pincode", "pin"))),
+    filled = lambda x: F.nullif(x, F.lit(""))
+    spelled = lambda *names: F.coalesce(*(filled(address[n]) for n in names))
+    pin = spelled("pinCode", "postalCode", "pincode", "pin")
+    line = text.normalize_whitespace(
+        F.concat_ws(
+            ", ", spelled("addressLine1", "streetAddress", "addressline1", "streetAddress1", "line1"), spelled("addressLine2", "streetAddress2", "addressline2", "line2"),
+            filled(address["city"]), filled(address["state"]), pin,
+        )
     )
     out = documents.select(
-        F.coalesce(d["cin"], pick("cin")).alias("cin"),
+        text.identifier(F.coalesce(d["cin"], pick("cin"))).alias("cin"),
         F.coalesce(d["company"], pick("companyName")).alias("company_name"),
-        pick("companyStatus").alias("company_status"),
+        pick("companyStatus", "status").alias("company_status"),
         pick("classOfCompany").alias("company_class"),
         pick("companyCategory").alias("company_category"),
         pick("dateOfIncorporation").alias("date_of_registration"),
-        pick("rocCode", "rocName").alias("roc"),
+        pick("rocCode", "rocName", "ROCName").alias("roc"),
         pick("authorisedCapital", "authorizedCapital").alias("authorized_capital"),
         pick("paidupCapital", "paidUpCapital").alias("paidup_capital"),
         pick("pan").alias("pan"),
         address["city"].alias("city"),
         address["state"].alias("registered_state"),
         F.nullif(line, F.lit("")).alias("registered_office_address"),
-        spelled("postalCode", "pincode", "pin").alias("postal_code"),
+        pin.alias("postal_code"),
     )
-    return out.filter(F.coalesce(text.strip_all(F.col("cin")) != "", F.lit(False))).withColumn("external_ref", F.col("cin"))
-
-
-def _of_class(html: Column, name: str) -> Column:
-    pattern = rf"""(?is)<[a-z][a-z0-9]*\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{name}(?:\s[^"']*)?["'][^>]*>([^<]*)"""
-    return F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-
-
-def website_records(pages: DataFrame, html: str = "html", url: str = "url", classes: dict[str, str] = CLASSES) -> DataFrame:
-    """SRC-08, SRC-10: what a page says of itself in elements of known classes; pages without a name are left out."""
-    first = lambda name: F.nullif(text.strip_all(F.get(_of_class(F.col(html), name), F.lit(0))), F.lit(""))
-    out = pages.select(
-        F.col(url).alias("external_ref"),
-        *(first(c).alias(f) for f, c in classes.items()),
-        F.filter(F.transform(_of_class(F.col(html), PRODUCT_CLASS), text.strip_all), lambda p: p != "").alias("products"),
+    return out.filter(F.coalesce(F.col("cin") != "", F.lit(False))).withColumns({"external_ref": F.col("cin"), "valid": F.length("cin") == 21})
+
+
+def extracted(pages: DataFrame, selectors: dict[str, str], html: str = "html") -> DataFrame:
+    """SRC-10: ``pages`` with an array of texts for each selector, of css or beginning with a slash; parsed in batches."""
+    if not selectors:
+        raise ValueError("a selector is needed")
+    paths = [markup.xpath(x) if x.startswith("/") else markup.css(x) for x in selectors.values()]
+    kept = [c for c in pages.columns if c not in selectors]
+    schema = T.StructType([*pages.select(*(F.col(f"`{c}`") for c in kept)).schema.fields, *(T.StructField(n, T.ArrayType(T.StringType())) for n in selectors)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [markup.texts(x, paths) for x in part.column(html).to_pylist()]
+                made = [pa.array([f[i] for f in found], pa.list_(pa.string())) for i in range(len(paths))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=[*kept, *selectors])
+
+    return pages.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*kept, html]))).mapInArrow(run, schema)
+
+
+def website_records(pages: DataFrame, html: str = "html", url: str = "url", selectors: dict[str, str] = SELECTORS) -> DataFrame:
+    """SRC-08: what a page says of itself: all texts that a selector finds, joined; pages without a name are left out."""
+    found = extracted(pages.select(F.col(url).alias("__url"), F.col(html).alias("__html")), {**selectors, "products": PRODUCTS}, "__html")
+    joined = lambda c: F.nullif(text.normalize_whitespace(F.array_join(F.col(c), " ")), F.lit(""))
+    out = found.select(
+        F.col("__url").alias("external_ref"), *(joined(f).alias(f) for f in selectors), F.transform("products", text.normalize_whitespace).alias("products")
     )
     return out.filter(F.col("canonical_name").isNotNull())
 
@@ -112,7 +134,7 @@ def custom_records(rows: DataFrame, columns: dict[str, str], ordinal: str | None
         fields = rows.select(*(F.coalesce(text.strip_all(F.col(f"`{c}`").cast("string")), F.lit("")).alias(f) for c, f in columns.items()), F.col(f"`{ordinal}`").alias("__i"))
         fallback = F.concat(F.lit("row-"), F.col("__i").cast("string"))
     else:
-        fallback = F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string"))
+        fallback = F.concat(F.lit("row-"), F.monotonically_increasing_id().cast("string"))  # the row's number in a file of one part
     ref = F.coalesce(*have("cin"), *have("gstin"), *have("website"), fallback)
     out = fields.withColumns({"external_ref": ref, "valid": F.col("legal_name") != ""})
     return out.drop("__i")
@@ -158,12 +180,12 @@ def website_observations(records: DataFrame, kept: list[str] | None = None) -> D
     products = F.array_join("products", ", ")
     facts = [
         ("canonical_name", c("canonical_name"), text.normalize_company_name(c("canonical_name"))),
-        ("industry", c("industry"), F.lower(text.normalize_whitespace(c("industry")))),
+        ("industry", c("industry"), F.lower(text.strip_all(c("industry")))),
         ("website", c("website"), text.normalize_domain(c("website"))),
         ("public_phone", c("public_phone"), text.normalize_whitespace(c("public_phone"))),
         ("public_email", c("public_email"), F.lower(text.strip_all(c("public_email")))),
         ("address", c("address"), text.normalize_whitespace(c("address"))),
-        ("postal_code", text.extract_postal_code(c("address")), text.extract_postal_code(c("address"))),
+        ("postal_code", F.when(text.extract_postal_code(c("address")).isNotNull(), c("address")), text.extract_postal_code(c("address"))),
         *((f, F.when(size[n].isNotNull(), c("employee_count")), size[n]) for f, n in (
             ("employee_count", "count"), ("employee_range_min", "range_min"), ("employee_range_max", "range_max"))),
         ("products", products, products),
@@ -218,12 +240,18 @@ def lookup(table: DataFrame, key: str, value: object) -> DataFrame:
 
 def discovered_schema(records: DataFrame, column: str) -> DataFrame:
     """SRC-18: of a column of JSON objects: every key, the kinds of value it has, and how many objects have it."""
-    pairs = records.select(F.explode(F.from_json(column, "map<string,string>")).alias("field", "value"))
+    # values as variants: text keeps its quotes, so that "12" isn't 12
+    pairs = records.select(F.explode(F.from_json(column, "map<string,variant>")).alias("field", "value"))
+    told = F.schema_of_variant("value")
     kind = (
-        F.when(F.col("value").isNull(), "null").when(F.col("value").rlike(r"^-?\d+$"), "int").when(F.col("value").rlike(r"^-?\d*\.\d+([eE][-+]?\d+)?$"), "float")
-        .when(F.col("value").isin("true", "false"), "bool").otherwise("str")
+        F.when(told == "VOID", "null").when(told == "BIGINT", "int").when(told.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "float").when(told == "BOOLEAN", "bool")
+        .when(told.startswith("ARRAY"), "list").when(told.startswith("OBJECT"), "dict").otherwise("str")
     )
-    return pairs.groupBy("field").agg(F.sort_array(F.collect_set(kind)).alias("kinds"), F.count("*").alias("seen"), F.min("value").alias("sample"))
+    shown = F.col("value").cast("string")
+    truthy = F.when(told.isin("ARRAY<VOID>", "OBJECT<>", "VOID") | shown.isin("", "0", "0.0", "false"), None).otherwise(shown)
+    return pairs.select("field", kind.alias("kind"), truthy.alias("shown")).groupBy("field").agg(
+        F.sort_array(F.collect_set("kind")).alias("kinds"), F.count("*").alias("seen"), F.min("shown").alias("sample")
+    )
 
 
 def fetch_verdict(status: Column) -> Column:
@@ -232,3 +260,18 @@ def fetch_verdict(status: Column) -> Column:
         F.when(status < 400, "ok").when(status.isin(401, 403), "authentication").when(status == 404, "not_found").when(status == 429, "rate_limited")
         .when(status >= 500, "retry").otherwise("rejected")
     )
+
+
+def fetched(attempts: DataFrame) -> DataFrame:
+    """SRC-12: of each url's possible answers (url, attempt from 1, status, bytes; a null status is a failed connection): the one
+    that counts. Failed connections and server errors are tried again, ``ATTEMPTS`` times in all; too long an answer is refused."""
+    last = F.least(F.coalesce(F.min(F.when(F.col("status") < 500, F.col("attempt"))), F.lit(ATTEMPTS)), F.lit(ATTEMPTS))
+    made = attempts.groupBy("url").agg(last.alias("attempts"))
+    verdict = F.when(F.col("status").isNull(), "failed").when((F.col("status") < 400) & (F.col("bytes") > LARGEST_ANSWER), "too_large")
+    answer = attempts.join(made, "url").filter("attempt = attempts")
+    return answer.select("url", "attempts", "status", verdict.otherwise(fetch_verdict(F.col("status"))).alias("verdict"))
+
+
+def crawl_order(urls: DataFrame, pages: DataFrame) -> DataFrame:
+    """SRC-11: a list (place, url) with the page that each gave, if one did: a list is answered in its order, repeats too."""
+    return urls.join(pages, "url", "left").withColumn("found", F.col("html").isNotNull())

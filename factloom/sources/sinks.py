@@ -23,11 +23,13 @@ def without(table: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return table.join(gone.select(key).distinct(), key, "left_anti")
 
 
-def patched(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """SNK-09: what a patch sets, over what was."""
-    given = patch.select(key, *(F.col(c).alias(f"__{c}") for c in columns))
+def patched(base: DataFrame, patch: DataFrame, key: str, columns: list[str], named: str | None = None) -> DataFrame:
+    """SNK-09: what a patch sets, over what was. ``named``: the patch's array of the columns that it sets, to null too; without
+    it, all that aren't null."""
+    given = patch.select(key, *(F.col(c).alias(f"__{c}") for c in columns), *([F.col(named).alias("__set")] if named else []))
     joined = base.join(given, key, "left")
-    return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*(f"__{c}" for c in columns))
+    new = {c: F.when(F.array_contains("__set", c), F.col(f"__{c}")).otherwise(F.col(c)) if named else F.coalesce(f"__{c}", c) for c in columns}
+    return joined.withColumns(new).drop(*(f"__{c}" for c in columns), "__set")
 
 
 def split_bad(rows: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
@@ -46,3 +48,20 @@ def provenance(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.create_map(F.lit("source_file"), name, F.lit("sha256"), F.sha2("content", 256), F.lit("bytes"), F.col("length").cast("string")).alias("metadata"))
+
+
+def with_provenance(observations: DataFrame, provenance: Column) -> DataFrame:
+    """SNK-10: a file's entries in its observations' metadata, over older ones of the same name."""
+    old = F.col("metadata") if "metadata" in observations.columns else F.create_map().cast("map<string,string>")
+    old = F.coalesce(old, F.create_map().cast("map<string,string>"))
+    return observations.withColumn("metadata", F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(provenance, k)), provenance))
+
+
+def write_all(tables: dict[str, DataFrame], folder: str, dry_run: bool = False) -> dict[str, int]:
+    """SNK-05: writes each table under ``folder``, or, in a dry run, only counts its rows."""
+    counts = {}
+    for name, table in tables.items():
+        if not dry_run:
+            table.write.mode("append").parquet(f"{folder.rstrip('/')}/{name}")
+        counts[name] = table.count()
+    return counts

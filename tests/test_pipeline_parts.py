@@ -1,6 +1,7 @@
 import json
 import math
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -247,9 +248,51 @@ def test_demo_companies_are_the_same_for_a_seed(spark):
 
     rows = demo.companies(spark, 500, 7).collect()
     assert sorted(rows) == sorted(demo.companies(spark, 500, 7).repartition(5).collect()) and rows != demo.companies(spark, 500, 8).collect()
-    count = {name: sum(r.shape == name for r in rows) for name, _ in demo.SHAPES}
+    assert len(rows) == len({r.CIN for r in rows}) == 500 and all(len(r.CIN) == 21 for r in rows) and rows[0].__fields__ == list(demo.COLUMNS)
+    # a row's shape shows in which of its cells are filled
+    shape = {(True, False, True, False): "both_exact", (False, False, True, False): "employees_unknown", (True, False, False, False): "revenue_unknown", (False, True, False, True): "both_range",
+             (False, False, False, False): "both_unknown"}
+    cells = ("Employees", "Employee Range Min", "Annual Revenue (INR)", "Revenue Range Max (INR)")
+    count = Counter(shape[tuple(r[c] != "" for c in cells)] for r in rows)
     assert all(abs(count[name] / 5 - weight) < 8 for name, weight in demo.SHAPES)
-    assert all((r.employee_count is None) == (r.shape in ("revenue_only", "ranges", "unknown")) for r in rows)
+    assert all(a != b for r in rows for a, b in [r.Products.split(", ")])
+
+
+def test_selectors_over_markup():
+    from factloom.functions import markup as M
+
+    html = "<div id=a class='x y'><p>one<b>two</b>three<p>four</div><div class=x><img src='i.png'><p lang=de>f&uuml;nf</p></div><!-- <p>no</p> --><p>"
+    found = lambda *s: M.texts(html, [M.xpath(x) if x[0] == "/" else M.css(x) for x in s])
+    assert found("p::text", "div p", "#a b::text", ".x.y > p::text", "div > b::text") == [["one", "three", "four", "fünf"], ["onetwothree", "four", "fünf"], ["two"], ["one", "three", "four"], []]
+    assert found("img::attr(src)", "//div[@class='x']/p/text()", "//p/@lang", "//div//b") == [["i.png"], ["fünf"], ["de"], ["two"]]
+    assert M.texts(None, [M.css("p")]) == [[]] and M.texts("a<b", [M.css("b")]) == [[]]
+    for bad in ("", "p::nothing", "p[", "::text"):
+        with pytest.raises(ValueError):
+            M.css(bad)
+    with pytest.raises(ValueError):
+        M.xpath("//p[1]")
+
+
+def test_saved_searches_refuse_what_they_cannot_do(spark):
+    from factloom.operators import filter_tree as T, search as S
+
+    companies = spark.createDataFrame([(1, "IN", "goa", 0.5), (2, "IN", "delhi", 0.1)], "company_id long, country_code string, state string, confidence double")
+    seen = spark.createDataFrame([(2, 7)], "company_id long, source_id long")
+    saved = {"filter_json": T.dumps(T.Condition("state", "!=", "string", "pune")), "source_scope": [7]}
+    assert [r.company_id for r in S.run_saved(companies, saved, seen).collect()] == [2]
+    for bad in ({**saved, "colour": 1}, saved):
+        with pytest.raises(T.InvalidFilterConditionError):
+            S.run_saved(companies, bad)
+
+
+def test_a_domain_that_everybody_shares(spark):
+    records = spark.createDataFrame([(i, "mail.example", f"name {i}") for i in range(30)], "record_id long, domain string, name string")
+    companies = spark.createDataFrame([(i, "mail.example", "one name") for i in range(500)], "company_id long, domain string, name string")
+    empty = [F.lit(None).cast("string").alias(n) for n in ("cin", "gstin")]
+    found = R.exact_candidates(records.select("*", *empty), companies.select("*", *empty)).collect()
+    assert {r.record_id: 0 for r in found}.keys() == set(range(30)) and {r.company_id for r in found} == set(range(10)) and len(found) == 300
+    near = R.fuzzy_candidates(spark.createDataFrame([(1, "one name"), (2, "one nam")], "record_id long, name string"), companies).collect()
+    assert {(r.record_id, r.company_id) for r in near} == {(i, c) for i in (1, 2) for c in range(10)}
 
 
 def test_listings(spark):
