@@ -8,8 +8,12 @@ number of vectors (a filter passes about ``BUCKET`` of them) and from measuring
 least cosine passes a random filter together: ``SHARED`` filters are expected to hold such a pair, and more if fewer
 than ``RECALL`` of such pairs then share one.
 
-Equal vectors are one class. A pair that shares several filters counts at the first. A filter that passes more than
-``CHUNK`` classes is cut into chunks, and each pair of chunks is a group of its own, so no group is larger.
+Equal vectors are one class. Filters are joined on twice. First only ids travel, each with a sketch of 128 bits (the
+signs of random directions): of a pair at the least cosine more than ``far`` bits differ with a chance below 1e-6. What has no
+partner within that in a filter leaves it, which is nearly all; for the rest, vectors and the filters where they stayed travel, and
+cosines decide. A pair that shares several filters counts at the first. A filter that passes more than ``CHUNK`` classes is
+cut into chunks, and each pair of chunks is a group of its own, so no group is larger. Lengths that fewer than ``CHUNK`` vectors
+have, or that aren't among the ``LENGTHS`` most frequent, get no filters: all of a length's vectors meet in such chunks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and are
 their own component; so are rows with a null id, whose component is null and which aren't kept; vectors of different
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -29,11 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import map_batches, table, written
+from factloom.llm.common import map_batches, map_whole, table, written
 from factloom.llm.components import components
 
 COSINE = 0.9
-BUCKET, SHARED, CODES, CHUNK, SEED = 150, 22.0, 8, 1024, 17
+BUCKET, SHARED, CODES, CHUNK, SEED = 150, 8.0, 16, 1024, 17
+#: Lengths that get filters, at most; bits of a sketch.
+LENGTHS, BITS = 32, 128
 #: More words are drawn until so many of ``PAIRS`` random pairs at the least cosine share a filter.
 RECALL, PAIRS = 0.97, 1000
 
@@ -146,16 +153,60 @@ def _joined(links: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> list[tup
     return out
 
 
+class Sketch:
+    """Signs of random directions, for vectors of one length; how many may differ."""
+
+    def __init__(self, length: int, cosine: float, seed: int = SEED):
+        self.directions = np.random.default_rng([seed, length, 1]).standard_normal((length, BITS))
+        flips = math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+        self.far = math.ceil(BITS * flips + 5 * math.sqrt(BITS * flips * (1 - flips)))
+
+    def of(self, units: np.ndarray) -> np.ndarray:
+        return np.packbits(units @ self.directions > 0, axis=1).view(np.int64)
+
+
+@lru_cache(maxsize=64)
+def _sketch(length: int, cosine: float) -> Sketch:
+    return Sketch(length, cosine)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each group of a sorted partition, by its first columns."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in columns], axis=0)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
+            now = tuple(k[a] for k in columns)
+            if held and now != key:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+def _sides(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of a group's two sides, and whether they are the same chunk."""
+    same, side = part.column(1)[0].as_py() == part.column(2)[0].as_py(), part.column(3).to_numpy()
+    left = np.flatnonzero(side == 0)
+    return left, left if same else np.flatnonzero(side == 1), same
+
+
 class _Members:
     """A group's rows as arrays."""
 
     def __init__(self, batch: pa.RecordBatch):
-        self.filter = batch.column(1)[0].as_py()
-        self.same = batch.column(2)[0].as_py() == batch.column(3)[0].as_py()
-        self.side, self.id, self.copies = (batch.column(i).to_numpy() for i in (4, 5, 6))
-        vectors = batch.column(7).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(self.id), -1)
+        self.filter = batch.column(0)[0].as_py()
+        self.left, self.right, self.same = _sides(batch)
+        self.id, self.copies = (batch.column(i).to_numpy() for i in (4, 5))
+        vectors = batch.column(6).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(self.id), -1)
         self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        filters = batch.column(8)
+        filters = batch.column(7)
         offsets = filters.offsets.to_numpy()
         values, owner = filters.flatten().to_numpy(), np.repeat(np.arange(len(self.id)), np.diff(offsets))
         below = values < self.filter
@@ -163,83 +214,99 @@ class _Members:
         self.held = np.zeros((len(self.id), len(self.lower)), np.float32)
         self.held[owner[below], place] = 1
 
-    def pairs(self, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Links that no earlier filter holds between the chunks' members, and who these are."""
-        left = np.flatnonzero(self.side == 0)
-        right = left if self.same else np.flatnonzero(self.side == 1)
-        found = self.unit[left] @ self.unit[right].T >= cosine
+    def pairs(self, cosine: float) -> np.ndarray:
+        """Links between the chunks' members that no earlier filter holds."""
+        found = self.unit[self.left] @ self.unit[self.right].T >= cosine
         if self.same:
             np.fill_diagonal(found, False)
         if found.any() and len(self.lower):
-            found &= self.held[left] @ self.held[right].T < 0.5
-        return found, left, right
+            found &= self.held[self.left] @ self.held[self.right].T < 0.5
+        return found
 
 
 def links(classes: DataFrame, cosine: float) -> DataFrame:
     """Written rows (u, v, n): v null: a class links to n vectors of other classes; else a link that joins two classes.
 
     classes: (id, copies, vector), vectors all different."""
-    sizes = {r.length: r.n for r in classes.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).collect()}
-    codes = {length: Filters(length, n, cosine) for length, n in sizes.items()}
+    often = classes.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).filter(f"n >= {CHUNK}")
+    codes, start, first = {}, {}, 1 << 20  # ids below are those of lengths without filters
+    for r in often.orderBy(F.desc("n"), "length").limit(LENGTHS).collect():
+        codes[r.length], start[r.length] = Filters(r.length, r.n, cosine), first << 21
+        first += CODES * codes[r.length].words ** codes[r.length].blocks >> 21
+        first += 1
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            vectors = batch.column(2).to_pylist()
-            found = [codes[len(v)].passed(_units([v])[0]).tolist() for v in vectors]
-            yield {"id": batch.column(0), "copies": batch.column(1), "vector": batch.column(2), "filters": found}
+            out = {"s": [], "t": [], "filters": []}
+            for v in batch.column(2).to_pylist():
+                unit = _units([v])
+                s, t = _sketch(len(v), cosine).of(unit)[0].tolist()
+                found = (start[len(v)] + codes[len(v)].passed(unit[0])).tolist() if len(v) in codes else [len(v)]
+                for k, x in zip(out, (s, t, found), strict=True):
+                    out[k].append(x)
+            yield {"id": batch.column(0), "copies": batch.column(1), "vector": batch.column(2), **out}
 
     vector = classes.schema["vector"].dataType
     base = [T.StructField("id", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("vector", vector)]
-    many = any(CODES * c.words**c.blocks >= 2**31 for c in codes.values())
-    schema = T.StructType([*base, T.StructField("filters", T.ArrayType(T.LongType() if many else T.IntegerType()))])
+    schema = T.StructType([*base, T.StructField("s", T.LongType()), T.StructField("t", T.LongType()), T.StructField("filters", T.ArrayType(T.LongType()))])
     held = written(map_batches(classes.select("id", "copies", "vector"), schema, decode), "filters")
-    rows = held.select("*", F.size("vector").alias("length"), F.explode("filters").alias("f"))
-    crowded = rows.groupBy("length", "f").agg(F.count("*").alias("n")).filter(f"n > {CHUNK}")
-    crowded = crowded.select("length", "f", F.ceil(F.col("n") / (CHUNK / 2)).cast("int").alias("chunks"))
-    rows = rows.join(crowded, ["length", "f"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(id), chunks) as int)"))
-    group = F.struct(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("g", group)
-    rows = rows.select("length", "f", "g.a", "g.b", (F.col("own") != F.col("g.a")).cast("int").alias("side"), "id", "copies", "vector", "filters")
-    rows = rows.repartition("length", "f", "a", "b").sortWithinPartitions("length", "f", "a", "b")
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of each group of a sorted partition."""
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            keys = [batch.column(i).to_numpy() for i in range(4)]
-            cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-                now = tuple(k[a] for k in keys)
-                if held and now != key:
-                    yield pa.concat_batches(held) if len(held) > 1 else held[0]
-                    held = []
-                key = now
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+    rows = held.select("id", F.size("vector").alias("length"), "s", "t", F.explode("filters").alias("f"))
+    crowded = rows.groupBy("f").agg(F.count("*").alias("n")).filter(f"n > {CHUNK}")
+    crowded = written(crowded.select("f", F.ceil(F.col("n") / (CHUNK / 2)).cast("int").alias("chunks")), "crowded")
+
+    def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows (f, a, b, side, ...) of filter f, or of its pair of chunks a, b, together and in order."""
+        rows = rows.join(crowded, "f", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(id), chunks) as int)"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        a = F.least("own", "other")
+        rows = rows.select("f", a.alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") != a).cast("int").alias("side"), "id", *columns)
+        return rows.repartition("f", "a", "b").sortWithinPartitions("f", "a", "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        ids, filters = [], []
+        for part in _groups(batches, 3):
+            left, right, same = _sides(part)
+            id_, s, t, far = *(part.column(i).to_numpy() for i in (4, 5, 6)), _sketch(part.column(7)[0].as_py(), cosine).far
+            apart = np.bitwise_count(s[left][:, None] ^ s[right][None, :]) + np.bitwise_count(t[left][:, None] ^ t[right][None, :])
+            found = apart <= far
+            if same:
+                np.fill_diagonal(found, False)
+            stay = np.unique(np.concatenate([left[found.any(1)], right[found.any(0)]]))
+            ids.append(id_[stay])
+            filters.append(np.full(len(stay), part.column(0)[0].as_py()))
+            if len(ids) > 500:
+                yield {"id": pa.array(np.concatenate(ids)), "f": pa.array(np.concatenate(filters))}
+                ids, filters = [], []
+        if ids:
+            yield {"id": pa.array(np.concatenate(ids)), "f": pa.array(np.concatenate(filters))}
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         out: list[tuple] = []
-        for part in groups(b for b in batches if b.num_rows):
+        for part in _groups(batches, 3):
             if part.num_rows < 2:
                 continue
             m = _Members(part)
-            found, left, right = m.pairs(cosine)
+            if not len(m.left) or not len(m.right):
+                continue
+            found = m.pairs(cosine)
             if not found.any():
                 continue
-            out += [(int(u), None, int(n)) for u, n in zip(m.id[left], found @ m.copies[right], strict=True) if n]
+            out += [(int(u), None, int(n)) for u, n in zip(m.id[m.left], found @ m.copies[m.right], strict=True) if n]
             if not m.same:
-                out += [(int(v), None, int(n)) for v, n in zip(m.id[right], m.copies[left] @ found, strict=True) if n]
-            out += [(u, v, 0) for u, v in _joined(found, m.id[left], m.id[right])]
+                out += [(int(v), None, int(n)) for v, n in zip(m.id[m.right], m.copies[m.left] @ found, strict=True) if n]
+            out += [(u, v, 0) for u, v in _joined(found, m.id[m.left], m.id[m.right])]
             if len(out) > 20_000:
                 yield dict(zip(("u", "v", "n"), map(list, zip(*out, strict=True)), strict=True))
                 out = []
         if out:
             yield dict(zip(("u", "v", "n"), map(list, zip(*out, strict=True)), strict=True))
 
-    return written(map_batches(rows, T._parse_datatype_string("u long, v long, n long"), compare), "links")
+    stay = map_whole(dealt(rows, "s", "t", "length"), T._parse_datatype_string("id long, f long"), near)
+    kept = written(stay.distinct().groupBy("id").agg(F.sort_array(F.collect_list("f")).alias("filters")), "near")
+    left = kept.join(held.select("id", "copies", "vector"), "id").withColumn("f", F.explode("filters"))
+    compared = map_whole(dealt(left, "copies", "vector", "filters"), T._parse_datatype_string("u long, v long, n long"), compare)
+    return written(compared, "links")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:

@@ -68,11 +68,18 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def map_batches(
     df: DataFrame, schema: T.StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]
 ) -> DataFrame:
-    """mapInArrow with ``fn`` yielding dicts of columns, given in the order of ``schema``."""
+    """mapInArrow with ``fn``, which gets batches in portions, yielding dicts of columns, given in the order of ``schema``."""
+    return map_whole(df, schema, lambda batches: fn(part for b in batches for part in portions(b)))
+
+
+def map_whole(
+    df: DataFrame, schema: T.StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]
+) -> DataFrame:
+    """map_batches() with batches as they come, for rows of a bounded size."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(part for b in batches for part in portions(b)):
+        for columns in fn(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
