@@ -10,12 +10,14 @@ half a term to one, and a quarter to a half, and documents are compared at the r
 
 The likeness of two fingerprints is the share of equal hashes among the parts in which either has a term.
 
-The neighbour of a document is found without a global order in one task: ids are cut into ranges, each range also
-gets the first document of the next one, and each task reads its ranges in descending id.
+The neighbour of a document is found without a global order in one task: ids are cut into ranges of about ``RANGE_ROWS``
+documents (more only where there would be more than ``MAX_RANGES``, whose ends are held everywhere), an id that fills ranges by
+itself is cut by its texts' hashes, each range also gets the first document of the next one, and each task reads its ranges
+in descending id.
 
 Defined results: null is the empty text, with no terms; documents with fewer than ``FEW`` lexicon terms use all their
-terms; texts without terms have equal fingerprints of likeness 1; rows of one id follow each other by their text;
-null ids come after all others; a single document follows itself; an empty table stays empty. Only the key and
+terms; texts without terms have equal fingerprints of likeness 1; rows of one id follow each other by their texts'
+hashes; null ids come after all others; a single document follows itself; an empty table stays empty. Only the key and
 text columns are read.
 """
 
@@ -38,8 +40,8 @@ from factloom.llm.common import map_batches, table
 #: The band, as shares of all documents that hold a term: idf between -ln(HIGH) and -ln(LOW).
 LOW, HIGH = 0.0005, 0.15
 SUBSETS, FEW = 32, 8
-#: Documents of a range of ids, and ranges at most; words that a worker remembers or counts at once.
-RANGE_ROWS, MAX_RANGES, MAX_WORDS = 2000, 10_000, 400_000
+#: Documents of a range of ids, and ranges at most (32 bytes each, with every task); words that a worker remembers or counts.
+RANGE_ROWS, MAX_RANGES, MAX_WORDS = 2000, 200_000, 400_000
 ENDS = ".,;:!?\"'()[]{}<>|*#%$&-_/\\=+~`^"
 _FACTORS = np.random.default_rng(20).integers(1, 2**63, SUBSETS).astype(np.uint64) | np.uint64(1)
 
@@ -176,54 +178,95 @@ def fingerprints(docs: DataFrame, band: np.ndarray, text: str = "text") -> DataF
     return extend(docs, "fingerprint string", run)
 
 
-def _ranges(docs: DataFrame, key: str) -> tuple[np.ndarray, dict[int, int]]:
-    """Upper ends of the ranges of negated ids, and for each range's first id the range before it, which ends
-    with it too."""
-    ids = docs.select((-F.coalesce(F.col(f"`{key}`"), F.lit(-(2**63) + 1))).cast("long").alias("k"))
-    count = min(MAX_RANGES, max(1, math.ceil(docs.count() / RANGE_ROWS)))
+class Ranges:
+    """Ranges of (null, id from high to low, hash of the text), numbered in order."""
+
+    def __init__(self, ends: np.ndarray, often: dict[int | None, int]):
+        """ends: upper ends of ranges of complements of ids; often: ids' complements that fill so many ranges each."""
+        alone = [x for k in often if k is not None for x in (k - 1, k) if x >= -(2**63)]
+        self.ends = np.unique(np.concatenate([ends, np.array(alone, np.int64)]))
+        self.parts = np.ones(len(self.ends) + 2, np.int64)  # of each; the last is that of null ids
+        for k, n in often.items():
+            self.parts[-1 if k is None else np.searchsorted(self.ends, k)] = n
+        self.start = np.cumsum(self.parts) - self.parts
+        self.first = None
+
+    def of(self, k: np.ndarray, null: np.ndarray, th: np.ndarray) -> np.ndarray:
+        i = np.where(null, len(self.parts) - 1, np.searchsorted(self.ends, k))
+        share = (th.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(33)  # in the order of the signed hashes
+        return self.start[i] + (share.astype(np.int64) * self.parts[i] >> 31)
+
+    def hand_over(self, firsts: list[tuple[int, int, int]]) -> None:
+        """firsts: (range, complement, hash) of each range's first document, which the range before gets too."""
+        rows = np.array(sorted(firsts), np.int64).reshape(-1, 3)
+        self.first = rows, np.roll(rows[:, 0], 1)
+
+    def previous(self, r: np.ndarray, k: np.ndarray, th: np.ndarray) -> np.ndarray:
+        """The range before, for documents that are their range's first; else -1."""
+        rows, before = self.first
+        at = np.searchsorted(rows[:, 0], r)
+        return np.where((rows[at, 1] == k) & (rows[at, 2] == th), before[at], -1)
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, z, th, t): complements of ids, which ascend where ids descend and are there for every id; null ids are 0 and marked."""
+    id_ = F.col(f"`{key}`").cast("long")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return docs.select(F.coalesce(F.bitwise_not(id_), F.lit(0)).alias("k"), id_.isNull().alias("z"), F.xxhash64(body).alias("th"), body.alias("t"))
+
+
+def _ranges(rows: DataFrame) -> Ranges:
+    ids = rows.select("k", "z", "th")
+    total = rows.count()
+    count = min(MAX_RANGES, max(1, math.ceil(total / RANGE_ROWS)))
     shares = [(i + 1) / count for i in range(count - 1)]
-    found = ids.select(F.percentile_approx("k", shares, 20 * count)).first()[0] if shares else []
-    ends = np.unique(np.array(found or [], np.int64))
+    found = ids.filter("NOT z").select(F.percentile_approx("k", shares, 10 * count)).first()[0] if shares else []
+    least = max(RANGE_ROWS, total / MAX_RANGES)  # so that there are MAX_RANGES at most
+    often = ids.groupBy("k", "z").count().filter(F.col("count") > least).collect()
+    ranges = Ranges(np.array(found or [], np.int64), {None if r.z else r.k: math.ceil(r["count"] / least) for r in often})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        first: dict[int, int] = {}
+        first: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            for r, value in zip(np.searchsorted(ends, k).tolist(), k.tolist(), strict=True):
-                first[r] = min(value, first.get(r, value))
-        yield {"r": list(first), "k": list(first.values())}
+            k, th = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            r = ranges.of(k, batch.column(1).to_numpy(zero_copy_only=False), th)
+            for x in zip(r.tolist(), k.tolist(), th.tolist(), strict=True):
+                first[x[0]] = min(x[1:], first.get(x[0], x[1:]))
+        yield {"r": list(first), "k": [x[0] for x in first.values()], "th": [x[1] for x in first.values()]}
 
-    firsts = map_batches(ids, T._parse_datatype_string("r long, k long"), run).groupBy("r").agg(F.min("k").alias("k"))
-    rows = sorted((r.r, r.k) for r in firsts.collect())  # MAX_RANGES at most
-    return ends, {k: rows[i - 1][0] for i, (_, k) in enumerate(rows)}
+    firsts = map_batches(ids, T._parse_datatype_string("r long, k long, th long"), run).groupBy("r").agg(F.min(F.struct("k", "th")).alias("x"))
+    ranges.hand_over([(r.r, r.x.k, r.x.th) for r in firsts.collect()])  # 3 * MAX_RANGES at most
+    return ranges
 
 
 def neighbours(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (r, late, k, own, body): each range of ids, sorted, with the first document of the next behind it.
+    """Rows (r, late, k, z, th, own, size, body): each range of ids, sorted, with the first document of the next behind it.
     Texts are compressed for the exchange."""
-    ends, before = _ranges(docs, key)
-    last = max(before.values(), default=0)
+    rows = _keyed(docs, key, text)
+    ranges = _ranges(rows)
+    last = int(ranges.first[0][:, 0].max(initial=0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         codec = pa.Codec("zstd", 1)
         for batch in batches:
-            out = {c: [] for c in ("r", "late", "k", "own", "size", "body")}
-            k = batch.column(0).to_numpy()
-            for r, id_, x in zip(np.searchsorted(ends, k).tolist(), k.tolist(), batch.column(1).to_pylist(), strict=True):
-                data = (x or "").encode()
+            out = {c: [] for c in ("r", "late", "k", "z", "th", "own", "size", "body")}
+            k, z, th = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            r = ranges.of(k, z, th)
+            before = ranges.previous(r, k, th)
+            for place, prior, k_, z_, th_, x in zip(r.tolist(), before.tolist(), k.tolist(), z.tolist(), th.tolist(), batch.column(3).to_pylist(), strict=True):
+                data = x.encode()
                 body = codec.compress(data, asbytes=True)
-                places = [(r, 0, 1)]
-                if id_ in before:  # behind all of the range before; the very first document, behind the last range
-                    places.append((before[id_], 1, 0))
-                for place, late, own in places:
-                    for c, v in zip(out, (place, late, id_, own, len(data), body), strict=True):
+                places = [(place, 0, 1)]
+                if prior >= 0:  # behind all of the range before; the very first document, behind the last range
+                    places.append((prior, 1, 0))
+                for to, late, own in places:
+                    for c, v in zip(out, (to, late, k_, z_, th_, own, len(data), body), strict=True):
                         out[c].append(v)
             yield out
 
-    schema = T._parse_datatype_string("r long, late int, k long, own int, size long, body binary")
-    chosen = docs.select((-F.coalesce(F.col(f"`{key}`"), F.lit(-(2**63) + 1))).cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
-    made = map_batches(chosen, schema, run)
-    return made.repartition(max(1, min(last + 1, -(-(last + 1) // 3))), "r").sortWithinPartitions("r", "late", "k", "body")
+    schema = T._parse_datatype_string("r long, late int, k long, z boolean, th long, own int, size long, body binary")
+    made = map_batches(rows, schema, run)
+    return made.repartition(max(1, min(last + 1, -(-(last + 1) // 3))), "r").sortWithinPartitions("r", "late", "z", "k", "th", "body")
 
 
 EDITED = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -238,31 +281,31 @@ def edited_fingerprints(docs: DataFrame, band: np.ndarray, key: str = "doc_id",
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         codec, held = pa.Codec("zstd", 1), None
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            for r, _, k, own, size, body in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("r", "k", "z", "own", "size", "body")), strict=True)
+            for r, k, z, own, size, body in rows:
                 data = codec.decompress(body, size, asbytes=True).decode() if size else ""
-                now = (r, k, own, data)
+                now = (r, None if z else ~k, own, data)
                 if held is not None and held[0] == r and held[2]:
                     yield held, now
                 held = now
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        maker, last, out = _maker(shared.value), (None, None), []
+        maker, out = _maker(shared.value), []
+        last: dict[str, tuple] = {}  # fingerprints of the last texts
 
         def flush() -> dict:
             columns = dict(zip(schema.names, map(list, zip(*out, strict=True)), strict=True))
             out.clear()
             return columns
 
-        for (r, k, _, own), (_, k2, own2, following) in pairs(batches):
-            mine = last[1] if last[0] == (r, k, own) else maker.hashes(own)
-            after = maker.hashes(following)
-            last = ((r, k2, following), after) if own2 else (None, None)
+        for (_, k, _, own), (_, _, _, following) in pairs(batches):
+            mine = last.get(own) or maker.hashes(own)
+            after = mine if own == following else maker.hashes(following)
             n = len(own)
             edited = own[: n - n // 3] + following[: n // 3]
-            changed = maker.hashes(edited)
-            out.append((None if k == 2**63 - 1 else -k, n, edited, shown(mine), shown(changed), likeness(mine, changed),
-                        1.0 if own == following else likeness(mine, after)))
+            changed = last.get(edited) or maker.hashes(edited)
+            last = {own: mine, following: after, edited: changed}
+            out.append((k, n, edited, shown(mine), shown(changed), likeness(mine, changed), 1.0 if own == following else likeness(mine, after)))
             if len(out) >= 256:
                 yield flush()
         if out:

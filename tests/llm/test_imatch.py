@@ -58,3 +58,52 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.edited) for r in out) == [(0, "x y"[:2] + "é"), (1, ""), (2, ""), (3, "é" * 6), (3, "é" * 9)]
     shown = M.fingerprints(spark.createDataFrame([(1, "x y", "clash")], SCHEMA), np.zeros(0, np.int64))
     assert shown.columns == ["doc_id", "text", "fingerprint"] and M.likeness(*[M.read(shown.first().fingerprint)] * 2) == 1.0
+
+
+def _plain_hashes(text, band):
+    """The fingerprint's parts by plain loops over the text's terms, without the module's tables."""
+    terms = {M.hash_of(t) or 1 for w in text.split() if (t := M.term_of(w))}
+    kept = {t for t in terms if t in band}
+    if len(kept) < M.FEW:
+        kept = terms
+    level, full = len(kept).bit_length(), 2**64
+    mix = lambda x: int(M._mix(np.array([x % full], np.uint64))[0])
+    out = []
+    for i in (0, 1):
+        row = []
+        for factor in M._FACTORS.tolist():
+            held = [t % full for t in kept if t % full * factor % full < 2 ** (64 - level - i)]
+            row.append(max(1, mix(sum(mix(t) | 1 for t in held)) >> 32) if held else 0)
+        out.append(row)
+    return level, out
+
+
+def test_fingerprints_are_those_of_the_definition(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    share = Counter(M.hash_of(t) or 1 for r in rows for t in {M.term_of(w) for w in r.text.split()} - {""})
+    low, high = max(2, -(-len(rows) * M.LOW // 1)), len(rows) * M.HIGH // 1
+    band = {t for t, n in share.items() if low <= n <= high}
+    assert set(M.lexicon(docs).tolist()) == band
+    out = {r.doc_id: r for r in M.op7_imatch(spark, folder).collect()}
+    edited = {k: e for k, e, _ in _edited([(r.doc_id, r.text) for r in rows])}
+    for r in rows[:60]:
+        for text, shown in ((r.text, out[r.doc_id].fingerprint), (edited[r.doc_id], out[r.doc_id].edited_fingerprint)):
+            level, parts = _plain_hashes(text, band)
+            assert shown == f"{level:02x}" + "".join(f"{h:08x}" for row in parts for h in row)
+
+
+def test_extreme_ids_long_texts_and_ties(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE_ROWS", 4)
+    long = "some words of a very long text " * 40_000
+    rows = [(-(2**63), "lowest a b c", ""), (-(2**63) + 1, "next to it d e f", ""), (2**63 - 1, "highest g h i", ""), (0, long, ""), (-1, "minus one j k", ""), (1, "", ""), (2, None, "")]
+    rows += [(7, f"many rows of one id {i} " * (1 + i % 3), "") for i in range(60)] + [(None, f"null {i} x y z", "") for i in range(30)] + [(9, "all the same", "")] * 25
+    out = M.edited_fingerprints(spark.createDataFrame(rows, SCHEMA).repartition(5), np.zeros(0, np.int64)).collect()
+    hashed = {r.t: r.h for r in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1] or ""]))
+    want = Counter()
+    for i, r in enumerate(order):
+        own, after = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        want[r[0], own[: len(own) - len(own) // 3] + after[: len(own) // 3]] += 1
+    assert Counter((r.doc_id, r.edited) for r in out) == want
