@@ -103,6 +103,7 @@ def probabilities(texts: list[bytes], model: dict) -> np.ndarray:
     for lo in range(0, len(doc), 4096):
         part = slice(lo, lo + 4096)
         codes = data[at[part][None, :] + np.arange(CORE + 2 * CONTEXT)[:, None]].astype(np.intp)
+        codes[np.arange(len(codes))[:, None] >= CONTEXT + (sizes[doc] - nth * CORE)[part]] = 32  # no other text of the batch
         logits = np.empty((CORE, out.shape[1], codes.shape[1]), np.float32)
         steps = len(codes)
         for t, made in gru.scan(*ahead, codes[: CONTEXT + CORE], model["w"][:HIDDEN].T):

@@ -6,8 +6,9 @@ its n-grams, than others. Windows of ``WINDOW`` words, half a window apart, cove
 network runs both ways, attention pools its states, and a logistic layer scores the pool. The document's score is
 its windows' highest.
 
-Training is in numpy by backpropagation through time, on a bounded sample of labelled documents. Only documents
-are labelled, so each pass trains on the window that scores highest now in each document, and on random windows
+Training is in numpy by backpropagation through time, on a bounded sample of labelled documents: at most ``TRAIN_ROWS`` of
+each label, of at most ``TRAIN_CHARS`` characters each (a stretch of a longer one may lack what its label is for, and
+would teach the opposite). All documents are scored whole, whatever their length. Only documents are labelled, so each pass trains on the window that scores highest now in each document, and on random windows
 of those that aren't toxic. The counts behind the likelihoods are cross-fitted: a document is trained on with
 counts of the other half of the sample.
 
@@ -87,7 +88,13 @@ class Likelihoods:
             self.tables.append(odds.astype(np.float32))
 
 
-def features(grams: tuple, odds: Likelihoods, p: gru.Params) -> tuple[np.ndarray, np.ndarray]:
+class NoLikelihoods:
+    """In place of likelihoods, so that a test can tell what the embeddings alone make of a text."""
+
+    tables = [np.zeros(BUCKETS, np.float32)] * 2
+
+
+def features(grams: tuple, odds: Likelihoods | type[NoLikelihoods], p: gru.Params) -> tuple[np.ndarray, np.ndarray]:
     """Inputs of every word: its odds, its n-grams' highest and mean odds, embeddings; and its n-grams' number."""
     owner, bucket, own = grams
     count = np.bincount(owner, minlength=len(own)).astype(np.float32)
@@ -178,8 +185,8 @@ def _train_batch(x: np.ndarray, live: np.ndarray, y: np.ndarray, p: gru.Params)
     return grads, d_in * live[:, :, None]
 
 
-def train(texts: list[str], labels: list[int], seed: int = 11) -> dict | None:
-    """The network and its likelihoods; None unless both labels occur."""
+def train(texts: list[str], labels: list[int], seed: int = 11, likelihoods: bool = True) -> dict | None:
+    """The network and its likelihoods; None unless both labels occur. Without likelihoods, embeddings are all inputs."""
     y = np.array([int(x) for x in labels])
     if len(set(y.tolist())) < 2:
         return None
@@ -199,7 +206,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> dict | None:
         mine = [bucket[spans[w] : spans[w + 1]] for w in distinct]
         held.append((np.unique(own[distinct]), np.unique(np.concatenate(mine)) if mine else np.zeros(0, int)))
     half = pick.integers(0, 2, count)
-    odds = [Likelihoods([held[i] for i in np.flatnonzero(half != k)], y[half != k]) for k in (0, 1)]
+    odds = [Likelihoods([held[i] for i in np.flatnonzero(half != k)], y[half != k]) if likelihoods else NoLikelihoods for k in (0, 1)]
     doc, first = windows(sizes)
     codes = _codes(flat, begin[doc] + first, sizes[doc] - first, len(words))
     dense = {k: v for k, v in p.items() if k not in ("word", "char")}
@@ -230,12 +237,13 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> dict | None:
             used = part[live]
             rate = 3 * adam.rate  # the tables learn by plain gradients, only where they were read
             np.add.at(p["word"], own[used], -rate * d_in[live][:, 3 : 3 + EMBED])
-            for w, g in zip(used[:: max(1, len(used) // 256)], d_in[live][:: max(1, len(used) // 256)], strict=True):
-                near = bucket[spans[w] : spans[w + 1]]
-                if len(near):
-                    np.add.at(p["char"], near, -rate * g[3 + EMBED :] / len(near))
-    whole = Likelihoods(held, y)
-    return {"p": p, "odds": whole}
+            size = spans[used + 1] - spans[used]
+            word = np.repeat(np.arange(len(used)), size)
+            near = bucket[np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + spans[used][word]]
+            step = (-rate * d_in[live][:, 3 + EMBED :] / np.maximum(size, 1)[:, None])[word]
+            for c in range(EMBED):
+                p["char"][:, c] += np.bincount(near, step[:, c], BUCKETS).astype(np.float32)
+    return {"p": p, "odds": Likelihoods(held, y) if likelihoods else NoLikelihoods}
 
 
 def scores(texts: list[str], model: dict | None) -> np.ndarray:

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 
 from factloom.llm import gru, language_id, toxicity
 
@@ -89,3 +90,107 @@ def test_all_windows_cover_all_words():
         doc, first = toxicity.windows(np.array([n]))
         covered = {i for f in first for i in range(f, f + toxicity.WINDOW)}
         assert set(range(n)) <= covered and (first < max(n, 1)).all() and len(doc) == len(first)
+
+
+def _cell(x, h, u):
+    """One step of the recurrence, by its definition."""
+    k = len(h)
+    a = h @ u
+    z, r = (1 / (1 + np.exp(-(x[i : i + k] + a[i : i + k]))) for i in (0, k))
+    n = np.tanh(x[2 * k :] + r * a[2 * k :])
+    return n + z * (h - n)
+
+
+def _states(rows, u):
+    h, out = np.zeros(len(u)), []
+    for x in rows:
+        h = _cell(x, h, u)
+        out.append(h)
+    return out
+
+
+def test_languages_are_those_of_plain_loops(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs.filter(~language_id.learned_rows(docs.doc_id, 4, 2)))
+    p = {k: np.array(v, float) for k, v in model.items() if k != "names"}
+    out = {r.doc_id: r for r in language_id.op4_language_id(spark, "/root/testdata/sf0.001").collect()}
+    blank, around, core = b" ", language_id.CONTEXT, language_id.CORE
+    for r in docs.limit(25).collect():
+        data, total = r.text.encode(), np.zeros(len(model["names"]))
+        for lo in range(0, len(data), core):
+            before = data[max(0, lo - around) : lo].rjust(around, blank)
+            read = (before + data[lo : lo + core + around]).ljust(core + 2 * around, blank)
+            ahead = _states([p["xf"][b] for b in read], p["uf"])
+            back = _states([p["xb"][b] for b in reversed(read)], p["ub"])[::-1]
+            for i in range(around, around + min(core, len(data) - lo)):
+                e = np.exp(np.concatenate([ahead[i], back[i]]) @ p["w"] + p["b"])
+                total += e / e.sum()
+        total /= max(1, len(data))
+        if not any(map(str.isalpha, r.text)):
+            assert (out[r.doc_id].lang_pred, out[r.doc_id].score) == ("und", 0.0)
+            continue
+        assert abs(out[r.doc_id].score - total.max()) < 1e-4
+        assert out[r.doc_id].lang_pred == model["names"][total.argmax()] or np.sort(total)[-2] > total.max() - 1e-4
+
+
+def test_letters():
+    for text in ("10\xb2 = 100", "\xbd + \xbd", "\u2167.", "\u2460", "_1_", "", "\u0301"):
+        assert not language_id.has_letter(text)
+    for text in ("a", "1 \xe9", "\u65e5", "\xb2x", "\xaa", "\u01c5"):
+        assert language_id.has_letter(text)
+
+
+def _plain_score(text, model):
+    """A document's score by loops over windows, words and n-grams."""
+    p, full = {k: np.array(v, float) for k, v in model["p"].items()}, 2**64
+    words, best = text.lower().split(), 0.0
+
+    def inputs(word):
+        w = word.strip(toxicity.ENDS)
+        data, grams = f"<{w}>".encode(), []
+        for n in toxicity.GRAMS:
+            for i in range(len(data) - n + 1):
+                h = data[i] + 1
+                for b in data[i + 1 : i + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + b + 1) % full
+                x = (h + n) % full
+                x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % full
+                grams.append((x ^ (x >> 32)) % toxicity.BUCKETS)
+        own = int(pd.util.hash_array(np.array([w], object), categorize=False)[0]) % toxicity.BUCKETS
+        odds = [float(model["odds"].tables[1][g]) for g in grams]
+        char = np.mean([p["char"][g] for g in grams], 0) if grams else np.zeros(toxicity.EMBED)
+        return np.concatenate([[model["odds"].tables[0][own], max(odds, default=0), np.mean(odds) if odds else 0], p["word"][own], char])
+
+    for lo in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        x = [inputs(w) for w in words[lo : lo + toxicity.WINDOW]]
+        if not x:
+            continue
+        ahead = _states([v @ p["xf"] + p["bf"] for v in x], p["uf"])
+        back = _states([v @ p["xb"] + p["bb"] for v in x[::-1]], p["ub"])[::-1]
+        states = [np.concatenate(s) for s in zip(ahead, back, strict=True)]
+        weight = np.exp([float(np.tanh(s @ p["wa"]) @ p["v"][:, 0]) for s in states])
+        pooled = sum(w * s for w, s in zip(weight, states, strict=True)) / weight.sum()
+        best = max(best, float(1 / (1 + np.exp(-(pooled @ p["wo"][:, 0] + p["bo"][0])))))
+    return best
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    learned = ~toxicity.learned_rows(docs.doc_id, 3, 1)
+    model = toxicity.fit(docs.filter(learned), labels.filter(~toxicity.learned_rows(labels.doc_id, 3, 1)))
+    out = {r.doc_id: r for r in toxicity.op5_toxicity(spark, folder).collect()}
+    some = docs.collect()
+    for r in sorted(some, key=lambda r: len(r.text))[::6][:25]:
+        assert abs(out[r.doc_id].score - _plain_score(r.text, model)) < 1e-4
+    assert toxicity.fit(docs.limit(0), labels) is None
+
+
+def test_without_likelihoods_embeddings_are_learned():
+    """The network trains on embeddings alone, too; the README says how far that carries."""
+    toxic, clean = ("you vile brat get lost", "the vile brat is here"), ("a fine house of the thing", "we went to the lake")
+    texts, labels = [f"{x} {i}" for i in range(40) for x in (*toxic, *clean)], [1, 1, 0, 0] * 40
+    model = toxicity.train(texts, labels, likelihoods=False)
+    assert not any(t.any() for t in model["odds"].tables)
+    score = toxicity.scores(["a vile brat", "the fine lake"], model)
+    assert score[0] > score[1]
