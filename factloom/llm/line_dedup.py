@@ -1,21 +1,25 @@
 """Line dedup: later copies of repeated runs of lines are deleted.
 
-A document is the sequence of its lines that aren't blank. Prefix doubling names, at every line, the 1, 2, 4, ...
-lines that begin there: a name of level k + 1 is made of two names of level k, ``2**k`` lines apart, so equal
-names are equal runs. Names are 64-bit hashes, not ranks: no suffix array and no longest-common-prefix intervals are
-built; grouping windows by hashed name finds what is repeated instead. A run of any length r is named by the two
-level-``floor(log2(r))`` names that cover it.
+A document is the sequence of its lines that aren't blank, and every line begins a suffix of it. Prefix doubling sorts the
+suffixes of all documents by their first 1, 2, 4, ... lines: a suffix's rank by ``2**(k + 1)`` lines is the place of its pair
+of ranks by ``2**k`` lines, ``2**k`` lines apart, in a distributed sort of all such pairs; lines themselves rank by their
+64-bit hashes. Only pairs that occur more than once are sorted and ranked: a suffix whose prefix is unique has no common
+prefix of that length with any other, so it leaves, and later levels hold repeated text only.
+
+Suffixes with the first r lines in common are an interval of the suffix array, the longest-common-prefix interval of depth
+r. With 2**k <= r < 2**(k + 1) it is the one whose suffixes share their ranks of level k at their first line and at
+the line ``2**k`` before the end, so an interval of any depth is known by two ranks, and an aggregate finds its first place;
+no task holds an interval, one of a third of all lines neither.
 
 A run repeats if it has ``min_words`` words and begins earlier too, by (key, line). All lines of such runs go.
 They are found from the shortest runs of ``min_words`` words that begin or that end at a line: every line of a
 maximal repeated run lies in one of these that is itself repeated, and each of these is a repeated run. As a
-line that isn't blank has a word, they have ``min_words`` lines at most, which bounds the levels. A group of equal
-names is reduced to its first place by a partial aggregate, so one that holds a third of all lines is no large group.
+line that isn't blank has a word, they have ``min_words`` lines at most, which bounds the levels.
 
 Defined results: null text stays null and has no lines; blank lines stay unless they lie inside a deleted run;
 a text whose every line goes is empty; rows that agree in key and text are one document, so none is the other's
-later copy; rows that share only the key are ordered by their text's hash; other columns pass through and
-may have any names but the operator's outputs, which they give way to; an empty table stays empty.
+later copy; rows that share only the key are ordered by their text's hash; words are what blanks part; other columns pass
+through and may have any names but the operator's outputs, which they give way to; an empty table stays empty.
 DataFrame functions only.
 """
 
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table
+from factloom.llm.common import table, written
 
 MIN_WORDS = 50
 
@@ -35,11 +39,11 @@ def _words(line: Column) -> Column:
     return F.when(inner == "", 0).otherwise(F.octet_length(inner) - F.octet_length(F.replace(inner, F.lit(" "), F.lit(""))) + 1)
 
 
-def sequences(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each document: its lines that aren't blank, each with its names and its shortest runs."""
+def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each line that isn't blank: its number i, its hash, and the shortest runs that begin and end there."""
     lines = (
         docs.select("k", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("k", "th", "pos", _words(F.col("line")).alias("w"), F.xxhash64("line").alias("n0"), F.octet_length("line").alias("size"))
+        .select("k", "th", "pos", _words(F.col("line")).alias("w"), F.xxhash64("line").alias("h"), F.octet_length("line").alias("size"))
         .filter("w > 0")
         .repartition("k", "th")
         .dropDuplicates(["k", "th", "pos"])
@@ -53,24 +57,44 @@ def sequences(docs: DataFrame, min_words: int) -> DataFrame:
         F.sum("size").over(by_place).alias("sized"),
         F.sum("w").over(doc).alias("total"),
     )
-    level = 0
-    while 2 ** (level + 1) <= min_words:
-        pair = F.xxhash64(f"n{level}", F.coalesce(F.lead(f"n{level}", 2**level).over(by_place), F.lit(0)))
-        lines = lines.withColumn(f"n{level + 1}", pair)
-        level += 1
     lines = lines.withColumns({"before": F.col("upto") - F.col("w"), "after": F.col("total") - F.col("upto")})
     within = (Window.unboundedPreceding, min_words - 1)
-    lines = lines.select(
-        "*",
+    return lines.select(
+        "k", "th", "i", "pos", "h", "size", "sized",
         F.when(F.col("after") + F.col("w") >= min_words, F.max("i").over(doc.orderBy("before").rangeBetween(*within))).alias("stop"),
         F.when(F.col("upto") >= min_words, F.min("i").over(doc.orderBy("after").rangeBetween(*within))).alias("begin"),
-    )
-    kept = ["i", "pos", "stop", "begin", "sized", "size", *(f"n{x}" for x in range(level + 1))]
-    return lines.groupBy("k", "th").agg(F.sort_array(F.collect_list(F.struct(*kept))).alias("a")).withColumn("levels", F.lit(level))
+    )
+
+
+def ranked(rows: DataFrame, names: list[str]) -> DataFrame:
+    """What several rows are named, with its place in a distributed sort."""
+    repeated = rows.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return repeated.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("rank", F.monotonically_increasing_id())
+
+
+def doubled(lines: DataFrame, min_words: int) -> list[DataFrame]:
+    """Written rows (k, th, i, r) for each level: the ranks of suffixes whose first ``2**level`` lines begin another one too."""
+    out = [written(lines.select("k", "th", "i", "h").join(ranked(lines, ["h"]), "h").select("k", "th", "i", F.col("rank").alias("r")), "ranks")]
+    for level in range(min_words.bit_length() - 1):
+        ahead = Window.partitionBy("k", "th").orderBy("i").rangeBetween(2**level, 2**level)
+        pairs = out[-1].withColumn("s", F.max("r").over(ahead)).filter("s IS NOT NULL")
+        out.append(written(pairs.join(ranked(pairs, ["r", "s"]), ["r", "s"]).select("k", "th", "i", F.col("rank").alias("r")), "ranks"))
+    return out
+
+
+def sequences(lines: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """A row for each document: its lines, each with its ranks, null where it is unique, and its shortest runs."""
+    own = ["pos", "stop", "begin", "sized", "size"]
+    names = [f"n{x}" for x in range(len(levels))]
+    rows = lines.select("k", "th", "i", *own)
+    for name, level in zip(names, levels, strict=True):
+        rows = rows.unionByName(level.withColumnRenamed("r", name), allowMissingColumns=True)
+    each = rows.repartition("k", "th").groupBy("k", "th", "i").agg(*(F.max(c).alias(c) for c in [*own, *names]))
+    return each.groupBy("k", "th").agg(F.sort_array(F.collect_list(F.struct("i", *own, *names))).alias("a"))
 
 
 def runs(sequence: DataFrame, levels: int) -> DataFrame:
-    """The shortest runs, (k, th, first line, last line, name of the run)."""
+    """The shortest runs that can be repeated, (k, th, first line, last line, name of the run: its length and two ranks)."""
     forward = F.transform(F.filter("a", lambda x: x.stop.isNotNull()), lambda x: F.struct(x.i.alias("s"), x.stop.alias("t")))
     backward = F.transform(F.filter("a", lambda x: x.begin.isNotNull()), lambda x: F.struct(x.begin.alias("s"), x.i.alias("t")))
     spans = sequence.select("k", "th", "a", F.array_distinct(F.concat(forward, backward)).alias("spans"))
@@ -78,25 +102,23 @@ def runs(sequence: DataFrame, levels: int) -> DataFrame:
     def named(x: Column) -> Column:
         long = x.t - x.s + 1
         first, last = F.col("a")[x.s - 1], F.col("a")[x.t - 1]
-        names = [(F.lit(0), F.lit(0))]
-        for k in range(levels + 1):
-            names.append((first[f"n{k}"], F.col("a")[x.t - 2**k][f"n{k}"]))
-        left = right = F.lit(0).cast("long")
-        for k in range(levels + 1):
-            left = F.when(long >= 2**k, names[k + 1][0]).otherwise(left)
-            right = F.when(long >= 2**k, names[k + 1][1]).otherwise(right)
+        left = right = F.lit(None).cast("long")
+        for k in range(levels):
+            left = F.when(long >= 2**k, first[f"n{k}"]).otherwise(left)
+            right = F.when(long >= 2**k, F.col("a")[x.t - 2**k][f"n{k}"]).otherwise(right)
         return F.struct(
             first.pos.alias("s"), last.pos.alias("t"), long.alias("long"), left.alias("left"), right.alias("right"),
             (last.sized - first.sized + first["size"]).alias("size"),
         )
 
-    return spans.select("k", "th", F.inline(F.transform("spans", named)))
+    return spans.select("k", "th", F.inline(F.filter(F.transform("spans", named), lambda x: x.left.isNotNull() & x.right.isNotNull())))
 
 
 def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, th, gone): the stretches of lines to delete, apart from each other, of documents that have any."""
-    levels = min_words.bit_length() - 1
-    found = runs(sequences(docs, min_words), levels)
+    lines = written(suffixes(docs, min_words), "suffixes")
+    levels = doubled(lines, min_words)
+    found = written(runs(sequences(lines, levels), len(levels)), "runs")
     name = ["long", "left", "right", "size"]
     firsts = (
         found.groupBy(*name)
