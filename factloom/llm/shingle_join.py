@@ -50,7 +50,9 @@ OFTEN, AT_LEAST = 6, 48
 #: What an entry of an inverted list costs against an enumerated subset; the largest x.
 ENTRY_COST, MOST_LIGHT = 6.0, 20
 SKETCH_BITS, WIDE_BITS = 96, 1024
-BLOCK, CHUNK = 4096, 4096
+BLOCK = 4096
+#: Sets of a family that one task takes, from and to: a sixteenth of a family between these.
+CHUNK, MOST_CHUNK = 256, 4096
 
 _U = np.uint64
 _pick = np.random.default_rng(2024)
@@ -127,9 +129,9 @@ def sketch(x: np.ndarray) -> tuple[int, int]:
 
 
 def wide_sketch(x: np.ndarray) -> np.ndarray:
-    """The same over 1024 bins, as 16 words; of the upper 48 bits of hashes."""
+    """The same over 1024 bins, as 16 words."""
     with np.errstate(over="ignore"):
-        turned = np.sort(_mix((x >> _U(16)) * _PLACE[43]))
+        turned = np.sort(_mix(x ^ _PLACE[43]))
         bins = (turned >> _U(54)).astype(np.int64)
         heads = np.flatnonzero(np.diff(bins, prepend=-1))
         bits = np.zeros(WIDE_BITS, np.uint8)
@@ -421,14 +423,11 @@ def _verified(pairs: DataFrame, items: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash: two sets of thousands have an equal pair by chance once in 10**7 pairs of sets."""
-    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return x.astype("<u8").tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view(">u8").ravel().astype(_U)
+    return np.frombuffer(data, "<u8").astype(_U)
 
 
 def _across(items: DataFrame, families: DataFrame, home: DataFrame, rule: Rule) -> DataFrame:
@@ -436,7 +435,8 @@ def _across(items: DataFrame, families: DataFrame, home: DataFrame, rule: Rule)
     member = items.select("c").join(families, F.col("c") == families.node, "left").select("c", F.coalesce("component", "c").alias("g"))
     member = member.join(home, member.c == home.node, "left").select("c", "g", F.coalesce("component", "c").alias("h"))
     size = member.groupBy("g").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("m")).filter("lo <> hi")
-    size = size.select("g", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"))
+    chunk = F.least(F.lit(MOST_CHUNK), F.greatest(F.lit(CHUNK), F.col("m") / 16))
+    size = size.select("g", F.ceil(F.col("m") / chunk).cast("int").alias("chunks"))
     rows = member.join(size, "g").join(items, "c").withColumn("own", F.expr("cast(pmod(xxhash64(c), chunks) as int)"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pair = F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other").cast("long")
