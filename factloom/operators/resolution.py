@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators.cut import cut
+from factloom.operators.cut import cut, let_go
 
 # What matches score, the decision bands, and the search's bounds.
 CIN_SCORE, GSTIN_SCORE, DOMAIN_SCORE, EMAIL_SCORE = 1.0, 0.95, 0.75, 0.60
@@ -190,12 +190,14 @@ def first_come(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         reviewed = left.join(new.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"), F.lit("review").alias("state")).distinct()
         now = cut(new.union(reviewed), "first-come")
         out = out.union(now)
-        done = now.select("id")
+        done, before = now.select("id"), (still, left)
         still = cut(still.join(done, "id", "left_anti"), "open")
         if not still.limit(1).count():
             return out
         left = left.join(done.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(done.withColumnRenamed("id", "later"), "later", "left_anti")
         left = cut(left.select("earlier", "later"), "edges")
+        for table in before:
+            let_go(table)
 
 
 def decision_counts(resolved: DataFrame, failures: DataFrame | None = None) -> DataFrame:

@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import evidence, filter_tree as tree, health, projections, resolution, search
+from factloom.operators.cut import scratch
 from factloom.plans import filter_sql, ingest
 from factloom.plans.bridge import Tables
 from factloom.plans.catalogue import _NAMED, _ROLLED, _TRIGRAMS, AS_OF, C, G, _signals, query
 from factloom.sources import adapters, demo, mapping, sinks
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share; a local one where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-")
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def _structs(spark_side: bool, rows: list[dict[str, str]]) -> str:
     """Rows made of each row, as an expression of either engine."""
     if spark_side:
@@ -50,7 +42,7 @@ def csv_round_trip(t: Tables) -> DataFrame:
         F.concat("state", F.lit(" ")).alias("REGISTERED_STATE"), F.lit("Line 1\nLine 2").alias("REGISTERED_OFFICE_ADDRESS"),
         F.col("company_id").cast("string").alias("AUTHORIZED_CAP"), F.lit("x").alias("SOME_FUTURE_FIELD"),
     )
-    path = _scratch(t.spark, "csv")
+    path = scratch(t.spark, "csv")
     rows.write.option("escape", '"').csv(path, header=True)
     found = adapters.registry_records(adapters.read_rows(t.spark, path))
     return found.select(*mapping.REGISTRY_FIELDS, "valid")
@@ -70,7 +62,7 @@ def json_envelope(t: Tables) -> DataFrame:
 )
 def append_observations(t: Tables) -> DataFrame:
     """SNK-01, SNK-05: two batches appended; a dry run between them leaves nothing."""
-    path, rows = _scratch(t.spark, "observations"), t.view("observations").drop("collected_at")
+    path, rows = scratch(t.spark, "observations"), t.view("observations").drop("collected_at")
     sinks.append_observations(rows, path, AS_OF)
     sinks.write_all({"more": rows}, path, dry_run=True)
     once = t.spark.read.parquet(path).groupBy("source_id").agg(F.count("*").alias("rows"), F.unix_micros(F.min("collected_at")).alias("collected_at"))
@@ -86,7 +78,7 @@ def append_observations(t: Tables) -> DataFrame:
 )
 def file_provenance(t: Tables) -> DataFrame:
     """SNK-10: a file's name, size and digest in the metadata of what came from it."""
-    path = _scratch(t.spark, "file")
+    path = scratch(t.spark, "file")
     t.spark.createDataFrame([("a,b\n1,2",)], "value string").coalesce(1).write.text(path)
     found = sinks.provenance(t.spark, path).first().metadata  # of one file
     found["source_file"] = "import.csv"
