@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm.common import map_batches, written
+from factloom.llm.common import let_go, map_batches, written
 
 #: Nodes that a task joins up before edges are shuffled.
 MAX_NODES = 200_000
@@ -64,4 +64,6 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.expr("pmod(xxhash64(u, v), 1000000007)"))).first()
         if state == before or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before, now = state, written(_star(now), "stars")
+        before, old = state, now
+        now = written(_star(old), "stars")
+        let_go(old)

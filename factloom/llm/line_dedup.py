@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import table, written
+from factloom.llm.common import let_go, table, written
 
 MIN_WORDS = 50
 
@@ -119,6 +119,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = written(suffixes(docs, min_words), "suffixes")
     levels = doubled(lines, min_words)
     found = written(runs(sequences(lines, levels), len(levels)), "runs")
+    let_go(lines, *levels)
     name = ["long", "left", "right", "size"]
     firsts = (
         found.groupBy(*name)
