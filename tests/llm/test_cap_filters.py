@@ -101,3 +101,13 @@ def test_components_of_paths_stars_and_rings(spark):
     df = spark.createDataFrame(edges, "u long, v long").repartition(7)
     want = {i: 1 for i in range(2, 61)} | {i: 100 for i in range(101, 140)} | {201: 200, 202: 200}
     assert {r.node: r.component for r in components(df).collect()} == want
+
+
+def test_equal_cosines_at_the_threshold(spark):
+    """Ties: many pairs of one cosine, and lengths with few vectors, which meet without filters."""
+    side = float(np.float32(np.sqrt(0.19)))
+    rows = [(1, [1.0, 0.0, 0.0], "")] + [(i, [0.9, side * (-1) ** i, 0.0], "") for i in range(2, 8)] + [(20 + i, [0.0, 0.0, float(i), 1.0], "") for i in range(6)]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in C.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for group in (rows[:7], rows[7:]):
+        links, label = _brute([r[0] for r in group], np.array([r[1] for r in group], np.float32))
+        assert {r[0]: out[r[0]] for r in group} == {r[0]: (n, c) for r, n, c in zip(group, links.tolist(), label.tolist(), strict=True)}

@@ -68,3 +68,30 @@ def test_empty_table_and_plan(spark):
     assert _run(spark, [], 50).count() == 0
     plan = L.op9_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_a_very_long_text_and_ties(spark):
+    lines = [f"line {i % 700} of a long text {i % 3}" for i in range(20_000)]
+    rows = [(1, "\n".join(lines)), (2, "x " * 300_000), (3, "x " * 300_000), (4, "same " * 60), (5, "same " * 60), (6, "same " * 60)]
+    out = {r.doc_id: r for r in _run(spark, rows, 50).collect()}
+    # the text repeats itself after 2,100 lines; what follows them is a later copy
+    assert out[1].n_lines == 20_000 and out[1].n_removed == 20_000 - 2_100 and out[1].text == "\n".join(lines[:2_100])
+    assert out[2].text == "x " * 300_000 and out[3].text == "" == out[5].text == out[6].text and out[4].n_removed == 0
+
+
+def test_ranks_are_those_of_sorted_prefixes(spark):
+    pick = random.Random(8)
+    rows = [(i, "\n".join(pick.choice("abc") for _ in range(pick.randint(1, 12)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "k long, text string").selectExpr("k", "text", "xxhash64(text) AS th")
+    lines = L.suffixes(docs, 8)
+    order = {r.line: r.h for r in spark.createDataFrame([(x,) for x in "abc"], "line string").selectExpr("line", "xxhash64(line) AS h").collect()}
+    texts = {k: t.split("\n") for k, t in rows}
+    distinct = {t: k for k, t in reversed(rows)}  # rows of one text and key are one document; here keys differ
+    assert len(distinct) <= len(rows)
+    for level, found in enumerate(L.doubled(lines, 8)):
+        size, got = 2**level, {(r.k, r.i): r.r for r in found.collect()}
+        prefix = {(k, i + 1): tuple(order[x] for x in t[i : i + size]) for k, t in texts.items() for i in range(len(t) - size + 1)}
+        often = {p for p in prefix.values() if sum(q == p for q in prefix.values()) > 1}
+        assert set(got) == {at for at, p in prefix.items() if p in often}
+        by_rank = sorted({(r, prefix[at]) for at, r in got.items()})
+        assert len(by_rank) == len(often) == len({r for r, _ in by_rank}) and [p for _, p in by_rank] == sorted(often)

@@ -66,3 +66,17 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.collect()
     assert rows and {r.sequence_id for r in rows} == set(range(max(r.sequence_id for r in rows) + 1))
+
+
+def test_a_very_long_text_and_ties(spark):
+    """Copies of one text under several ids: the least id stays; a long text goes through whole."""
+    pick = random.Random(9)
+    say = lambda n: " ".join(pick.choice("the and of that with this from they".split()) + pick.choice("abcdefghij") for _ in range(n))
+    long, tie = "\n".join(say(12) for _ in range(6000)), say(30)
+    rows = [(5, long), (9, tie), (7, tie), (8, tie), (7, tie), (30, say(40))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t), "own", 7, "mine") for k, t in rows], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        if name == "line dedup":
+            assert docs.count() == 6  # thirty words are no run
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted([(5, long), (7, tie), (30, rows[-1][1])])
