@@ -126,6 +126,7 @@ def later_copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .agg(F.min(F.struct("k", "th", "s")).alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1")
     )
+    firsts = written(firsts, "firsts")  # so that the join is between two tables, whose large partitions can be split
     later = found.join(firsts, name).filter(~F.struct("k", "th", "s").eqNullSafe(F.col("first")))
     doc = Window.partitionBy("k", "th").orderBy("s", "t")
     reach = F.max("t").over(doc.rowsBetween(Window.unboundedPreceding, -1))
