@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ SECRET = r"""(?i)((?:x-)?(?:api[-_]?key|token|secret))['"]?\s*[:=]\s*['"]?[^&\s'
 SAFE_SCHEMES = ("http", "https")
 #: Public addresses of version 6, and what of them isn't.
 GLOBAL_V6, PRIVATE_V6 = r"^[23][0-9a-f]{3}:", r"^(?:2001:(?:0{0,3}:|0?[01]?[0-9a-f]{1,2}:|:|0?db8:)|2002:|3fff:)"
+#: Letters whose row of bits can be doubled without leaving 64 bits.
+ROW_BITS = 62
 PRIVATE_HOST = (
     r"^(?:0\.|10\.|127\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|192\.0\.0\.|192\.0\.2\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|"
     r"22[4-9]\.|2[3-5][0-9]\.|localhost$)"
@@ -139,10 +142,8 @@ def sorted_tokens(x: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(F.coalesce(x, F.lit("")), r"(?U)\s+"), lambda w: w != "")), " ")
 
 
-def _longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of the usual table."""
-    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    first, second = letters(a), letters(b)
+def _common_by_rows(first: Column, second: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, row by row of the usual table."""
     zero = F.transform(F.concat(F.array(F.lit("")), second), lambda _: F.lit(0))
 
     def line(above: Column, x: Column) -> Column:
@@ -157,6 +158,32 @@ def _longest_common(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(first, zero, line), -1)
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas ask for it again and again."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence. As neighbours in a row of the usual table differ by one or nothing, a row is the bits of a
+    number where the shorter text has at most ``ROW_BITS`` letters."""
+    letters = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    zero = F.lit(0).cast("long")
+
+    def by_bits(s: Column) -> Column:
+        of_letter = F.transform(s.first, lambda x: F.aggregate(s.places, zero, lambda held, p: F.when(p.c == x, held.bitwiseOR(p.bit)).otherwise(held)))
+        row = F.aggregate(of_letter, s.whole, lambda v, k: (v + v.bitwiseAND(k)).bitwiseOR(v - v.bitwiseAND(k)).bitwiseAND(s.whole))
+        return F.size(s.places) - F.bit_count(row)
+
+    def judged(s: Column) -> Column:
+        places = F.transform(s.second, lambda c, i: F.struct(c.alias("c"), bit(i).alias("bit")))
+        bits = _held(F.struct(s.first.alias("first"), places.alias("places"), (bit(F.size(s.second)) - 1).alias("whole")), by_bits)
+        return F.when(F.size(s.second) <= ROW_BITS, bits).otherwise(_common_by_rows(s.first, s.second))
+
+    shorter = F.length(a) <= F.length(b)
+    return _held(F.struct(letters(F.when(shorter, b).otherwise(a)).alias("first"), letters(F.when(shorter, a).otherwise(b)).alias("second")), judged)
+
+
 def token_sort_similarity(a: Column, b: Column) -> Column:
     """STR-13: 2 * LCS / (both lengths) of the names' sorted tokens; 0 if either is empty."""
     x, y = sorted_tokens(a), sorted_tokens(b)

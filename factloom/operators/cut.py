@@ -19,23 +19,16 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder that ``spark.checkpoint.dir`` names, so that what builds on it neither computes it
-    again nor loses it with an executor; without such a folder, cached."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        return df.cache()
-    path = scratch(spark, label)
+    """``df`` as a table in the folder of scratch(), so that what builds on it neither computes it again nor loses it with an executor."""
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
 def let_go(df: DataFrame) -> None:
     """Deletes a table of cut() that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_cut_path", None)
-    if path:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    else:
-        df.unpersist()
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators.cut import cut, let_go
+from factloom.operators import graph
+from factloom.operators.cut import cut
 
 # What matches score, the decision bands, and the search's bounds.
 CIN_SCORE, GSTIN_SCORE, DOMAIN_SCORE, EMAIL_SCORE = 1.0, 0.95, 0.75, 0.60
@@ -15,7 +16,9 @@ SAME, LIKE = 0.98, 0.85
 AUTO, REVIEW = 0.90, 0.50
 CANDIDATES, LEAST_SIMILARITY = 10, 0.3
 #: Similarities above which names are looked for first.
-STEPS = (0.8, 0.55)
+STEPS = (0.55,)
+#: Names of one trigram that meet in a task at most, on each side.
+CHUNK = 4000
 SIGNALS = ("cin", "gstin", "domain", "name", "state", "postal", "email_domain")
 
 
@@ -50,42 +53,65 @@ def exact_candidates(records: DataFrame, companies: DataFrame, cap: int | None =
     return found if cap is None else _first(found, "record_id", [F.asc("company_id")], cap)
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.select("name").filter(F.col("name").isNotNull()).distinct()
-
-
-def ranked_trigrams(names: DataFrame) -> DataFrame:
-    """(name, t): distinct names with their trigrams, the rarest first."""
-    named = _named(names)
-    pieces = named.select("name", F.explode(text.trigrams(F.col("name"))).alias("piece"))
+def ranked_trigrams(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id, name, t, often, size, bits, on_left, on_right): distinct names with their trigrams, the rarest first, how many names have each,
+    128 bits of which each trigram sets one, and the sides they are on. Ids are numbers that only the table they are written to keeps."""
+    sides = left.select("name", F.lit(True).alias("l"), F.lit(False).alias("r")).union(right.select("name", F.lit(False), F.lit(True)))
+    names = sides.filter("name IS NOT NULL").groupBy("name").agg(F.max("l").alias("on_left"), F.max("r").alias("on_right"))
+    pieces = names.select("*", F.explode(text.trigrams(F.col("name"))).alias("piece"))
     often = pieces.groupBy("piece").agg(F.count("*").alias("n"))
     each = F.sort_array(F.collect_list(F.struct("n", "piece")))  # of one name, so as long as it
-    return pieces.join(often, "piece").groupBy("name").agg(F.transform(each, lambda x: x.piece).alias("t"))
-
-
-def _pairs_above(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """Of ranked trigrams: pairs of names more similar than ``least``.
-
-    Names that are share one of the rarest ``n - floor(least * n)`` trigrams of both, so common trigrams join nothing; a pair counts
-    at its first one, so none is counted twice and nothing is added up."""
-
-    def side(df: DataFrame, s: str) -> DataFrame:
-        prefix = F.col("t_size") - F.floor(least * F.col("t_size") - 1e-9)
-        rows = df.select(F.col("name").alias(f"{s}_name"), F.col("t").alias(f"{s}_t"), F.size("t").alias("t_size"))
-        rows = rows.withColumn(f"{s}_head", F.slice(f"{s}_t", F.lit(1), prefix.cast("int"))).drop("t_size")
-        return rows.withColumn("piece", F.explode(f"{s}_head"))
-
-    n, m = F.size("left_t"), F.size("right_t")
-    pairs = side(left, "left").join(side(right, "right"), "piece").filter(F.least(n, m) > least * F.greatest(n, m))
-    pairs = pairs.filter(F.get(F.array_intersect("left_head", "right_head"), F.lit(0)) == F.col("piece"))
-    common = F.size(F.array_intersect("left_t", "right_t"))
-    return pairs.select("left_name", "right_name", (common / (n + m - common)).alias("similarity")).filter(F.col("similarity") > least)
+    rows = pieces.join(often, "piece").groupBy("name", "on_left", "on_right").agg(each.alias("e"))
+    rows = rows.select(F.monotonically_increasing_id().alias("id"), "name", F.col("e.piece").alias("t"), F.col("e.n").alias("often"), F.size("e").alias("size"), "on_left", "on_right")
+
+    def half(bits: int) -> Column:
+        own = F.filter(F.transform("t", lambda p: F.pmod(F.xxhash64(p), F.lit(128)).cast("int")), lambda x: F.shiftright(x, 6) == bits)
+        one = lambda held, x: held.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63))))
+        return F.aggregate(own, F.lit(0).cast("long"), one)
+
+    return rows.withColumn("bits", F.struct(half(0).alias("low"), half(1).alias("high")))
+
+
+def _prefixes(side: DataFrame, least: float, own: str, other: str, smaller: int) -> DataFrame:
+    """Rows of a name's rarest trigrams, of which one at least is shared with any partner more similar than ``least``: a partner that isn't
+    smaller shares more than 2 * least / (1 + least) of this name's trigrams, any other one ``least`` of them. In the join of
+    kind ``smaller`` this side's name is not the greater one, so the fewer rows are enough.
+
+    Rows of a trigram that many names have are dealt into chunks by id, each a copy for every chunk of the other side, so that any
+    two chunks meet once, and no task gets all of them."""
+    short, long = ((F.col("size") - F.floor(share * F.col("size") - 1e-9)).cast("int") for share in (2 * least / (1 + least), least))
+    head = F.arrays_zip(F.slice("t", F.lit(1), long).alias("piece"), F.slice("often", F.lit(1), long).alias("n"))
+    rows = side.select("id", "size", "bits", short.alias("short"), F.posexplode(head).alias("place", "p"))
+    kinds = F.when(F.col("place") < F.col("short"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1 - smaller)))
+    chunks = F.ceil(F.col("p.n") / CHUNK).cast("int")
+    rows = rows.select(F.struct("id", "size", "bits", "place").alias(own), F.xxhash64("p.piece").alias("piece"), F.pmod("id", chunks).cast("int").alias(own + "_chunk"), chunks.alias("chunks"), F.explode(kinds).alias("kind"))
+    return rows.select(own, "piece", own + "_chunk", "kind", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias(other + "_chunk"))
+
+
+def _pairs_above(ranked: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left_name, right_name, similarity) of names more similar than ``least``; ``left`` and ``right`` are rows of ``ranked``.
+
+    Names that are share one of the rarest trigrams of both. What meets there is judged by numbers only: by sizes, by how many trigrams
+    can still be shared behind the first one's places, and by the bits that differ, as each of these needs a trigram of
+    one name alone. Trigrams themselves travel for the pairs that are left."""
+    a, b = _prefixes(left, least, "a", "b", 0), _prefixes(right, least, "b", "a", 1)
+    n, m = F.col("a.size"), F.col("b.size")
+    needed = least / (1 + least) * (n + m) - 1e-9
+    sized = ((F.col("kind") == 0) == (n <= m)) & (F.least(n, m) > least * F.greatest(n, m))
+    differ = sum(F.bit_count(F.col(f"a.bits.{x}").bitwiseXOR(F.col(f"b.bits.{x}"))) for x in ("low", "high"))
+    near = a.hint("merge").join(b, ["piece", "kind", "a_chunk", "b_chunk"]).filter(sized & (F.least(n - F.col("a.place"), m - F.col("b.place")) > needed) & (differ < n + m - 2 * needed))
+    found = near.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    whole = lambda s: ranked.select(F.col("id").alias(f"{s}_id"), F.struct("name", "t").alias(s))
+    pairs = found.distinct().join(whole("a"), "a_id").join(whole("b"), "b_id")
+    common = F.size(F.array_intersect("a.t", "b.t"))
+    similarity = common / (F.size("a.t") + F.size("b.t") - common)
+    return pairs.select(F.col("a.name").alias("left_name"), F.col("b.name").alias("right_name"), similarity.alias("similarity")).filter(F.col("similarity") > least)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """JN-07, STR-14: (left_name, right_name, similarity) over distinct names, by shared trigrams."""
-    ranked = ranked_trigrams(left.select("name").union(right.select("name")))
-    return _pairs_above(ranked.join(_named(left), "name", "left_semi"), ranked.join(_named(right), "name", "left_semi"), least)
+    ranked = cut(ranked_trigrams(left, right), "trigrams")
+    return _pairs_above(ranked, ranked.filter("on_left"), ranked.filter("on_right"), least)
 
 
 def fuzzy_candidates(records: DataFrame, companies: DataFrame, top: int = CANDIDATES, least: float = LEAST_SIMILARITY) -> DataFrame:
@@ -94,17 +120,19 @@ def fuzzy_candidates(records: DataFrame, companies: DataFrame, top: int = CANDID
     Thresholds go down in ``STEPS``: a name that has found ``top`` companies above one has found its best, and looks no
     further, so that all but the odd names never meet the many that are hardly alike. Of companies with one name the first
     ``top`` can count."""
-    ranked = cut(ranked_trigrams(records.select("name").union(companies.select("name"))), "trigrams")
+    ranked = cut(ranked_trigrams(records, companies), "trigrams")
+    left, right = ranked.filter("on_left"), ranked.filter("on_right")
     owners = _first(companies.select("company_id", F.col("name").alias("right_name")).filter("right_name IS NOT NULL"), "right_name", [F.asc("company_id")], top)
-    right, left = ranked.join(_named(companies), "name", "left_semi"), ranked.join(_named(records), "name", "left_semi")
     best, found = [F.desc("similarity"), F.asc("company_id")], None
     for step in [x for x in STEPS if x > least] + [least]:
-        pairs = _pairs_above(left, right, step).join(owners, "right_name").select("left_name", "company_id", "similarity")
-        now = cut(_first(pairs, "left_name", best, top), "similar")
-        full = now.groupBy(F.col("left_name").alias("name")).count().filter(F.col("count") >= top)
-        done = now if step == least else now.join(full, now.left_name == full.name, "left_semi")
-        found = done if found is None else found.union(done)
-        left = left.join(full, "name", "left_anti")
+        pairs = _pairs_above(ranked, left, right, step).join(owners, "right_name").select("left_name", "company_id", "similarity")
+        now = _first(pairs, "left_name", best, top)
+        if step > least:
+            now = cut(now, "similar")
+            full = now.groupBy(F.col("left_name").alias("name")).count().filter(F.col("count") >= top)
+            left = left.join(full, "name", "left_anti")
+            now = now.join(full, now.left_name == full.name, "left_semi")
+        found = now if found is None else found.union(now)
     return records.select("record_id", F.col("name").alias("left_name")).join(found, "left_name").select("record_id", "company_id", "similarity")
 
 
@@ -177,27 +205,10 @@ def review(queue: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def first_come(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """§ order-dependent creation: nodes (id, in order of arrival) and edges (earlier, later) that score for review or
-    more. A node is new unless an earlier neighbour is; the rest goes to review. In rounds: open nodes without an open earlier
-    neighbour are new, their later neighbours go to review, and both leave with their edges, so a round only touches what is
-    still open."""
-    touched = edges.select(F.col("earlier").alias("id")).union(edges.select("later")).distinct()
-    out = nodes.select("id").join(touched, "id", "left_anti").select("id", F.lit("new").alias("state"))  # no neighbour at all
-    still, left = cut(nodes.select("id").join(touched, "id", "left_semi"), "open"), cut(edges.select("earlier", "later").distinct(), "edges")
-    while True:
-        behind = left.select(F.col("later").alias("id")).distinct()
-        new = still.join(behind, "id", "left_anti").select("id", F.lit("new").alias("state"))
-        reviewed = left.join(new.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"), F.lit("review").alias("state")).distinct()
-        now = cut(new.union(reviewed), "first-come")
-        out = out.union(now)
-        done, before = now.select("id"), (still, left)
-        still = cut(still.join(done, "id", "left_anti"), "open")
-        if not still.limit(1).count():
-            return out
-        left = left.join(done.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(done.withColumnRenamed("id", "later"), "later", "left_anti")
-        left = cut(left.select("earlier", "later"), "edges")
-        for table in before:
-            let_go(table)
+    """ER-09, order-dependent creation: nodes (id, in order of arrival) and edges (earlier, later) that score for review or more. A
+    node is new unless an earlier neighbour is; the rest goes to review."""
+    behind = graph.behind_first(edges).select("id", F.lit("review").alias("state"))
+    return nodes.select("id").join(behind, "id", "left").select("id", F.coalesce("state", F.lit("new")).alias("state"))
 
 
 def decision_counts(resolved: DataFrame, failures: DataFrame | None = None) -> DataFrame:

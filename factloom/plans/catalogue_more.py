@@ -597,6 +597,29 @@ def er_decisions(t: Tables) -> DataFrame:
     return resolution.outcomes(resolution.resolve(records, companies)).select("record_id", "decision", "outcome", "new_company_id")
 
 
+_OWN = {"cin": "CASE WHEN c_custkey % 10 = 0 THEN concat('c', c_custkey % 100) END", "gstin": "concat('g', CAST(floor((c_custkey + 1) / 2) AS INT))", "domain": "concat('d', CAST(floor(c_custkey / 2) AS INT))"}
+
+
+@query(
+    "WITH RECURSIVE r AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 0 THEN concat('C', c_custkey % 100) END AS cin, (c_custkey + 1) // 2 AS gstin, c_custkey // 2 AS domain FROM customer), "
+    "found AS (SELECT x.k AS later, y.k AS earlier, greatest(CASE WHEN x.cin = y.cin THEN 1.0 ELSE 0 END, CASE WHEN x.gstin = y.gstin THEN 0.95 ELSE 0 END, CASE WHEN x.domain = y.domain THEN 0.75 ELSE 0 END) AS score "
+    "FROM r x JOIN r y ON x.cin = y.cin OR x.gstin = y.gstin OR x.domain = y.domain QUALIFY row_number() OVER (PARTITION BY x.k ORDER BY y.k) <= 10), "
+    "edges AS (SELECT * FROM found WHERE earlier < later), "
+    "arrived AS (SELECT r.k, row_number() OVER (ORDER BY r.k) AS n, coalesce(list(earlier) FILTER (WHERE earlier IS NOT NULL), []) AS before FROM r LEFT JOIN edges ON later = r.k GROUP BY r.k), "
+    "fold AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS new UNION ALL SELECT a.n, CASE WHEN list_has_any(f.new, a.before) THEN f.new ELSE list_append(f.new, a.k) END FROM fold f JOIN arrived a ON a.n = f.n + 1), "
+    "firsts AS (SELECT unnest(new) AS k FROM (SELECT new FROM fold ORDER BY n DESC LIMIT 1)), "
+    "best AS (SELECT later, earlier, score FROM edges JOIN firsts ON firsts.k = earlier QUALIFY row_number() OVER (PARTITION BY later ORDER BY score DESC, earlier) = 1) "
+    "SELECT r.k AS record_id, CASE WHEN f.k IS NOT NULL THEN r.k ELSE earlier END AS into_id, CASE WHEN f.k IS NULL THEN CAST(score AS DOUBLE) END AS score "
+    "FROM r LEFT JOIN firsts f ON f.k = r.k LEFT JOIN best ON later = r.k"
+)
+def er_own_batch(t: Tables) -> DataFrame:
+    """ER-09: a batch resolved against itself, in order of arrival; each customer shares a number with the one before, so that one chain
+    runs through them all."""
+    made = t.table("customer").selectExpr("c_custkey AS record_id", *(f"{e} AS {n}" for n, e in _OWN.items()), *(f"CAST(NULL AS STRING) AS {n}" for n in ("name", "state", "postal", "email_domain")))
+    out = ingest.among_themselves(resolution.folded(made, "record_id"))
+    return out.select("record_id", F.col("into").alias("into_id"), "score")
+
+
 @query(
     f"WITH RECURSIVE {_BEST} SELECT count(*) FILTER (WHERE o = 'create') AS new_companies, count(*) FILTER (WHERE o = 'attach') AS existing_companies, count(*) FILTER (WHERE o = 'queue') AS ambiguous_matches, "
     f"count(*) FILTER (WHERE o = 'drop') AS no_match, (SELECT count(*) FROM part WHERE p_partkey % 9 = 0) AS parsing_failures FROM (SELECT {_OUTCOME} AS o FROM resolved)"

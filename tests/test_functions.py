@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,3 +70,27 @@ def test_formats(spark):
     rows = [(None,), (12_345_678.0,), (250_000.0,), (999.0,)]
     assert [r.y for r in spark.createDataFrame(rows, "x double").select(values.format_inr(F.col("x")).alias("y")).collect()] == ["Unknown", "₹1.23 Cr", "₹2.50 L", "₹999"]
     assert one(spark, values.confidence_label, 0.4, "double") == "medium"
+
+
+def test_token_sort_similarity_of_long_and_short_texts(spark):
+    pick = random.Random(9)
+    letters = lambda n: "".join(pick.choice("ab cé") for _ in range(n))
+    rows = [(letters(pick.randint(0, 20)), letters(pick.randint(0, 20))) for _ in range(40)] + [(letters(a), letters(b)) for a, b in ((62, 90), (63, 64), (120, 61), (90, 90))] + [(None, "a"), ("", "")]
+
+    def of(a, b):
+        x, y = (" ".join(sorted((s or "").split())) for s in (a, b))
+        if not x or not y:
+            return 0.0
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = [0, *_next(row, c, y)]
+        return 2.0 * row[-1] / (len(x) + len(y))
+
+    def _next(above, c, y):
+        left = 0
+        for j, d in enumerate(y):
+            left = above[j] + 1 if c == d else max(left, above[j + 1])
+            yield left
+
+    got = spark.createDataFrame(rows, "a string, b string").select(text.token_sort_similarity(F.col("a"), F.col("b"))).collect()
+    assert [round(r[0], 9) for r in got] == [round(of(a, b), 9) for a, b in rows]
