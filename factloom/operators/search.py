@@ -170,14 +170,27 @@ SAVED_KEYS = frozenset({"name", "filter_json", "country_scope", "source_scope",
 
 
 def run_saved(companies: DataFrame, saved: dict, observations: DataFrame | None = None, key: str = "company_id") -> DataFrame:
-    """A saved search: its filter as JSON, scopes, sort and handling. A scope of sources needs the observations."""
+    """A saved search: its filter as JSON, scopes, sort, handling and fields. A scope of sources needs the observations.
+
+    Where unknown rows are asked for separately, ``bucket`` tells them from the results; each of the two has a page of its own. Without
+    ``selected_fields`` all columns are returned, with them these alone, behind the bucket."""
     if unknown := sorted(set(saved) - SAVED_KEYS):
         raise tree.InvalidFilterConditionError(f"unknown keys: {', '.join(unknown)}")
     if saved.get("source_scope") and observations is None:
         raise tree.InvalidFilterConditionError("a scope of sources needs observations")
-    scoped = in_scope(companies, key, saved.get("country_scope"), observations, saved.get("source_scope"))
-    sort = [tuple(x) for x in saved.get("sort", [])] or None
-    return advanced(scoped, tree.loads(saved["filter_json"]), key, sort, saved.get("handling", DEFINITE_AND_POSSIBLE), saved.get("offset", 0), saved.get("limit", PAGE))
+    handling = saved.get("handling", DEFINITE_AND_POSSIBLE)
+    if handling not in (DEFINITE_ONLY, DEFINITE_AND_POSSIBLE, UNKNOWN_SEPARATELY):
+        raise tree.InvalidFilterConditionError(f"unknown handling: {handling}")
+    node, sort = tree.loads(saved["filter_json"]), [tuple(x) for x in saved.get("sort", [])] or None
+    offset, limit = saved.get("offset", 0), saved.get("limit", PAGE)
+    scopes = {"countries": saved.get("country_scope"), "observations": observations, "sources": saved.get("source_scope")}
+    out = advanced(in_scope(companies, key, **scopes), node, key, sort, handling, offset, limit)
+    apart = handling == UNKNOWN_SEPARATELY
+    if apart:
+        rest = unknown_bucket(companies, node, key, sort, offset, limit, **scopes).withColumns({"match_strength": F.lit("unknown"), "bucket": F.lit("unknown")})
+        out = out.withColumn("bucket", F.lit("results")).unionByName(rest)
+    fields = saved.get("selected_fields")
+    return selected(out, [*fields, *(["bucket"] if apart and "bucket" not in fields else [])]) if fields else out
 
 
 def with_unknown(

@@ -419,8 +419,8 @@ _SAVED = G("AND", C("employees", ">=", 6), C("state", "!=", "nation_3"))
 )
 def saved_search_scopes(t: Tables) -> DataFrame:
     """FLT-29, FLT-30, PRJ-05, JSN-01: a saved search within countries and sources."""
-    saved = {"name": "mine", "filter_json": tree.dumps(_SAVED), "country_scope": ["AM", "AF", "EU"], "source_scope": [2, 5, 8], "sort": [["state", "asc"]], "offset": 3, "limit": 150}
-    return search.selected(search.run_saved(t.view("companies"), saved, t.view("observations")), ["company_id", "state", "match_strength"])
+    saved = {"name": "mine", "filter_json": tree.dumps(_SAVED), "country_scope": ["AM", "AF", "EU"], "source_scope": [2, 5, 8], "sort": [["state", "asc"]], "offset": 3, "limit": 150, "selected_fields": ["company_id", "state", "match_strength"]}
+    return search.run_saved(t.view("companies"), saved, t.view("observations"))
 
 
 _PRODUCTS = "CASE company_id % 5 WHEN 0 THEN array('Steel Pipes', 'Bolts') WHEN 1 THEN array('steel_rod') WHEN 2 THEN array('pipe') WHEN 3 THEN array() END"
