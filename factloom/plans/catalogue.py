@@ -755,12 +755,12 @@ def entry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from factloom.plans import catalogue_checks, catalogue_more, catalogue_streams  # noqa: F401  register their own
+    from factloom.plans import catalogue_checks, catalogue_more, catalogue_store, catalogue_streams  # noqa: F401  register their own
 
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from factloom.plans import catalogue_checks, catalogue_more, catalogue_streams  # noqa: F401  register their own
+    from factloom.plans import catalogue_checks, catalogue_more, catalogue_store, catalogue_streams  # noqa: F401  register their own
 
     return ORACLES
