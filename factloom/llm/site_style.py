@@ -26,8 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import html as markup
+import operator
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,6 +113,8 @@ class Page:
         self.tag, self.parent, self.key, self.named, self.noise = ["#"], [0], [0], [False], [False]
         self.parts: list[tuple[int, str | None]] = []  # (element, text; None at a block's edge)
         self.open: Counter[str] = Counter()  # elements on the stack, by tag
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # and where on the stack they are
+        self.blocks: list[int] = []  # places of open blocks
         stack, at, n = [0], 0, len(html)
         while at < n:
             m = TAG.search(html, at)
@@ -155,8 +158,11 @@ class Page:
         titled = (name == "header" or role == "banner") and (self.open["article"] or self.open["main"])  # an article's own
         noise = (name in CUT or role in ROLES) and not titled
         self.noise.append(bool(noise or names and name not in ("html", "body", "main", "article") and _telling(names)))
-        stack.append(len(self.tag) - 1)
         self.open[self.tag[-1]] += 1
+        self.places[self.tag[-1]].append(len(stack))
+        if self.tag[-1] in BLOCK:
+            self.blocks.append(len(stack))
+        stack.append(len(self.tag) - 1)
         if name in BLOCK:
             self.parts.append((stack[-1], None))
         elif name == "br":
@@ -175,28 +181,23 @@ class Page:
     def _end(self, stack: list[int], depth: int) -> None:
         for i in stack[depth:]:
             self.open[self.tag[i]] -= 1
+            self.places[self.tag[i]].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
         del stack[depth:]
 
     def _imply(self, stack: list[int], name: str) -> None:
         """Ends what the start of ``name`` ends: an open paragraph, an item before its next."""
-        if name in BLOCK and name not in ("html", "body"):
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[depth]]
-                if tag == "p":
-                    self.parts.append((stack[depth], None))
-                    self._end(stack, depth)
-                    break
-                if tag in BLOCK:
-                    break
+        if name in BLOCK and name not in ("html", "body") and self.blocks and self.tag[stack[self.blocks[-1]]] == "p":
+            self._cut(stack, self.blocks[-1])
         if name in CLOSES:
-            for depth in range(len(stack) - 1, 0, -1):
-                tag = self.tag[stack[depth]]
-                if tag in STOPS[name]:
-                    break
-                if tag in CLOSES[name]:
-                    self.parts.append((stack[depth], None))
-                    self._end(stack, depth)
-                    break
+            last = lambda tags: max((self.places[t][-1] for t in tags if self.open[t]), default=0)
+            if (depth := last(CLOSES[name])) > last(STOPS[name]):
+                self._cut(stack, depth)
+
+    def _cut(self, stack: list[int], depth: int) -> None:
+        self.parts.append((stack[depth], None))
+        self._end(stack, depth)
 
     def nodes(self) -> Iterator[tuple[int, int, int]]:
         """(node, kind, feature): kind 0 the node itself, 1 its style, 2 a text that stands in it."""
@@ -221,12 +222,12 @@ class Page:
         marked = [t in ("article", "main") for t in self.tag]
         for i in range(1, n):
             marked[i] = marked[i] and not self.noise[i] or marked[self.parent[i]]
-        whole = not any(marked[i] and not self._inside_noise(i) for i in range(1, n))
+        plain = self._kept([False] * n)
+        whole = not any(map(operator.and_, marked, plain))
         branch = [k in low for k in self.key]
         for i in range(n - 1, 0, -1):
             if not branch[i]:
                 branch[self.parent[i]] = False
-        plain = self._kept([False] * n)
         if any(branch):
             heading = lambda i: not whole and marked[i] and self.tag[i] in HEADINGS and not self.named[i]
             judged = self._kept([b and self.tag[i] in BLOCK and not heading(i) for i, b in enumerate(branch)])
@@ -250,13 +251,6 @@ class Page:
             kept[i] = kept[self.parent[i]] and not self.noise[i] and not low[i]
         return kept
 
-    def _inside_noise(self, i: int) -> bool:
-        while i:
-            if self.noise[i]:
-                return True
-            i = self.parent[i]
-        return False
-
 
 def host_of(url: Column) -> Column:
     found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

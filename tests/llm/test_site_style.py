@@ -119,3 +119,16 @@ def test_a_very_long_page_and_ties(spark):
     rows = [(1, "http://a/", f"<body>{long}</body>", ""), (2, "http://a/", None, ""), (2, "http://a/", None, "")]
     out = {r.page_id: r.text for r in S.extract_main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert out[2] == "" and len(out[1]) == len("word " * 400_000) - 1 + 3 * 20_000
+
+
+def test_pages_of_unclosed_elements_are_read_in_linear_time():
+    import time
+
+    for piece, text in (("<b><p>word ", "word"), ("<i><td>cell ", "cell"), ("<span><li>item ", "item"), ("<article><aside><i>x", "")):
+        html = piece * (1_000_000 // len(piece))
+        began = time.thread_time()
+        page = S.Page(html)
+        found = page.main_text()
+        list(page.nodes())
+        assert time.thread_time() - began < 12, piece
+        assert found.split("\n\n")[:3] == [text] * 3 if text else found == ""
