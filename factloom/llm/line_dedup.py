@@ -97,7 +97,9 @@ def runs(sequence: DataFrame, levels: int) -> DataFrame:
     """The shortest runs that can be repeated, (k, th, first line, last line, name of the run: its length and two ranks)."""
     forward = F.transform(F.filter("a", lambda x: x.stop.isNotNull()), lambda x: F.struct(x.i.alias("s"), x.stop.alias("t")))
     backward = F.transform(F.filter("a", lambda x: x.begin.isNotNull()), lambda x: F.struct(x.begin.alias("s"), x.i.alias("t")))
-    spans = sequence.select("k", "th", "a", F.array_distinct(F.concat(forward, backward)).alias("spans"))
+    # a run that ends at a line is one that begins at another, unless that one's stops elsewhere: looked up, so that lines cost no pairs
+    backward = F.filter(backward, lambda x: ~F.col("a")[x.s - 1].stop.eqNullSafe(x.t))
+    spans = sequence.select("k", "th", "a", F.concat(forward, backward).alias("spans"))
 
     def named(x: Column) -> Column:
         long = x.t - x.s + 1
@@ -146,11 +148,13 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     held = held.withColumn("th", F.xxhash64("text"))
     joined = held.join(gone, held.k.eqNullSafe(gone["__k"]) & (held.th == gone["__th"]), "left")
     lines = F.split("text", "\n")
-    inside = lambda _, i: ~F.exists("__gone", lambda g: (g.s <= i) & (i <= g.t))
-    left = joined.select(
+    # what lies before, between and behind the stretches, which are apart and in order
+    begins, ends = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda g: g.t + 1)), F.concat(F.transform("__gone", lambda g: g.s), F.array(F.size("lines")))
+    between = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: F.slice("lines", x.a + 1, F.greatest(x.b - x.a, F.lit(0))))
+    left = joined.withColumn("lines", lines).select(
         "row",
-        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, inside), "\n")).alias("text"),
-        F.coalesce(F.size(F.when(F.col("text").isNotNull(), lines)), F.lit(0)).alias("lines"),
+        F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n")).alias("text"),
+        F.coalesce(F.size(F.when(F.col("text").isNotNull(), F.col("lines"))), F.lit(0)).alias("lines"),
         F.coalesce(F.aggregate("__gone", F.lit(0), lambda n, g: n + (g.t - g.s + 1).cast("int")), F.lit(0)).alias("removed"),
     )
     out = [F.col("row")[c].alias(c) if c in others else F.col("text").alias(text) for c in docs.columns if c in others or c == text]

@@ -95,3 +95,17 @@ def test_ranks_are_those_of_sorted_prefixes(spark):
         assert set(got) == {at for at, p in prefix.items() if p in often}
         by_rank = sorted({(r, prefix[at]) for at, r in got.items()})
         assert len(by_rank) == len(often) == len({r for r, _ in by_rank}) and [p for _, p in by_rank] == sorted(often)
+
+
+def test_texts_of_very_many_lines_and_stretches(spark):
+    import time
+
+    repeated = " ".join(f"r{i}" for i in range(50))
+    distinct = "\n".join(f"line number {i} of many" for i in range(100_000))
+    islands = "\n".join(f"{repeated} {i}\nown {i}" for i in range(20_000))
+    copy = "\n".join(f"{repeated} {i}\nother {i}" for i in range(20_000))
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in _run(spark, [(1, distinct), (2, islands), (3, copy)], 50).collect()}
+    assert time.time() - began < 240
+    assert got[1][:2] == (100_000, 0) and got[1][2] == distinct and got[2][1] == 0
+    assert got[3][:2] == (40_000, 20_000) and got[3][2] == "\n".join(f"other {i}" for i in range(20_000))
