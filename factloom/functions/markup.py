@@ -8,14 +8,22 @@ gives the element's own text nodes, "::attr(x)" an attribute, neither its whole
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
-from html.parser import HTMLParser
+from html import unescape
 
 # Elements without an end, and those that another of the same kind ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = frozenset("li p dt dd option tr td th".split())
+# Elements whose text is taken as it stands.
+VERBATIM = frozenset("script style".split())
 
 _STEP = re.compile(r"([A-Za-z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+#: Comments and declarations, end tags, start tags with what is quoted in them; a tag that never ends goes with the rest.
+_TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<end>[A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[A-Za-z][^>]*(?:>|\Z)""", re.S
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _XPATH_STEP = re.compile(r"//?([A-Za-z][\w-]*|\*)((?:\[@[\w-]+\s*=\s*(?:'[^']*'|\"[^\"]*\")\])*)")
 
 
@@ -73,63 +81,92 @@ def xpath(expression: str) -> Path:
     return Path(tuple(steps), wanted)
 
 
-class _Reader(HTMLParser):
-    """Collects, for each path, the texts of the elements that it leads to."""
+class _Reader:
+    """Collects, for each path, the texts of the elements that it leads to: all of a path's text by where it begins and ends."""
 
     def __init__(self, paths: list[Path]):
-        super().__init__(convert_charrefs=True)
         self.paths, self.found = paths, [[] for _ in paths]
-        self.stack: list[tuple[str, list[set[int]], list[tuple[int, int]]]] = []  # tag, steps reached by path, open (path, place)
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in SELF_CLOSING and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
-        attributes = {k: v or "" for k, v in attrs}
-        above = self.stack[-1][1] if self.stack else [set() for _ in self.paths]
-        direct = self.stack[-1][2] if self.stack else []
-        reached, opened = [], [x for x in direct if self.paths[x[0]].wanted == "all"]
-        for p, path in enumerate(self.paths):
-            held = {abs(n) for n in above[p]}
-            now = {-n for n in held}  # minus: reached above this element, not by it
-            for n in {0, *held}:
-                if n < len(path.steps) and path.steps[n].fits(tag, attributes) and not (path.steps[n].child and n not in above[p]):
-                    if n + 1 < len(path.steps):
-                        now.discard(-(n + 1))
-                        now.add(n + 1)
-                    elif path.wanted.startswith("@"):
-                        if path.wanted[1:] in attributes:
-                            self.found[p].append(attributes[path.wanted[1:]])
-                    else:
-                        opened.append((p, len(self.found[p])))
-                        self.found[p].append([] if path.wanted == "text" else [""])
-            reached.append(now)
-        if tag not in VOID:
-            self.stack.append((tag, reached, opened))
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        for p, place in self.stack[-1][2] if self.stack else ():
-            held = self.found[p][place]
-            if self.paths[p].wanted == "text":
-                held.append(data)
+        #: By tag, the (path, place of a step) that its elements may fit.
+        steps = [(p, n, s) for p, path in enumerate(paths) for n, s in enumerate(path.steps)]
+        self.steps = {t: [x for x in steps if x[2].tag in ("*", t)] for t in {s.tag for _, _, s in steps} | {"*"}}
+        #: Open elements: tag, steps reached by them or above, by them alone, (path, place) whose text they are.
+        self.stack: list[tuple[str, frozenset, frozenset, list[tuple[int, int]]]] = [("", frozenset(), frozenset(), [])]
+        self.open: Counter[str] = Counter()  # elements on the stack, by tag
+        self.parts: list[str] = []
+        self.size = 0
+
+    def feed(self, html: str) -> None:
+        at = 0
+        for m in iter(lambda: _TAG.search(html, at), None):
+            self.data(unescape(html[at : m.start()]))
+            at = m.end()
+            if m["end"]:
+                self.close(m["end"].lower())
+            elif m["tag"]:
+                tag = m["tag"].lower()
+                self.start(tag, m["rest"])
+                if tag in VERBATIM and not m["rest"].endswith("/"):
+                    end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                    self.data(html[at : end.start() if end else len(html)])
+                    at = end.start() if end else len(html)
+        self.data(unescape(html[at:]))
+        self.pop(1)
+
+    def start(self, tag: str, rest: str) -> None:
+        if tag in SELF_CLOSING and self.stack[-1][0] == tag:
+            self.pop(len(self.stack) - 1)
+        _, held, direct, _ = self.stack[-1]
+        reached, opened, attributes = frozenset(), [], None
+        for p, n, step in self.steps.get(tag, self.steps["*"]):
+            if n and (p, n) not in (direct if step.child else held):
+                continue
+            if attributes is None:
+                attributes = {k.lower(): unescape(x or y or z) for k, x, y, z in _ATTRIBUTE.findall(rest)[::-1]}
+            if not step.fits(tag, attributes):
+                continue
+            path = self.paths[p]
+            if n + 1 < len(path.steps):
+                reached |= {(p, n + 1)}
+            elif path.wanted.startswith("@"):
+                if path.wanted[1:] in attributes:
+                    self.found[p].append(attributes[path.wanted[1:]])
             else:
-                held[0] += data
+                opened.append((p, len(self.found[p])))
+                self.found[p].append([] if path.wanted == "text" else (self.size, None))
+        if tag not in VOID:
+            self.open[tag] += 1
+            self.stack.append((tag, held | reached if reached else held, reached, opened))
+            if rest.endswith("/"):
+                self.pop(len(self.stack) - 1)
+
+    def close(self, tag: str) -> None:
+        if self.open[tag]:
+            depth = len(self.stack) - 1
+            while self.stack[depth][0] != tag:  # what is passed here ends with it
+                depth -= 1
+            self.pop(depth)
+
+    def pop(self, depth: int) -> None:
+        for tag, _, _, own in self.stack[depth:]:
+            self.open[tag] -= 1
+            for p, place in own:
+                if self.paths[p].wanted == "all":
+                    self.found[p][place] = (self.found[p][place][0], self.size)
+        del self.stack[depth:]
+
+    def data(self, data: str) -> None:
+        if data:
+            self.parts.append(data)
+            self.size += len(data)
+            for p, place in self.stack[-1][3]:
+                if self.paths[p].wanted == "text":
+                    self.found[p][place].append(data)
 
 
 def texts(html: str | None, paths: list[Path]) -> list[list[str]]:
     """Each path's texts in page order; blank ones are left out."""
     reader = _Reader(paths)
     reader.feed(html or "")
-    reader.close()
-    flat = ([t for x in found for t in ([x] if isinstance(x, str) else x)] for found in reader.found)
+    text = "".join(reader.parts)
+    flat = ([t for x in found for t in ([x] if isinstance(x, str) else [text[slice(*x)]] if isinstance(x, tuple) else x)] for found in reader.found)
     return [[t for t in found if t.strip()] for found in flat]

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import filter_tree as tree, search, validation
+from factloom.operators.cut import scratch
 from factloom.plans import filter_sql
 from factloom.plans.bridge import Tables
 from factloom.plans.catalogue import C, G, query
+from factloom.sources import adapters, numbered
 
 _FIELDS = (*tree.FIELDS, "colour")
 _KINDS = (*tree.OPERATORS, "colour")
@@ -124,3 +126,26 @@ def saved_search_unknown(t: Tables) -> DataFrame:
     }
     return search.run_saved(t.view("companies"), saved, t.view("observations"))
 
+
+
+@query(
+    """WITH n AS (SELECT c_custkey AS k, c_custkey % 8 AS g, row_number() OVER (PARTITION BY c_custkey % 8 ORDER BY c_custkey) - 1 AS row FROM customer)
+    SELECT k, g, row, CASE WHEN k % 5 = 0 THEN concat('C', CAST(k AS VARCHAR)) ELSE concat('row-', CAST(row AS VARCHAR)) END AS ref, CAST(NULL AS VARCHAR) AS line FROM n WHERE k % 17 <> 0
+    UNION ALL SELECT k, g, row, NULL, concat('Customer ', CAST(k AS VARCHAR), ',,', CAST(k AS VARCHAR), ',one more') FROM n WHERE k % 17 = 0"""
+)
+def numbered_rows(t: Tables) -> DataFrame:
+    """SRC-01, SRC-09, SNK-06: customers' files of text, with their rows' numbers as references where there is no other, and the lines that are none."""
+    path, k = scratch(t.spark, "lines"), F.col("k")
+    name, cin = F.concat(F.lit("Customer "), k.cast("string")), F.when(k % 5 == 0, F.concat(F.lit("C"), k.cast("string"))).otherwise("")
+    line = F.concat_ws(",", name, F.when(k % 17 == 0, "").otherwise(cin), k.cast("string"), F.when(k % 17 == 0, "one more"))
+    rows = t.table("customer").select(F.col("c_custkey").cast("long").alias("k")).select((k % 8).alias("g"), "k", line.alias("value"))
+    heads = t.spark.range(8).select(F.col("id").alias("g"), F.lit(-1).cast("long").alias("k"), F.lit("Company Name,CIN Number,Key").alias("value"))
+    rows.union(heads).repartition("g").sortWithinPartitions("g", "k").select("g", "value").write.partitionBy("g").text(path)
+    found = numbered.read_numbered(t.spark, path)
+    group = F.regexp_extract("file", r"/g=(\d+)/", 1).cast("long")
+    records = adapters.custom_records(found.rows.withColumn("__g", group), {"Company Name": "legal_name", "CIN Number": "cin", "Key": "industry", "__g": "state"}, "row")
+    key = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("long")
+    rest = found.rejects.select(key("line").alias("k"), group.alias("g"), "row", F.lit(None).cast("string").alias("ref"), "line")
+    number = found.rows.select(F.col("Key").alias("industry"), "row")
+    good = records.join(number, "industry").select(F.col("industry").cast("long").alias("k"), F.col("state").cast("long").alias("g"), "row", F.col("external_ref").alias("ref"), F.lit(None).cast("string").alias("line"))
+    return good.union(rest)
