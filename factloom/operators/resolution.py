@@ -117,22 +117,30 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float = LEAST_SIMILA
 def fuzzy_candidates(records: DataFrame, companies: DataFrame, top: int = CANDIDATES, least: float = LEAST_SIMILARITY) -> DataFrame:
     """JN-07, WIN-06: the ``top`` companies of most similar names, for each record.
 
-    Thresholds go down in ``STEPS``: a name that has found ``top`` companies above one has found its best, and looks no
-    further, so that all but the odd names never meet the many that are hardly alike. Of companies with one name the first
-    ``top`` can count."""
+    Names with a trigram that very many have go through ``STEPS`` first: one that finds ``top`` companies above such a similarity has
+    found its best, and looks no further, so that all but the odd ones never meet the many that are hardly alike. Of
+    companies with one name the first ``top`` can count."""
     ranked = cut(ranked_trigrams(records, companies), "trigrams")
     left, right = ranked.filter("on_left"), ranked.filter("on_right")
     owners = _first(companies.select("company_id", F.col("name").alias("right_name")).filter("right_name IS NOT NULL"), "right_name", [F.asc("company_id")], top)
     best, found = [F.desc("similarity"), F.asc("company_id")], None
-    for step in [x for x in STEPS if x > least] + [least]:
-        pairs = _pairs_above(ranked, left, right, step).join(owners, "right_name").select("left_name", "company_id", "similarity")
-        now = _first(pairs, "left_name", best, top)
-        if step > least:
-            now = cut(now, "similar")
-            full = now.groupBy(F.col("left_name").alias("name")).count().filter(F.col("count") >= top)
-            left = left.join(full, "name", "left_anti")
-            now = now.join(full, now.left_name == full.name, "left_semi")
-        found = now if found is None else found.union(now)
+
+    def nearest(names: DataFrame, above: float) -> DataFrame:
+        pairs = _pairs_above(ranked, names, right, above).join(owners, "right_name").select("left_name", "company_id", "similarity")
+        return _first(pairs, "left_name", best, top)
+
+    rare = F.slice("often", F.lit(1), (F.col("size") - F.floor(least * F.col("size") - 1e-9)).cast("int"))
+    for step in [x for x in STEPS if x > least]:
+        crowded = left.filter(F.array_max(rare) > CHUNK)
+        if not crowded.limit(1).count():
+            break
+        now = cut(nearest(crowded, step), "similar")
+        full = now.groupBy(F.col("left_name").alias("name")).count().filter(F.col("count") >= top)
+        left = left.join(full, "name", "left_anti")
+        done = now.join(full, now.left_name == full.name, "left_semi").select(*now.columns)
+        found = done if found is None else found.union(done)
+    rest = nearest(left, least)
+    found = rest if found is None else found.union(rest)
     return records.select("record_id", F.col("name").alias("left_name")).join(found, "left_name").select("record_id", "company_id", "similarity")
 
 

@@ -301,6 +301,15 @@ def demo_companies(t: Tables) -> DataFrame:
     return demo.companies(t.spark)
 
 
+@query(demo.CUSTOMERS_SQL)
+def demo_of_customers(t: Tables) -> DataFrame:
+    """SRC-17: a company for each customer, by way of a file in all columns."""
+    path = scratch(t.spark, "demo")
+    demo.companies_for(t.table("customer").select(F.col("c_custkey").alias("id"))).write.csv(path, header=True)
+    rows = t.spark.read.csv(path, header=True)
+    return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns))
+
+
 _OBJECT = """concat('{"k": ', job_id, ', "v": ', CASE job_id % 5 WHEN 0 THEN '1.5' WHEN 1 THEN '"12"' WHEN 2 THEN 'null' WHEN 3 THEN 'true' ELSE '[1]' END, CASE WHEN job_id % 2 = 0 THEN ', "o": {"a": 1}' ELSE '' END, '}')"""
 
 

@@ -69,5 +69,14 @@ def _sql(engine: str, ids: str, seed: int) -> str:
 SQL = _sql("duckdb", "(SELECT unnest(range(1, 751)) AS id)", 42)
 
 
+#: And of one for each customer.
+CUSTOMERS_SQL = _sql("duckdb", "(SELECT c_custkey AS id FROM customer)", 42)
+
+
+def companies_for(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A made-up company for each row of a table with a column ``id``."""
+    return ids.sparkSession.sql(_sql("spark", "{ids}", seed), ids=ids.select("id"))
+
+
 def companies(spark: SparkSession, count: int = 750, seed: int = 42) -> DataFrame:
-    return spark.sql(_sql("spark", "{ids}", seed), ids=spark.range(1, count + 1))
+    return companies_for(spark.range(1, count + 1), seed)

@@ -92,7 +92,9 @@ def test_rules_and_decisions(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
 
 
-def test_best_candidates_match_brute_force(spark):
+@pytest.mark.parametrize("chunk", [4000, 5])
+def test_best_candidates_match_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(R, "CHUNK", chunk)  # the smaller one deals trigrams into chunks, and takes names through the steps
     pick = random.Random(2)
     name = lambda: " ".join(pick.choice(["steel", "tea", "works", "alpha", "beta", "delhi"]) for _ in range(pick.randint(1, 3)))
     left = [(i, None, None, None, name(), None, None, None) for i in range(30)]
