@@ -134,7 +134,12 @@ class Filters:
 
 
 def _units(lists: list) -> np.ndarray:
-    x = np.array(lists, np.float64)
+    return _normed(np.array(lists, np.float64))
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; first by a power of two, which rounds nothing, as squares of very large or small components are no doubles."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -205,7 +210,7 @@ class _Members:
         self.left, self.right, self.same = _sides(batch)
         self.id, self.copies = (batch.column(i).to_numpy() for i in (4, 5))
         vectors = batch.column(6).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(self.id), -1)
-        self.unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.unit = _normed(vectors)
         filters = batch.column(7)
         offsets = filters.offsets.to_numpy()
         values, owner = filters.flatten().to_numpy(), np.repeat(np.arange(len(self.id)), np.diff(offsets))
@@ -224,13 +229,13 @@ class _Members:
         return found
 
 
-def links(classes: DataFrame, cosine: float) -> DataFrame:
+def links(classes: DataFrame, cosine: float, exact: bool = False) -> DataFrame:
     """Written rows (u, v, n): v null: a class links to n vectors of other classes; else a link that joins two classes.
 
-    classes: (id, copies, vector), vectors all different."""
+    classes: (id, copies, vector), vectors all different. ``exact``: neither filters nor sketches, all vectors of a length meet."""
     often = classes.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).filter(f"n >= {CHUNK}")
     codes, start, first = {}, {}, 1 << 20  # ids below are those of lengths without filters
-    for r in often.orderBy(F.desc("n"), "length").limit(LENGTHS).collect():
+    for r in often.orderBy(F.desc("n"), "length").limit(0 if exact else LENGTHS).collect():
         codes[r.length], start[r.length] = Filters(r.length, r.n, cosine), first << 21
         first += CODES * codes[r.length].words ** codes[r.length].blocks >> 21
         first += 1
@@ -267,7 +272,7 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
         ids, filters = [], []
         for part in _groups(batches, 3):
             left, right, same = _sides(part)
-            id_, s, t, far = *(part.column(i).to_numpy() for i in (4, 5, 6)), _sketch(part.column(7)[0].as_py(), cosine).far
+            id_, s, t, far = *(part.column(i).to_numpy() for i in (4, 5, 6)), BITS if exact else _sketch(part.column(7)[0].as_py(), cosine).far
             apart = np.bitwise_count(s[left][:, None] ^ s[right][None, :]) + np.bitwise_count(t[left][:, None] ^ t[right][None, :])
             found = apart <= far
             if same:
@@ -309,8 +314,8 @@ def links(classes: DataFrame, cosine: float) -> DataFrame:
     return written(compared, "links")
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """``vectors`` with ``n_links``, ``component_id`` and ``kept``."""
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE, exact: bool = False) -> DataFrame:
+    """``vectors`` with ``n_links``, ``component_id`` and ``kept``; ``exact`` finds every link, at the price of all pairs."""
     new = ("n_links", "component_id", "kept")
     others = [c for c in vectors.columns if c not in new]
     fine = "size(x) > 0 AND forall(x, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < double('Infinity')) AND exists(x, e -> e <> 0)"
@@ -321,7 +326,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     # equal components are equal vectors, -0.0 and 0.0 too
     classes = rows.filter("x IS NOT NULL").groupBy("x").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = written(classes.select("id", "copies", F.col("x").alias("vector")), "classes")
-    found = links(classes.groupBy("id", "vector").agg(F.sum("copies").alias("copies")), cosine)
+    found = links(classes.groupBy("id", "vector").agg(F.sum("copies").alias("copies")), cosine, exact)
     degree = found.filter("v IS NULL").groupBy("u").agg(F.sum("n").alias("n"))
     home = components(found.filter("v IS NOT NULL"))
     judged = (

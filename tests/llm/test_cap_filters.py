@@ -111,3 +111,20 @@ def test_equal_cosines_at_the_threshold(spark):
     for group in (rows[:7], rows[7:]):
         links, label = _brute([r[0] for r in group], np.array([r[1] for r in group], np.float32))
         assert {r[0]: out[r[0]] for r in group} == {r[0]: (n, c) for r, n, c in zip(group, links.tolist(), label.tolist(), strict=True)}
+
+
+def test_very_large_and_small_components_keep_their_direction(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [3e-300, 3e-300]), (4, [1e200, -1e200]), (5, [5e-324, 0.0]), (6, [1e308, 0.0])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in C.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
+def test_the_exact_way_finds_every_link(spark):
+    pick = np.random.default_rng(6)
+    x = pick.standard_normal((1400, 24))
+    y = 0.9 * x / np.linalg.norm(x, axis=1, keepdims=True) + 0.4 * pick.standard_normal(x.shape) / np.sqrt(24)
+    vectors = np.concatenate([x, y])
+    links, label = _brute(range(len(vectors)), vectors)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in C.near_duplicates(df, exact=True).collect()}
+    assert out == {i: (n, c) for i, (n, c) in enumerate(zip(links.tolist(), label.tolist(), strict=True))} and links.sum() > 100
