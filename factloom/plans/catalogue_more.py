@@ -303,9 +303,9 @@ def demo_companies(t: Tables) -> DataFrame:
 
 @query(demo.CUSTOMERS_SQL)
 def demo_of_customers(t: Tables) -> DataFrame:
-    """SRC-17: a company for each customer, by way of a file in all columns."""
+    """SRC-17, SNK-07: a company for each customer, by way of a file in all columns."""
     path = scratch(t.spark, "demo")
-    demo.companies_for(t.table("customer").select(F.col("c_custkey").alias("id"))).write.csv(path, header=True)
+    sinks.write_csv(demo.companies_for(t.table("customer").select(F.col("c_custkey").alias("id"))), path)
     rows = t.spark.read.csv(path, header=True)
     return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns))
 
@@ -713,7 +713,7 @@ def created_companies(t: Tables) -> DataFrame:
 @query("SELECT company_id FROM (SELECT DISTINCT company_id FROM observations WHERE source_id IN (1, 2, 3)) WHERE company_id IS NOT NULL", "observations")
 def touched_companies(t: Tables) -> DataFrame:
     """SET-03."""
-    return t.view("observations").filter(F.col("source_id").isin(1, 2, 3)).select("company_id").dropDuplicates()
+    return ingest.touched(t.view("observations").filter(F.col("source_id").isin(1, 2, 3)))
 
 
 _CALLS = "SELECT source_id, job_id AS call_id, epoch_us(created_at) AS micros, row_number() OVER (PARTITION BY source_id ORDER BY created_at, job_id) AS n FROM jobs"

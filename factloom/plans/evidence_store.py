@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import evidence
 from factloom.operators.cut import cut, let_go
+from factloom.plans import ingest
 
 #: Partitions of a new store.
 PARTS = 64
@@ -66,7 +67,7 @@ class EvidenceStore:
     def reprocess(self, ids: DataFrame, sources: DataFrame, now: datetime) -> None:
         """ER-13, SNK-04: evidence and confidence of companies ``ids`` (company_id) anew, from their stored observations. Those that have
         none lose their rows; doing it again changes nothing."""
-        ids = cut(ids.select("company_id").filter("company_id IS NOT NULL").distinct(), "touched")
+        ids = cut(ingest.touched(ids), "touched")
         touched = sorted(r.part for r in ids.select(part_of(self.parts).alias("part")).distinct().collect())  # as above
         stored = self.spark.read.parquet(self._path("observations")).filter(F.col("part").isin(touched)).drop("part").join(ids, "company_id", "left_semi")
         scores = cut(evidence.scored(stored, sources, now), "scores")

@@ -60,6 +60,11 @@ def among_themselves(records: DataFrame) -> DataFrame:
     return out.select("record_id", F.when(F.col("state") == "new", F.col("record_id")).otherwise(F.col("into")).alias("into"), F.when(F.col("state") != "new", F.col("score")).alias("score"), "signals")
 
 
+def touched(observations: DataFrame) -> DataFrame:
+    """SET-03: the companies (company_id) that observations speak of, each once."""
+    return observations.select("company_id").filter("company_id IS NOT NULL").distinct()
+
+
 def company_id_of(record: str) -> Column:
     """New companies' ids follow from their record, so a repeated run gives the same."""
     return F.sha2(F.concat_ws("|", F.lit("company"), F.col(record).cast("string")), 256)
@@ -80,8 +85,7 @@ def ingest(observations: DataFrame, stored_signals: DataFrame, stored_observatio
     queue = queue.unionByName(own.filter(~sure).select("record_id", company_id_of("into").alias("company_id"), "score", "signals"))
     kept = ["company_id", "source_id", "field", "value", "verification_type", "collected_at", "obs_id"]
     attached = observations.join(links, "record_id").select(*kept)
-    touched = links.select("company_id").distinct()
-    before = stored_observations.withColumn("company_id", F.col("company_id").cast("string")).join(touched, "company_id", "left_semi").select(*kept)
+    before = stored_observations.withColumn("company_id", F.col("company_id").cast("string")).join(touched(links), "company_id", "left_semi").select(*kept)
     scores = cut(evidence.scored(attached.unionByName(before), sources, now), "scores")
     rolled = evidence.roll_up(scores)
     rows = evidence.canonical(rolled).join(evidence.company_confidence(rolled, scores), "company_id")
