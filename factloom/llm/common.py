@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,6 +76,13 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker is kept for later tasks, of other stages too, and would hold it beside theirs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def map_batches(
     df: DataFrame, schema: T.StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]
 ) -> DataFrame:
@@ -88,8 +96,12 @@ def map_whole(
     """map_batches() with batches as they come, for rows of a bounded size."""
     arrow = to_arrow_schema(schema)
 
+    def given(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        yield from fn(batches)
+        give_back()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(batches):
+        for columns in given(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)

@@ -74,14 +74,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(1 << 20, 1 << n.bit_length())
+        size = max(1 << 20, (n >> 18) + 1 << 18)
         _powers[:] = [np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, b, _U)])) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
 
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-grams of ``words`` words."""
-    if len(texts) > 1 and sum(map(len, texts)) > 4_000_000:
+    if len(texts) > 1 and sum(map(len, texts)) > 1_000_000:
         half = len(texts) // 2
         return shingle_sets(texts[:half], words) + shingle_sets(texts[half:], words)
     data = [x.encode("utf-8", "surrogatepass") for x in texts]
