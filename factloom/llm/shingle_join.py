@@ -264,7 +264,8 @@ def _entries(docs: DataFrame, words: int, rule: Rule, light: int, frequent: np.n
 def _near(n: np.ndarray, s: np.ndarray, s2: np.ndarray, i, rule: Rule) -> np.ndarray:
     """Members whose sizes and sketches allow a link to member i (or, given a column of members, a matrix)."""
     a, b = n, n[i]
-    apart = np.bitwise_count(s ^ s[i]).astype(np.int32) + np.bitwise_count(s2 ^ s2[i])
+    # unsigned: of a negative number, the magnitude's bits would be counted
+    apart = np.bitwise_count((s ^ s[i]).astype(np.uint64)).astype(np.int32) + np.bitwise_count((s2 ^ s2[i]).astype(np.uint32))
     return (rule.num * np.maximum(a, b) <= rule.den * np.minimum(a, b)) & (apart <= np.minimum(rule.far, rule.differ(a, b)))
 
 

@@ -127,6 +127,23 @@ def test_what_is_near_in_a_list_is_one_family(spark, monkeypatch, seed):
         assert {label[k] for k in c[J._near(n.astype(np.int64), s, s2, i, rule)].tolist()} == {label[int(c[i])]}
 
 
+@pytest.mark.parametrize(("bit", "bit2"), [(-(2**63), 0), (0, -(2**31)), (-(2**63) + 5, -(2**31) + 3)])
+def test_sketches_that_differ_in_a_sign_are_near(bit, bit2):
+    s, s2 = np.array([9, 9 ^ bit], np.int64), np.array([7, 7 ^ bit2], np.int32)
+    assert J._near(np.array([100, 101]), s, s2, 0, J.Rule(85, 100)).all()
+
+
+def test_linked_pairs_whose_sketches_differ_in_a_sign(spark):
+    pick, rows = random.Random(41), []
+    while len(rows) < 120:  # pairs that nothing else joins
+        text = [f"w{len(rows)}_{i}" for i in range(80)]
+        other = [*text[:-8], *(f"v{pick.randrange(10**9)}" for _ in range(8))]
+        a, b = (J.sketch(J.shingle_sets([" ".join(x)], 4)[0]) for x in (text, other))
+        if (a[0] < 0) != (b[0] < 0) or (a[1] < 0) != (b[1] < 0):
+            rows += [(len(rows) + 1, " ".join(text)), (len(rows) + 2, " ".join(other))]
+    assert _run(spark, rows, 4, 80, 100) == _brute(rows, 4, 80, 100)
+
+
 def test_query_matches_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     out = J.op1_shingle_join(spark, "/root/testdata/sf0.01").collect()
