@@ -33,6 +33,11 @@ def test_selectors_read_marks_as_html_has_them():
     assert found("script", "div.x")[0] == ["if (a<b) '</p>'"] and found("p::text")[0][-1] == "five"
 
 
+def test_references_end_in_a_semicolon():
+    html = '<h1>a&amp;&amp;lt; &#233;&#xE9;&nope;&ampx; b&amp</h1><a href="?x=1&copy=2&amp;y">l</a>'
+    assert M.texts(html, [M.css("h1::text"), M.css("a::attr(href)")]) == [["a&&lt; éé&nope;&ampx; b&amp"], ["?x=1&copy=2&y"]]
+
+
 def test_selectors_are_linear_in_a_page():
     for piece in ("<i>x</b>", "<p>a<b>", "<div class=x><i>t", "<a href='x"):
         began = time.thread_time()
