@@ -54,18 +54,24 @@ def exact_candidates(records: DataFrame, companies: DataFrame, cap: int | None =
 
 
 def ranked_trigrams(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id, name, t, often, size, bits, on_left, on_right): distinct names with their trigrams, the rarest first, how many names have each,
-    128 bits of which each trigram sets one, and the sides they are on. Ids are numbers that only the table they are written to keeps."""
+    """(id, name, t, on_left_of, on_right_of, size, met, bits, on_left, on_right): distinct names with their trigrams, those first at which the
+    fewest pairs meet, how many names of each side have each, how many of them both sides have, 128 bits of which each such trigram
+    sets one, and the sides they are on. Ids are numbers that only the table they are written to keeps."""
     sides = left.select("name", F.lit(True).alias("l"), F.lit(False).alias("r")).union(right.select("name", F.lit(False), F.lit(True)))
     names = sides.filter("name IS NOT NULL").groupBy("name").agg(F.max("l").alias("on_left"), F.max("r").alias("on_right"))
     pieces = names.select("*", F.explode(text.trigrams(F.col("name"))).alias("piece"))
-    often = pieces.groupBy("piece").agg(F.count("*").alias("n"))
-    each = F.sort_array(F.collect_list(F.struct("n", "piece")))  # of one name, so as long as it
+    often = pieces.groupBy("piece").agg(F.count_if("on_left").alias("l"), F.count_if("on_right").alias("r"))
+    each = F.sort_array(F.collect_list(F.struct((F.col("l") * F.col("r")).alias("pairs"), "piece", "l", "r")))  # of one name, so as long as it
     rows = pieces.join(often, "piece").groupBy("name", "on_left", "on_right").agg(each.alias("e"))
-    rows = rows.select(F.monotonically_increasing_id().alias("id"), "name", F.col("e.piece").alias("t"), F.col("e.n").alias("often"), F.size("e").alias("size"), "on_left", "on_right")
+    alone = F.size(F.filter("e", lambda x: x["pairs"] == 0))  # trigrams of one side's names, which come first
+    rows = rows.select(
+        F.monotonically_increasing_id().alias("id"), "name", F.col("e.piece").alias("t"), F.col("e.l").alias("on_left_of"), F.col("e.r").alias("on_right_of"),
+        F.size("e").alias("size"), (F.size("e") - alone).alias("met"), "on_left", "on_right",
+    )
+    shared = F.slice("t", F.col("size") - F.col("met") + 1, F.col("met"))
 
     def half(bits: int) -> Column:
-        own = F.filter(F.transform("t", lambda p: F.pmod(F.xxhash64(p), F.lit(128)).cast("int")), lambda x: F.shiftright(x, 6) == bits)
+        own = F.filter(F.transform(shared, lambda p: F.pmod(F.xxhash64(p), F.lit(128)).cast("int")), lambda x: F.shiftright(x, 6) == bits)
         one = lambda held, x: held.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63))))
         return F.aggregate(own, F.lit(0).cast("long"), one)
 
@@ -77,15 +83,16 @@ def _prefixes(side: DataFrame, least: float, own: str, other: str, smaller: int)
     smaller shares more than 2 * least / (1 + least) of this name's trigrams, any other one ``least`` of them. In the join of
     kind ``smaller`` this side's name is not the greater one, so the fewer rows are enough.
 
-    Rows of a trigram that many names have are dealt into chunks by id, each a copy for every chunk of the other side, so that any
-    two chunks meet once, and no task gets all of them."""
+    A trigram that only one side's names have meets nothing. Rows of one that many have are dealt into chunks by id, each a copy for every
+    chunk of the other side, so that any two chunks meet once, and no task gets all of them."""
     short, long = ((F.col("size") - F.floor(share * F.col("size") - 1e-9)).cast("int") for share in (2 * least / (1 + least), least))
-    head = F.arrays_zip(F.slice("t", F.lit(1), long).alias("piece"), F.slice("often", F.lit(1), long).alias("n"))
-    rows = side.select("id", "size", "bits", short.alias("short"), F.posexplode(head).alias("place", "p"))
+    counts = {"a": "on_left_of", "b": "on_right_of"}
+    head = F.arrays_zip(*(F.slice(c, F.lit(1), long).alias(n) for n, c in (("piece", "t"), ("own", counts[own]), ("other", counts[other]))))
+    rows = side.select("id", "size", "met", "bits", short.alias("short"), F.posexplode(head).alias("place", "p")).filter("p.other > 0")
     kinds = F.when(F.col("place") < F.col("short"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1 - smaller)))
-    chunks = F.ceil(F.col("p.n") / CHUNK).cast("int")
-    rows = rows.select(F.struct("id", "size", "bits", "place").alias(own), F.xxhash64("p.piece").alias("piece"), F.pmod("id", chunks).cast("int").alias(own + "_chunk"), chunks.alias("chunks"), F.explode(kinds).alias("kind"))
-    return rows.select(own, "piece", own + "_chunk", "kind", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias(other + "_chunk"))
+    chunks, others = (F.ceil(F.col(f"p.{n}") / CHUNK).cast("int") for n in ("own", "other"))
+    rows = rows.select(F.struct("id", "size", "met", "bits", "place").alias(own), F.xxhash64("p.piece").alias("piece"), F.pmod("id", chunks).cast("int").alias(own + "_chunk"), others.alias("others"), F.explode(kinds).alias("kind"))
+    return rows.select(own, "piece", own + "_chunk", "kind", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias(other + "_chunk"))
 
 
 def _pairs_above(ranked: DataFrame, left: DataFrame, right: DataFrame, least: float) -> DataFrame:
@@ -93,13 +100,16 @@ def _pairs_above(ranked: DataFrame, left: DataFrame, right: DataFrame, least: fl
 
     Names that are share one of the rarest trigrams of both. What meets there is judged by numbers only: by sizes, by how many trigrams
     can still be shared behind the first one's places, and by the bits that differ, as each of these needs a trigram of
-    one name alone. Trigrams themselves travel for the pairs that are left."""
+    one name alone. Only trigrams that both sides have count there, as no other is shared. Trigrams themselves travel for the pairs that are left."""
     a, b = _prefixes(left, least, "a", "b", 0), _prefixes(right, least, "b", "a", 1)
     n, m = F.col("a.size"), F.col("b.size")
     needed = least / (1 + least) * (n + m) - 1e-9
     sized = ((F.col("kind") == 0) == (n <= m)) & (F.least(n, m) > least * F.greatest(n, m))
     differ = sum(F.bit_count(F.col(f"a.bits.{x}").bitwiseXOR(F.col(f"b.bits.{x}"))) for x in ("low", "high"))
-    near = a.hint("merge").join(b, ["piece", "kind", "a_chunk", "b_chunk"]).filter(sized & (F.least(n - F.col("a.place"), m - F.col("b.place")) > needed) & (differ < n + m - 2 * needed))
+    meet = ["piece", "kind", "a_chunk", "b_chunk"]
+    # a count of its own, as the work is in the pairs: by their few bytes, adaptive execution would make one task of all rows
+    tasks = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = a.repartition(tasks, *meet).hint("merge").join(b.repartition(tasks, *meet), meet).filter(sized & (F.least(n - F.col("a.place"), m - F.col("b.place")) > needed) & (differ < F.col("a.met") + F.col("b.met") - 2 * needed))
     found = near.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
     whole = lambda s: ranked.select(F.col("id").alias(f"{s}_id"), F.struct("name", "t").alias(s))
     pairs = found.distinct().join(whole("a"), "a_id").join(whole("b"), "b_id")
@@ -129,7 +139,7 @@ def fuzzy_candidates(records: DataFrame, companies: DataFrame, top: int = CANDID
         pairs = _pairs_above(ranked, names, right, above).join(owners, "right_name").select("left_name", "company_id", "similarity")
         return _first(pairs, "left_name", best, top)
 
-    rare = F.slice("often", F.lit(1), (F.col("size") - F.floor(least * F.col("size") - 1e-9)).cast("int"))
+    rare = F.slice("on_right_of", F.lit(1), (F.col("size") - F.floor(least * F.col("size") - 1e-9)).cast("int"))
     for step in [x for x in STEPS if x > least]:
         crowded = left.filter(F.array_max(rare) > CHUNK)
         if not crowded.limit(1).count():

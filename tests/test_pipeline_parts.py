@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import text
 from factloom.operators import evidence as E
 from factloom.operators import health as H
 from factloom.operators import resolution as R
@@ -308,3 +309,17 @@ def test_listings(spark):
     assert shown.columns == list(P.COMPANY) and dict(shown.dtypes)["annual_revenue_inr"] == "double"
     rows = spark.createDataFrame([("A", "12x"), (None, "3")], "legal_name string, employee_count string")
     assert tuple(H.custom_import_stats(rows, M.CUSTOM_TYPES).first()) == (2, 1, 1, 1)
+
+
+def test_trigrams_of_one_side_meet_nothing(spark, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 4)
+    left, right = ([f"{word} {i:04d}" for i in range(0, 400, step)] for word, step in (("Supplier", 37), ("Customer", 7)))
+    sides = [spark.createDataFrame([(x,) for x in names], "name string") for names in (left, right)]
+    ranked = R.ranked_trigrams(*sides).localCheckpoint()
+    alone = spark.createDataFrame([(x,) for x in ("cus", "ust", "mer", "sup", "lie")], "t string").select(F.xxhash64("t").alias("piece"))
+    for side, own, other in (("on_left", "a", "b"), ("on_right", "b", "a")):
+        assert not R._prefixes(ranked.filter(side), 0.3, own, other, 0).join(alone, "piece").count()
+    got = {(r.left_name, r.right_name): r.similarity for r in R.similar_pairs(*sides, 0.3).collect()}
+    sets = {x: text.python_trigrams(x) for x in [*left, *right]}
+    want = {(x, y): len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for x in left for y in right}
+    assert got == {k: v for k, v in want.items() if v > 0.3}
