@@ -323,3 +323,9 @@ def test_trigrams_of_one_side_meet_nothing(spark, monkeypatch):
     sets = {x: text.python_trigrams(x) for x in [*left, *right]}
     want = {(x, y): len(sets[x] & sets[y]) / len(sets[x] | sets[y]) for x in left for y in right}
     assert got == {k: v for k, v in want.items() if v > 0.3}
+
+
+def test_an_appended_batch_is_few_files(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id AS obs_id", "id % 5 AS source_id").repartition(8)
+    S.append_observations(rows, str(tmp_path / "obs"), datetime(2024, 1, 1))
+    assert len(list((tmp_path / "obs").rglob("*.parquet"))) == 5 and spark.read.parquet(str(tmp_path / "obs")).count() == 400
