@@ -56,41 +56,51 @@ def roll_up(scores: DataFrame) -> DataFrame:
         F.min_by(F.struct("value", "verification_type"), strongest).alias("strongest"),
         F.max("collected_at").alias("newest"),
     )
+    newest = F.max("newest").over(Window.partitionBy("company_id", "field"))
+    return _winners(by_value.withColumn("newest", newest)).select(
+        "company_id", "field",
+        F.col("strongest.value").alias("value"),
+        F.col("strongest.verification_type").alias("verification_type"),
+        "confidence", "agreeing", "total", "base", "bonus", "penalty", "agreement", "newest",
+    )
+
+
+def _winners(by_value: DataFrame) -> DataFrame:
+    """CNF-04..10: the row of the winning value of each (company, field), with its confidence and that one's parts."""
     group = Window.partitionBy("company_id", "field")
     order = group.orderBy(F.desc("agreeing"), F.desc("best"), F.asc("first_seen"))
-    ranked = by_value.select(
-        "*",
-        F.sum("agreeing").over(group).alias("total"),
-        F.max("newest").over(group).alias("newest_of_all"),
-        F.row_number().over(order).alias("rank"),
-    )
+    ranked = by_value.select("*", F.sum("agreeing").over(group).alias("total"), F.row_number().over(order).alias("rank"))
     ratio = F.col("agreeing") / F.col("total")
     bonus = F.least(F.lit(LARGEST_BONUS), BONUS * (F.col("agreeing") - 1))
     penalty = (1 - ratio) * PENALTY
     return ranked.filter("rank = 1").select(
-        "company_id", "field",
-        F.col("strongest.value").alias("value"),
-        F.col("strongest.verification_type").alias("verification_type"),
+        "*",
         F.round(values.clamp01(F.col("best") + bonus - penalty), 3).alias("confidence"),
-        "agreeing", "total",
         F.round("best", 3).alias("base"), F.round(bonus, 3).alias("bonus"), F.round(penalty, 3).alias("penalty"), F.round(ratio, 3).alias("agreement"),
-        F.col("newest_of_all").alias("newest"),
     )
 
 
-def explanations(scores: DataFrame, rolled: DataFrame) -> DataFrame:
+def explanations(scores: DataFrame) -> DataFrame:
     """CNF-12: what each confidence rests on: its parts, and how many observations of which weight and label agree. Weights are
-    whole numbers up to 100 and labels few, so a group's list is short however many observations agree."""
-    voices = scores.groupBy("company_id", "field", "value_key", "reliability_weight", "verification_type").agg(F.count("*").alias("n"))
-    winners = rolled.select("company_id", "field", F.lower(text.strip_all(F.coalesce("value", F.lit("")))).alias("value_key"))
+    whole numbers up to 100 and labels few, so a group's list is short however many observations agree. No company or no field: no row.
+
+    Observations are read once and shuffled once, by company and field, and all that follows stays in those partitions: few of
+    a group's observations have equal value, weight and label, so counts ahead of a shuffle save little, and each further one
+    writes about as much again. A group's observations stream through one task, sorted, and aren't held there."""
+    rows = scores.filter("company_id IS NOT NULL AND field IS NOT NULL").repartition("company_id", "field")
+    by_voice = rows.groupBy("company_id", "field", "value_key", "reliability_weight", "verification_type").agg(
+        F.count("*").alias("n"), F.max("score").alias("best"), F.min(F.struct("collected_at", "obs_id")).alias("first_seen")
+    )
     each = F.struct("reliability_weight", "verification_type", "n")
-    lists = voices.join(winners, ["company_id", "field", "value_key"]).groupBy("company_id", "field").agg(F.sort_array(F.collect_list(each)).alias("voices"))
+    by_value = by_voice.groupBy("company_id", "field", "value_key").agg(
+        F.sum("n").alias("agreeing"), F.max("best").alias("best"), F.min("first_seen").alias("first_seen"), F.sort_array(F.collect_list(each)).alias("voices")
+    )
     parts = F.struct(
         F.col("base").alias("base_score"), F.col("bonus").alias("independent_source_bonus"), F.col("penalty").alias("conflict_penalty"),
         F.col("agreement").alias("agreement_ratio"), F.col("agreeing").alias("agreeing_observation_count"), F.col("total").alias("total_observation_count"),
         "voices",
     )
-    return rolled.join(lists, ["company_id", "field"]).select("company_id", "field", parts.alias("explanation"))
+    return _winners(by_value).select("company_id", "field", parts.alias("explanation"))
 
 
 def confidence_of(wanted: DataFrame, rolled: DataFrame) -> DataFrame:

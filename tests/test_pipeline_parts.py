@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import re
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -11,6 +12,7 @@ from factloom.functions import text
 from factloom.operators import evidence as E
 from factloom.operators import health as H
 from factloom.operators import resolution as R
+from factloom.plans import catalogue
 from factloom.sources import adapters as A
 from factloom.sources import mapping as M
 from factloom.sources import sinks as S
@@ -61,6 +63,29 @@ def test_evidence_matches_the_plain_loop_in_any_order(spark):
     assert "Python" not in plan and "NestedLoop" not in plan
 
 
+def test_explanations_read_and_shuffle_observations_once(spark):
+    plan = catalogue.queries()["evidence_explained"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 1
+    assert len(re.findall(r"Exchange hashpartitioning\((?!l_orderkey|o_orderkey)", plan)) == 1
+
+
+def test_explanations_of_odd_groups(spark):
+    day = datetime(2023, 6, 1)
+    many = [(1, i % 2, "a", "y" if i % 2 else " X", "verified" if i % 3 else None, day, f"m{i:04}") for i in range(3000)]
+    tied = [(2, 2, "a", "late", "observed", day, "o1"), (2, 2, "a", "Early", "estimated", day, "o0"), (3, 2, "a", "b", "observed", day, "o2"), (3, 2, "a", None, "observed", day - timedelta(days=1), "o3")]
+    apart = [(None, 0, "a", "x", "verified", day, "n0"), (4, 0, None, "x", "verified", day, "n1"), (5, 0, "a", "x", "verified", None, "n2"), (5, 9, "a", "no source", "verified", day, "n3")]
+    rows = spark.createDataFrame(many + tied + apart, OBS)
+    scores = E.scored(rows, spark.createDataFrame([(0, 90), (1, 90), (2, 0)], "source_id long, reliability_weight int"), NOW)
+    got = {(r.company_id, r.field): r.explanation for r in E.explanations(scores).collect()}
+    assert {k[0]: (e.agreeing_observation_count, e.total_observation_count, [tuple(v) for v in e.voices]) for k, e in got.items()} == {
+        1: (1500, 3000, [(90, None, 500), (90, "verified", 1000)]),
+        2: (1, 2, [(0, "estimated", 1)]),
+        3: (1, 2, [(0, "observed", 1)]),
+        5: (1, 1, [(90, "verified", 1)]),
+    }
+    assert len(got) == 4 and (got[2, "a"].base_score, got[2, "a"].conflict_penalty, got[1, "a"].independent_source_bonus) == (0.0, 0.15, 0.15)
+
+
 def test_canonical_projection(spark):
     rows = [(1, "export_status", "Yes"), (1, "state", "tamil-nadu "), (1, "products", "a, b,,"), (1, "employee_count", "34.0"), (1, "annual_revenue_inr", "12.5"),
             (1, "incorporation_date", "2020-02-03"), (1, "canonical_name", "abc"), (1, "roc", "kept as evidence only"), (2, "employee_count", "many"), (2, "country_code", "in")]
