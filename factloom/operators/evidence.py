@@ -34,17 +34,21 @@ def scored(observations: DataFrame, sources: DataFrame, now: datetime) -> DataFr
 
     Sources join by id, broadcast where Spark finds them small enough."""
     rows = observations.join(sources.select("source_id", "reliability_weight"), "source_id")
-    weight = F.greatest(F.lit(0), F.least(F.lit(100), F.col("reliability_weight"))) / 100.0
-    age = F.greatest(F.lit(0.0), values.age_days(F.lit(now), F.col("collected_at")))
     return rows.withColumns(
         {
             "value_key": F.lower(text.strip_all(F.coalesce("value", F.lit("")))),
-            "score": weight * label_weight(F.col("verification_type"), WEIGHTS["unknown"]) * F.exp(-age / DECAY_DAYS),
+            "score": _score(F.col("collected_at"), now),
             "label_weight": label_weight(F.col("verification_type"), 0.0),
         }
     )
 
 
+def _score(collected_at: Column, now: datetime) -> Column:
+    weight = F.greatest(F.lit(0), F.least(F.lit(100), F.col("reliability_weight"))) / 100.0
+    age = F.greatest(F.lit(0.0), values.age_days(F.lit(now), collected_at))
+    return weight * label_weight(F.col("verification_type"), WEIGHTS["unknown"]) * F.exp(-age / DECAY_DAYS)
+
+
 def roll_up(scores: DataFrame) -> DataFrame:
     """CNF-03..12: the winning value of each (company, field) with its confidence and what explains it."""
     place = F.struct("collected_at", "obs_id")
@@ -80,16 +84,18 @@ def _winners(by_value: DataFrame) -> DataFrame:
     )
 
 
-def explanations(scores: DataFrame) -> DataFrame:
+def explanations(scores: DataFrame, now: datetime) -> DataFrame:
     """CNF-12: what each confidence rests on: its parts, and how many observations of which weight and label agree. Weights are
     whole numbers up to 100 and labels few, so a group's list is short however many observations agree. No company or no field: no row.
 
     Observations are read once and shuffled once, by company and field, and all that follows stays in those partitions: few of
     a group's observations have equal value, weight and label, so counts ahead of a shuffle save little, and each further one
-    writes about as much again. A group's observations stream through one task, sorted, and aren't held there."""
+    writes about as much again. A group's observations stream through one task, sorted, and aren't held there. Their scores don't
+    travel: of one weight and label, the newest has the best one (without a time, an observation is scored as of now)."""
     rows = scores.filter("company_id IS NOT NULL AND field IS NOT NULL").repartition("company_id", "field")
+    newest = F.max(F.coalesce("collected_at", F.lit(now)))
     by_voice = rows.groupBy("company_id", "field", "value_key", "reliability_weight", "verification_type").agg(
-        F.count("*").alias("n"), F.max("score").alias("best"), F.min(F.struct("collected_at", "obs_id")).alias("first_seen")
+        F.count("*").alias("n"), _score(newest, now).alias("best"), F.min(F.struct("collected_at", "obs_id")).alias("first_seen")
     )
     each = F.struct("reliability_weight", "verification_type", "n")
     by_value = by_voice.groupBy("company_id", "field", "value_key").agg(

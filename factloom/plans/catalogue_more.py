@@ -399,7 +399,7 @@ def evidence_explained(t: Tables) -> DataFrame:
     scores = evidence.scored(t.view("observations"), t.view("sources"), AS_OF)
     e = F.col("explanation")
     voice = F.transform(e["voices"], lambda v: F.concat(v.verification_type, F.lit(":"), v.reliability_weight.cast("string"), F.lit("x"), v.n.cast("string")))
-    return evidence.explanations(scores).select(
+    return evidence.explanations(scores, AS_OF).select(
         "company_id", "field", e["base_score"].alias("base_score"), e["independent_source_bonus"].alias("bonus"), e["conflict_penalty"].alias("penalty"), e["agreement_ratio"].alias("agreement"),
         e["agreeing_observation_count"].alias("agreeing"), e["total_observation_count"].alias("total"), F.array_join(F.array_sort(voice), " ").alias("voices"),
     )

@@ -73,17 +73,23 @@ def test_explanations_of_odd_groups(spark):
     day = datetime(2023, 6, 1)
     many = [(1, i % 2, "a", "y" if i % 2 else " X", "verified" if i % 3 else None, day, f"m{i:04}") for i in range(3000)]
     tied = [(2, 2, "a", "late", "observed", day, "o1"), (2, 2, "a", "Early", "estimated", day, "o0"), (3, 2, "a", "b", "observed", day, "o2"), (3, 2, "a", None, "observed", day - timedelta(days=1), "o3")]
+    dated = [(6, 0, "a", "x", "verified", at, f"p{i}") for i, at in enumerate([None, NOW - timedelta(days=365), NOW + timedelta(days=9)])] + [(7, 0, "a", "x", "observed", NOW - timedelta(days=d), f"q{d}") for d in (365, 730)]
     apart = [(None, 0, "a", "x", "verified", day, "n0"), (4, 0, None, "x", "verified", day, "n1"), (5, 0, "a", "x", "verified", None, "n2"), (5, 9, "a", "no source", "verified", day, "n3")]
-    rows = spark.createDataFrame(many + tied + apart, OBS)
+    rows = spark.createDataFrame(many + tied + dated + apart, OBS)
     scores = E.scored(rows, spark.createDataFrame([(0, 90), (1, 90), (2, 0)], "source_id long, reliability_weight int"), NOW)
-    got = {(r.company_id, r.field): r.explanation for r in E.explanations(scores).collect()}
+    got = {(r.company_id, r.field): r.explanation for r in E.explanations(scores, NOW).collect()}
     assert {k[0]: (e.agreeing_observation_count, e.total_observation_count, [tuple(v) for v in e.voices]) for k, e in got.items()} == {
         1: (1500, 3000, [(90, None, 500), (90, "verified", 1000)]),
         2: (1, 2, [(0, "estimated", 1)]),
         3: (1, 2, [(0, "observed", 1)]),
         5: (1, 1, [(90, "verified", 1)]),
+        6: (3, 3, [(90, "verified", 3)]),
+        7: (2, 2, [(90, "observed", 2)]),
     }
-    assert len(got) == 4 and (got[2, "a"].base_score, got[2, "a"].conflict_penalty, got[1, "a"].independent_source_bonus) == (0.0, 0.15, 0.15)
+    rolled = {(r.company_id, r.field): r for r in E.roll_up(scores.filter("company_id IS NOT NULL AND field IS NOT NULL")).collect()}
+    assert {k: (e.base_score, e.independent_source_bonus, e.conflict_penalty, e.agreement_ratio) for k, e in got.items()} == {k: (r.base, r.bonus, r.penalty, r.agreement) for k, r in rolled.items()}
+    assert (got[6, "a"].base_score, got[7, "a"].base_score) == (0.9, round(0.63 / math.e, 3))
+    assert len(got) == 6 and (got[2, "a"].base_score, got[2, "a"].conflict_penalty, got[1, "a"].independent_source_bonus) == (0.0, 0.15, 0.15)
 
 
 def test_canonical_projection(spark):
