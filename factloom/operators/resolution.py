@@ -1,4 +1,7 @@
-"""Entity resolution: candidates by shared identifiers and trigrams, rules, decisions (ER, JN-06/07, WIN-05/06, SET-01)."""
+"""Entity resolution: candidates by shared identifiers and trigrams, rules, decisions (ER, JN-06/07, WIN-05/06, SET-01).
+
+Tables that grow with records, companies or names are joined by sort and merge: Spark judges a table by its compressed files, and would
+send ones of a few megabytes, which are many times that as rows, whole through the driver."""
 
 from __future__ import annotations
 
@@ -19,6 +22,8 @@ CANDIDATES, LEAST_SIMILARITY = 10, 0.3
 STEPS = (0.55,)
 #: Names of one trigram that meet in a task at most, on each side.
 CHUNK = 4000
+#: Different trigrams that are sent to all tasks at most.
+SENT = 100_000
 SIGNALS = ("cin", "gstin", "domain", "name", "state", "postal", "email_domain")
 
 
@@ -47,7 +52,7 @@ def exact_candidates(records: DataFrame, companies: DataFrame, cap: int | None =
     def shared(name: str) -> DataFrame:
         side = companies.select("company_id", name).filter(F.col(name).isNotNull())
         side = side if cap is None else _first(side, name, [F.asc("company_id")], cap)
-        return records.select("record_id", name).join(side, name).select("record_id", "company_id")
+        return records.select("record_id", name).join(side.hint("merge"), name).select("record_id", "company_id")
 
     found = shared("cin").union(shared("gstin")).union(shared("domain")).distinct()
     return found if cap is None else _first(found, "record_id", [F.asc("company_id")], cap)
@@ -60,7 +65,8 @@ def ranked_trigrams(left: DataFrame, right: DataFrame) -> DataFrame:
     sides = left.select("name", F.lit(True).alias("l"), F.lit(False).alias("r")).union(right.select("name", F.lit(False), F.lit(True)))
     names = sides.filter("name IS NOT NULL").groupBy("name").agg(F.max("l").alias("on_left"), F.max("r").alias("on_right"))
     pieces = names.select("*", F.explode(text.trigrams(F.col("name"))).alias("piece"))
-    often = pieces.groupBy("piece").agg(F.count_if("on_left").alias("l"), F.count_if("on_right").alias("r"))
+    often = cut(pieces.groupBy("piece").agg(F.count_if("on_left").alias("l"), F.count_if("on_right").alias("r")), "often")
+    often = F.broadcast(often) if often.count() <= SENT else often.hint("merge")
     each = F.sort_array(F.collect_list(F.struct((F.col("l") * F.col("r")).alias("pairs"), "piece", "l", "r")))  # of one name, so as long as it
     rows = pieces.join(often, "piece").groupBy("name", "on_left", "on_right").agg(each.alias("e"))
     alone = F.size(F.filter("e", lambda x: x["pairs"] == 0))  # trigrams of one side's names, which come first
@@ -112,7 +118,7 @@ def _pairs_above(ranked: DataFrame, left: DataFrame, right: DataFrame, least: fl
     near = a.repartition(tasks, *meet).hint("merge").join(b.repartition(tasks, *meet), meet).filter(sized & (F.least(n - F.col("a.place"), m - F.col("b.place")) > needed) & (differ < F.col("a.met") + F.col("b.met") - 2 * needed))
     found = near.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
     whole = lambda s: ranked.select(F.col("id").alias(f"{s}_id"), F.struct("name", "t").alias(s))
-    pairs = found.distinct().join(whole("a"), "a_id").join(whole("b"), "b_id")
+    pairs = found.distinct().join(whole("a").hint("merge"), "a_id").join(whole("b").hint("merge"), "b_id")
     common = F.size(F.array_intersect("a.t", "b.t"))
     similarity = common / (F.size("a.t") + F.size("b.t") - common)
     return pairs.select(F.col("a.name").alias("left_name"), F.col("b.name").alias("right_name"), similarity.alias("similarity")).filter(F.col("similarity") > least)
@@ -136,7 +142,7 @@ def fuzzy_candidates(records: DataFrame, companies: DataFrame, top: int = CANDID
     best, found = [F.desc("similarity"), F.asc("company_id")], None
 
     def nearest(names: DataFrame, above: float) -> DataFrame:
-        pairs = _pairs_above(ranked, names, right, above).join(owners, "right_name").select("left_name", "company_id", "similarity")
+        pairs = _pairs_above(ranked, names, right, above).join(owners.hint("merge"), "right_name").select("left_name", "company_id", "similarity")
         return _first(pairs, "left_name", best, top)
 
     rare = F.slice("on_right_of", F.lit(1), (F.col("size") - F.floor(least * F.col("size") - 1e-9)).cast("int"))
@@ -145,13 +151,13 @@ def fuzzy_candidates(records: DataFrame, companies: DataFrame, top: int = CANDID
         if not crowded.limit(1).count():
             break
         now = cut(nearest(crowded, step), "similar")
-        full = now.groupBy(F.col("left_name").alias("name")).count().filter(F.col("count") >= top)
+        full = now.groupBy(F.col("left_name").alias("name")).count().filter(F.col("count") >= top).hint("merge")
         left = left.join(full, "name", "left_anti")
         done = now.join(full, now.left_name == full.name, "left_semi").select(*now.columns)
         found = done if found is None else found.union(done)
     rest = nearest(left, least)
     found = rest if found is None else found.union(rest)
-    return records.select("record_id", F.col("name").alias("left_name")).join(found, "left_name").select("record_id", "company_id", "similarity")
+    return records.select("record_id", F.col("name").alias("left_name")).join(found.hint("merge"), "left_name").select("record_id", "company_id", "similarity")
 
 
 def candidates(records: DataFrame, companies: DataFrame) -> DataFrame:
@@ -190,7 +196,7 @@ def scored(pairs: DataFrame, records: DataFrame, companies: DataFrame) -> DataFr
     """Candidate pairs with ``score``, ``decision`` and the signals that say so."""
     a = records.select("record_id", *(F.col(n).alias(f"a_{n}") for n in SIGNALS))
     b = companies.select("company_id", *(F.col(n).alias(f"b_{n}") for n in SIGNALS))
-    rows = pairs.join(a, "record_id").join(b, "company_id")
+    rows = pairs.join(a.hint("merge"), "record_id").join(b.hint("merge"), "company_id")
     found = rules({n: F.col(f"a_{n}") for n in SIGNALS}, {n: F.col(f"b_{n}") for n in SIGNALS})
     said = F.struct(*(c.alias(n) for n, c in found.items())).alias("signals")
     return rows.select(*pairs.columns, said).withColumn("score", match_score({n: F.col(f"signals.{n}") for n in found})).withColumn("decision", decision(F.col("score")))
@@ -201,7 +207,7 @@ def resolve(records: DataFrame, companies: DataFrame) -> DataFrame:
     judged = scored(candidates(records, companies), records, companies)
     best = Window.partitionBy("record_id").orderBy(F.desc("score"), F.asc("kind"), F.desc_nulls_last("similarity"), F.asc("company_id"))
     first = judged.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n", "kind", "similarity")
-    out = records.select("record_id", F.col("name").alias("record_name")).join(first, "record_id", "left")
+    out = records.select("record_id", F.col("name").alias("record_name")).join(first.hint("merge"), "record_id", "left")
     return out.withColumns({"score": F.coalesce("score", F.lit(0.0)), "decision": F.coalesce("decision", F.lit("no_match"))})
 
 

@@ -360,3 +360,22 @@ def test_an_appended_batch_is_few_files(spark, tmp_path):
     rows = spark.range(400).selectExpr("id AS obs_id", "id % 5 AS source_id").repartition(8)
     S.append_observations(rows, str(tmp_path / "obs"), datetime(2024, 1, 1))
     assert len(list((tmp_path / "obs").rglob("*.parquet"))) == 5 and spark.read.parquet(str(tmp_path / "obs")).count() == 400
+
+
+def test_no_table_of_records_or_names_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    planned, write, found = {}, R.cut, []
+    monkeypatch.setattr(R, "CHUNK", 1)
+    monkeypatch.setattr(R, "cut", lambda df, label: (planned.update({label: plan(df)}), write(df, label))[1])
+    left, right = ([(i, f"{word} {i:04d}") for i in range(0, 400, step)] for word, step in (("Supplier", 37), ("Customer", 7)))
+    sides = []
+    for rows, key in ((left, "record_id"), (right, "company_id")):
+        spark.createDataFrame(rows, f"{key} long, name string").write.parquet(f"{tmp_path}/{key}")  # a file's size is known
+        sides.append(spark.read.parquet(f"{tmp_path}/{key}").select("*", *(F.lit(None).cast("string").alias(n) if n != "cin" else F.col(key).cast("string").alias(n) for n in R.SIGNALS if n != "name")))
+    for sent, broadcasts in ((100_000, 1), (0, 0)):  # different trigrams alone, while they are few
+        monkeypatch.setattr(R, "SENT", sent, raising=False)
+        best = R.resolve(*sides)
+        found.append(sorted(best.select("record_id", "company_id", "score").collect()))
+        assert "BroadcastExchange" not in plan(best) and "BroadcastExchange" not in planned["similar"]
+        assert planned["trigrams"].count("BroadcastExchange") == broadcasts
+    assert found[0] == found[1] and [(r.record_id, r.company_id, r.score) for r in found[0] if r.score == 1.0] == [(i, i, 1.0) for i, _ in left if i % 7 == 0]
