@@ -379,5 +379,7 @@ def test_no_table_of_records_or_names_goes_through_the_driver(spark, tmp_path, m
         assert "BroadcastExchange" not in plan(best) and "BroadcastExchange" not in planned["similar"]
         decided = R.outcomes(best).select("record_id", "decision", "outcome", "new_company_id")
         assert "BroadcastExchange" not in plan(decided) and decided.filter("outcome = 'attach'").count() == 2
+        counts = R.decision_counts(best, sides[1].filter("company_id % 9 = 0"))
+        assert plan(counts).count("BroadcastExchange") == 1 and counts.first()[:] == (9, 2, 0, 0, 7)  # failures are sent as their number
         assert planned["trigrams"].count("BroadcastExchange") == broadcasts
     assert found[0] == found[1] and [(r.record_id, r.company_id, r.score) for r in found[0] if r.score == 1.0] == [(i, i, 1.0) for i, _ in left if i % 7 == 0]
